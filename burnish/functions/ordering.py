@@ -18,6 +18,15 @@ def in_ranges(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
     return stage(df.repartitionByRange(*order).withColumn(tag, F.spark_partition_id()), "ranges")
 
 
+def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add a long that grows with the order, not necessarily by one; ``order`` must be unique.
+
+    Numbers are given out once, when the ranges are written, and read back from there.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "ranked")
+
+
 def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the 0-based position of each row in the given order."""
     tag = fresh_name(df, "__range")

@@ -37,3 +37,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Partition by keys for work that is heavy per row.
+
+    The number of partitions is given, so that a few megabytes are not merged into one task.
+    """
+    spark = df.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    if rows > 1_000_000:
+        tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)

@@ -124,5 +124,11 @@ def text_signatures(vertices: DataFrame, threshold: float) -> DataFrame:
     )
     size = F.size("tokens")
     kept = F.slice("tokens", F.lit(1), (size - _needed_overlap(F.length("text"), threshold) + 1).cast("int"))
-    signature = F.transform(kept, lambda t: F.xxhash64(F.col("block"), t["token"], t["nth"]))
+    # Tokens that every text has bring together the same texts: one signature does for all.
+    total = vertices.count()
+    everywhere = F.xxhash64(F.col("block"), F.lit(""), F.lit(0))
+    signature = F.transform(
+        kept,
+        lambda t: F.when(t["freq"] == total, everywhere).otherwise(F.xxhash64(F.col("block"), t["token"], t["nth"])),
+    )
     return placed.join(ranked, "id").select("id", "block", "text", signature.alias("signatures"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.functions.ordering import with_row_index
-from burnish.functions.scratch import stage
+from burnish.functions.ordering import with_rank
+from burnish.functions.scratch import spread, stage
 from burnish.functions.similarity import may_be_similar, text_signatures, text_similarity
 from burnish.functions.text import comparison_columns, composite_text, prefix_block
 from burnish.functions.types import col, fresh_name, is_text, require_column, require_order
@@ -24,14 +24,14 @@ MERGE_THRESHOLD = 0.80
 
 # -- text items -----------------------------------------------------------------------------
 
-def text_matcher(threshold: float) -> Matcher:
+def text_matcher(threshold: float, rows: int) -> Matcher:
     def pick(df: DataFrame, suffix: str, name: str, keys: list[str]) -> DataFrame:
         return df.select(
             *keys, F.col("id").alias(name), F.col("block").alias(f"block_{suffix}"), F.col("text").alias(f"text_{suffix}")
         )
 
     def met(a: DataFrame, b: DataFrame, low: str, high: str, keys: list[str]) -> DataFrame:
-        pairs = pick(a, "a", low, keys).join(pick(b, "b", high, keys), keys)
+        pairs = spread(pick(a, "a", low, keys), rows, *keys).join(spread(pick(b, "b", high, keys), rows, *keys), keys)
         likely = pairs.where(
             (F.col(low) < F.col(high))
             & (F.col("block_a") == F.col("block_b"))
@@ -57,8 +57,9 @@ def text_leaders(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1].")
-    vertices = stage(with_row_index(texts, order, "id"), "texts")
-    return vertices, greedy_leaders(text_signatures(vertices, threshold), text_matcher(threshold), assign)
+    vertices = with_rank(texts, order, "id")
+    matcher = text_matcher(threshold, vertices.count())
+    return vertices, greedy_leaders(text_signatures(vertices, threshold), matcher, assign)
 
 
 # -- duplicate rows -------------------------------------------------------------------------
@@ -183,7 +184,7 @@ def deduplicate_semantic(
 def vector_leaders(df, columns, threshold, order_by, embedding, embed, assign):
     vector = col(embedding) if embedding else embed(composite_text(columns))
     rows = df.select(_order_key(order_by).alias("first"), vector.cast("array<double>").alias("vector"))
-    vertices = stage(with_row_index(rows, [F.col("first")], "id"), "vectors")
+    vertices = with_rank(rows, [F.col("first")], "id")
     return vertices, greedy_leaders(vector_items(vertices, threshold), vector_matcher(threshold), assign)
 
 

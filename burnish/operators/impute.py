@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.ordering import with_row_index
+from burnish.functions.ordering import with_rank
 from burnish.functions.scratch import stage
 from burnish.functions.types import col, fresh_name, is_integral, is_numeric, numeric_columns, require_order
 from burnish.operators.nulls import columns_with_nulls, fill_nulls, nulls_filled
@@ -189,7 +189,7 @@ def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbo
     """
     order = require_order(order_by, "Nearest-neighbour filling")
     tag = fresh_name(df, "__id")
-    numbered = stage(with_row_index(df, order, tag), "numbered")
+    numbered = with_rank(df, order, tag)
     x = F.array(*[_usable(c) for c in features]).alias("x")
     rows = numbered.select(F.col(tag).alias("id"), x)
     wanted = [features.index(c) for c in targets]
@@ -229,10 +229,12 @@ def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbo
         left = seeking.join(F.broadcast(cuts), "slice").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
         right = giving.join(F.broadcast(cuts), "slice").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         keys = ["slice", "chunk", "cut"]
+        # New names for one side: both stem from the same table.
+        right = right.select(*[F.col(c).alias(c) for c in (*keys, "id", "x")])
         return (
             left.select(*keys, "id", "x")
             .groupBy(*keys)
-            .cogroup(right.select(*keys, "id", "x").groupBy(*keys))
+            .cogroup(right.groupBy(*keys))
             .applyInPandas(lambda a, b: _closest(a, b, wanted, k).astype({"id": "int64", "target": "int32", "donor": "int64"}), schema)
         )
 
@@ -291,7 +293,7 @@ def forest_impute(
 
     order = require_order(order_by, "Forest filling")
     tag = fresh_name(df, "__id")
-    numbered = stage(with_row_index(df, order, tag), "numbered")
+    numbered = with_rank(df, order, tag)
     numbers = {c: f"f{i}" for i, c in enumerate(features)}
     work = numbered.select(
         F.col(tag).alias("id"),
@@ -323,6 +325,9 @@ def forest_impute(
             guessed = model.transform(inputs.transform(work))
             work = guessed.withColumn(n, F.when(F.col(f"{n}_gap"), F.col("guess")).otherwise(F.col(n))).drop("inputs", "guess")
         work = stage(work, "forest")
+        if len(gappy) == 1:
+            # Its inputs hold no predictions, so another round would predict the same.
+            break
         moved = (
             before.select("id", *[F.col(numbers[c]).alias(f"{numbers[c]}_old") for c in gappy])
             .join(work, "id")

@@ -57,16 +57,15 @@ def _without(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return df.join(ids.select(F.col("id").alias(column)), column, "left_anti")
 
 
-class _Spread:
+class _Chunks:
     """Splits signatures with very many items into chunks, and copies their leaders to each."""
 
     def __init__(self, postings: DataFrame):
-        sizes = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-        self.hot = stage(
-            sizes.where(F.col("n") > GROUP_ROWS).select("sig", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts")),
-            "hot",
-        )
-        self.needed = not self.hot.isEmpty()
+        self.needed = False
+        if postings.count() > GROUP_ROWS:
+            sizes = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+            self.hot = stage(sizes.select("sig", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts")), "hot")
+            self.needed = not self.hot.isEmpty()
 
     def items(self, df: DataFrame) -> DataFrame:
         if not self.needed:
@@ -86,29 +85,28 @@ class _Spread:
 
 
 def _settle(complete: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leaders and claimed ids among the heads, as far as ``complete`` heads can be decided."""
-    spark = pairs.sparkSession
-    leaders, claimed = [], []
+    """Leaders and claimed ids among the heads, as far as ``complete`` heads can be decided.
+
+    A complete head that no open smaller neighbour blocks leads and claims its neighbours, which
+    unblocks others; one written table of claimed ids per step carries this on.
+    """
+
+    def leading(taken: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        free = pairs if taken is None else _without(_without(pairs, taken, "u"), taken, "v")
+        rest = complete if taken is None else _without(complete, taken)
+        return _without(rest, free.select(F.col("v").alias("id")).distinct()), free
+
+    if pairs.isEmpty():
+        return complete, complete.limit(0)
+    taken, size = None, 0
     while True:
-        blocked = pairs.select(F.col("v").alias("id")).distinct()
-        new = stage(_without(complete, blocked), "leaders")
-        if new.isEmpty():
-            break
-        leaders.append(new)
-        if pairs.isEmpty():
-            break
-        taken = stage(
-            pairs.join(new.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct(),
-            "claimed",
-        )
-        claimed.append(taken)
-        complete = _without(_without(complete, new), taken)
-        pairs = stage(_without(_without(pairs, taken, "u"), taken, "v"), "pairs")
-    empty = spark.createDataFrame([], "id long")
-    return (
-        reduce(DataFrame.unionAll, leaders) if leaders else empty,
-        reduce(DataFrame.unionAll, claimed) if claimed else empty,
-    )
+        new, free = leading(taken)
+        more = free.join(new.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+        taken = stage(more if taken is None else taken.unionAll(more), "claimed")
+        grown = taken.count()
+        if grown == size:
+            return stage(leading(taken)[0], "leaders"), taken
+        size = grown
 
 
 def greedy_leaders(items: DataFrame, matcher: Matcher, assign: bool = False) -> DataFrame:
@@ -125,18 +123,20 @@ def greedy_leaders(items: DataFrame, matcher: Matcher, assign: bool = False) ->
         "postings",
     )
     spark = postings.sparkSession
-    spread = _Spread(postings)
+    chunks = _Chunks(postings)
     open_items, heads, first = postings, matcher.first_heads, True
     all_leaders, all_claims = [], []
     while True:
         with _early_group_limit(spark, heads):
             place = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
-            top = stage(open_items.withColumn("place", place).where(F.col("place") <= heads).drop("place"), "heads")
-        counted = top.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("n_sig").alias("n_sig"))
-        complete = stage(counted.where(F.col("n") == F.col("n_sig")).select("id"), "complete")
+            top = open_items.withColumn("place", place).where(F.col("place") <= heads).drop("place")
+            headed = F.count(F.lit(1)).over(Window.partitionBy("id"))
+            top = stage(top.withColumn("complete", headed == F.col("n_sig")), "heads")
+        # Counts of written tables come from file footers.
+        everything = top.count() == open_items.count()
+        complete = stage(top.where("complete").select("id").distinct(), "complete")
         pairs = stage(matcher.within(top), "pairs")
         leaders, claimed = _settle(complete, pairs)
-        everything = complete.count() == open_items.select("id").distinct().count()
 
         if everything and first:
             met = pairs.join(leaders.withColumnRenamed("id", "u"), "u", "left_semi")
@@ -147,7 +147,7 @@ def greedy_leaders(items: DataFrame, matcher: Matcher, assign: bool = False) ->
             # With assign, earlier claims meet the new leaders too: one of them may rank lower.
             rest = postings if assign else _without(_without(open_items, complete), claimed)
             leader_rows = open_items.join(leaders, "id", "left_semi")
-            found = matcher.nearest(spread.leaders(leader_rows), spread.items(_without(rest, leaders)), spread.keys)
+            found = matcher.nearest(chunks.leaders(leader_rows), chunks.items(_without(rest, leaders)), chunks.keys)
             if not assign:
                 found = found.unionAll(claimed.select("id", F.lit(None).cast("long").alias("leader")))
         found = stage(found.groupBy("id").agg(F.min("leader").alias("leader")), "claims")
@@ -156,10 +156,14 @@ def greedy_leaders(items: DataFrame, matcher: Matcher, assign: bool = False) ->
         if everything:
             break
         settled = leaders.unionAll(found.select("id"))
-        open_items = stage(_without(open_items, settled), "open")
-        if open_items.isEmpty():
+        before, open_items = open_items.count(), stage(_without(open_items, settled), "open")
+        left = open_items.count()
+        if not left:
             break
-        heads, first = min(heads * 4, matcher.most_heads), False
+        # Dense data shrinks fast under few leaders; only sparse data needs more heads.
+        if 2 * left > before:
+            heads = min(heads * 4, matcher.most_heads)
+        first = False
 
     kept = reduce(DataFrame.unionAll, all_leaders).select("id", F.col("id").alias("leader"))
     claims = reduce(DataFrame.unionAll, all_claims).groupBy("id").agg(F.min("leader").alias("leader"))

@@ -350,7 +350,7 @@ for _name, _op in {
     sql_query(f"q10_{_name}", f"{_A} {_op} {_B}")
 sql_query(
     "q11_string_scalars",
-    """SELECT doc_id, length(text) AS n, upper(substr(text, 1, 10)) AS head, replace(lang, 'e', 'E') AS lang2,
+    """SELECT doc_id, length(text) AS n, upper(lang) AS lang3, substr(text, 1, 10) AS head, replace(lang, 'e', 'E') AS lang2,
               strpos(text, 'the') AS at, concat(source, ':', lang) AS tag, reverse(lang) AS back FROM {documents}""".replace(
         "strpos(text, 'the')", "instr(text, 'the')"
     ),
