@@ -27,18 +27,16 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "ranked")
 
 
+RANK_BITS = 33  # monotonically_increasing_id: range number above, position in the range below
+
+
 def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 0-based position of each row in the given order."""
-    tag = fresh_name(df, "__range")
-    ranged = in_ranges(df, order, tag)
+    """Add the 0-based position of each row in the given order, which must be unique."""
+    rank = fresh_name(df, "__rank")
+    ranked = with_rank(df, order, rank).withColumn("__range", F.shiftright(rank, RANK_BITS))
     # One line per range, so the running total fits one task however long the table is.
-    counts = ranged.groupBy(tag).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(tag).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(tag, F.coalesce(before, F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy(tag).orderBy(*order))
-    return (
-        ranged.withColumn("__place", place - 1)
-        .join(starts, tag)
-        .withColumn(name, (F.col("__start") + F.col("__place")).cast("long"))
-        .drop(tag, "__place", "__start")
-    )
+    counts = ranked.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col(rank).bitwiseAND((1 << RANK_BITS) - 1)
+    return ranked.join(starts, "__range").withColumn(name, place.cast("long")).drop("__range", "__start", rank)

@@ -93,7 +93,8 @@ def vector_matcher(threshold: float) -> Matcher:
 
         # Both sides are bounded: leaders by ``most_heads``, items by the chunk size.
         left = leaders.select(*keys, "id", "vector").groupBy(*keys)
-        right = items.select(*keys, "id", "vector").groupBy(*keys)
+        # New names for one side: both stem from the same table.
+        right = items.select(*[F.col(c).alias(c) for c in (*keys, "id", "vector")]).groupBy(*keys)
         return left.cogroup(right).applyInPandas(claim, "id long, leader long")
 
     return Matcher(within, nearest, first_heads=1_024, most_heads=4_096)

@@ -73,34 +73,41 @@ class VersionStore:
 
     def __init__(self, spark: SparkSession, path: str, order_by=None):
         self.spark, self.path, self.order_by = spark, path.rstrip("/"), order_by
+        self._lines: list[tuple] | None = None
 
     # -- log --------------------------------------------------------------------------------
 
-    def _log(self) -> list:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return []
-        # One line per user action: metadata, not data.
-        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log").orderBy("seq").collect()
+    def _log(self) -> list[tuple]:
+        """Log lines (seq, kind, version id, entry): one per user action, read once."""
+        if self._lines is None:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+            if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+                lines = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log").orderBy("seq").collect()
+                self._lines = [tuple(line) for line in lines]
+            else:
+                self._lines = []
+        return self._lines
 
     def _append(self, kind: str, version_id: str, entry: str = "") -> None:
-        line = [(len(self._log()), kind, version_id, entry)]
-        self.spark.createDataFrame(line, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        line = (len(self._log()), kind, version_id, entry)
+        values = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(line, LOG_SCHEMA.fields)]
+        self.spark.range(1).coalesce(1).select(*values).write.mode("append").parquet(f"{self.path}/log")
+        self._lines.append(line)
 
     def _state(self) -> tuple[list[Version], str | None]:
         """Versions in order of creation, re-parented and relabelled, and the current id."""
         versions: dict[str, Version] = {}
         current = None
-        for line in self._log():
-            if line.kind == "commit":
-                versions[line.version_id] = Version(**json.loads(line.entry))
-            if line.kind == "delete":
-                gone = versions.pop(line.version_id)
+        for _, kind, version_id, entry in self._log():
+            if kind == "commit":
+                versions[version_id] = Version(**json.loads(entry))
+            if kind == "delete":
+                gone = versions.pop(version_id)
                 for v in versions.values():
                     if v.parent_id == gone.id:
                         v.parent_id = gone.parent_id
             else:
-                current = line.version_id
+                current = version_id
         for i, v in enumerate(versions.values()):
             v.label = "v1 Original" if i == 0 else f"v{i + 1} {v.operation.replace('_', ' ').title()}"
         return list(versions.values()), current

@@ -145,7 +145,7 @@ def r7(spark, sf):
     return issues(prof.profile_columns(view(spark, sf, _MOSTLY_NULL)))
 
 
-_NEAR_ID = "SELECT CASE WHEN value > 60 THEN event_id + 1 ELSE event_id END AS event_id, event_type FROM {events}"
+_NEAR_ID = "SELECT CASE WHEN value > 180 THEN event_id + 1 ELSE event_id END AS event_id, event_type FROM {events}"
 
 
 @query(
