@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -20,11 +21,12 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get(SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"Set {SETTING} to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="burnish-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="burnish-")
+    return _local_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

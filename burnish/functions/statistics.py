@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.functions.types import col, is_numeric
 
@@ -130,23 +131,31 @@ def _narrow(df: DataFrame, brackets: dict) -> None:
                 pending.append((b.column, b.index))
 
 
+def _exact_as_double(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType))
+
+
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict:
     """The value at each wanted rank, from the values inside its range."""
+    found = {(b.column, b.index): b.low for b in brackets if b.low == b.high}
+    brackets = [b for b in brackets if b.low != b.high]
     if not brackets:
-        return {}
-    # One pass: every row gives its value once for each range that holds it.
+        return found
+    # One pass: every row gives its value once for each range that holds it. The text form tells
+    # apart values that agree as doubles.
+    text = [
+        F.lit("") if _exact_as_double(df.schema[b.column].dataType) else col(b.column).cast("string") for b in brackets
+    ]
     tagged = F.array(
         *[
-            F.when(
-                _within(b),
-                F.struct(F.lit(i).alias("k"), col(b.column).cast("double").alias("x"), col(b.column).cast("string").alias("s")),
-            )
+            F.when(_within(b), F.struct(F.lit(i).alias("k"), col(b.column).cast("double").alias("x"), text[i].alias("s")))
             for i, b in enumerate(brackets)
         ]
     )
     counts = (
-        df.select(F.explode(F.array_compact(tagged)).alias("t"))
-        .groupBy("t.k", "t.x", "t.s")
+        df.select(F.explode(tagged).alias("t"))
+        .where("t IS NOT NULL")
+        .groupBy(F.col("t.k").alias("k"), F.col("t.x").alias("x"), F.col("t.s").alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(Window.partitionBy("k").orderBy("x", "s").rowsBetween(Window.unboundedPreceding, 0))
@@ -154,13 +163,12 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict:
     rows = (
         counts.withColumn("upto", upto)
         .where((F.col("upto") > target) & (F.col("upto") - F.col("n") <= target))
-        .select("k", "s")
+        .select("k", "x", "s")
         .collect()
     )
-    found = {}
     for row in rows:
         b = brackets[row.k]
-        found[(b.column, b.index)] = type(b.low)(row.s)
+        found[(b.column, b.index)] = type(b.low)(row.s or row.x)
     return found
 
 
@@ -193,8 +201,9 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
         ]
     )
     counts = (
-        df.select(F.explode(F.array_compact(numbered)).alias("t"))
-        .groupBy("t.k", "t.x", "t.s")
+        df.select(F.explode(numbered).alias("t"))
+        .where("t IS NOT NULL")
+        .groupBy(F.col("t.k").alias("k"), F.col("t.x").alias("x"), F.col("t.s").alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = counts.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("m"), "x", "s")).alias("top"))

@@ -42,7 +42,7 @@ def text_matcher(threshold: float, rows: int) -> Matcher:
         return once.where(text_similarity("text_a", "text_b") >= threshold).select(low, high)
 
     return Matcher(
-        within=lambda heads: met(heads, heads, "u", "v", ["sig"]),
+        within=lambda heads: met(heads, heads.where("complete"), "u", "v", ["sig"]),
         nearest=lambda leaders, items, keys: met(leaders, items, "leader", "id", keys).select("id", "leader"),
     )
 

@@ -31,7 +31,8 @@ GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 class Matcher:
     """How items are compared.
 
-    ``within(heads)`` gives the similar pairs (u, v), u < v, among rows that share ``sig``;
+    ``within(heads)`` gives the similar pairs (u, v), u < v, among rows that share ``sig``, for
+    those v marked ``complete``;
     ``nearest(leaders, items, keys)`` gives (id, leader): for each item some row per group of
     ``keys`` with its smallest similar leader, where there is one.
     """

@@ -64,17 +64,17 @@ def vector_matcher(threshold: float) -> Matcher:
     def within(heads: DataFrame) -> DataFrame:
         def product(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("id")
-            ids, rows = group["id"].to_numpy(), _unit(group["vector"])
+            ids, rows, complete = group["id"].to_numpy(), _unit(group["vector"]), group["complete"].to_numpy()
             us, vs = [], []
             for start in range(0, len(ids), BLOCK):
                 u, v = np.nonzero(rows[start : start + BLOCK] @ rows[start:].T >= threshold)
-                ahead = u < v
+                ahead = (u < v) & complete[start + v]
                 us.append(ids[start + u[ahead]])
                 vs.append(ids[start + v[ahead]])
             return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
         # A group is at most ``most_heads`` rows.
-        pairs = heads.select("sig", "id", "vector").groupBy("sig").applyInPandas(product, "u long, v long")
+        pairs = heads.select("sig", "id", "vector", "complete").groupBy("sig").applyInPandas(product, "u long, v long")
         return pairs.distinct()
 
     def nearest(leaders: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:

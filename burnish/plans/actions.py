@@ -256,10 +256,11 @@ def auto_clean(df: DataFrame, order_by=None, compatible: bool = False) -> tuple[
     if texts:
         counted = distinct_counts(current.select(*[cols.col(c) for c in texts]), texts)
         rows = current.count()
-        holes = set() if compatible else {c for c, n in null_counts(current, texts).items() if n}
+        holes = {c for c, n in null_counts(current, texts).items() if n}
         for c in texts:
-            values = counted[c] - (c in holes)
-            if MERGE_VALUES[0] <= counted[c] <= MERGE_VALUES[1] and rows > MERGE_ROWS and counted[f"lower:{c}"] < values:
+            values = counted[c] + (c in holes)
+            variants = counted[f"lower:{c}"] < (values if compatible else counted[c])
+            if MERGE_VALUES[0] <= values <= MERGE_VALUES[1] and rows > MERGE_ROWS and variants:
                 steps.append(Action("standardize", {"method": "cluster_merge"}, f"column:{c}"))
                 current = runner.run(current, steps[-1]).df
     steps.append(Action("fill_nulls", {"strategy": "mode"}))
