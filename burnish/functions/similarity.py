@@ -53,18 +53,23 @@ def text_similarity(a: str, b: str) -> Column:
     return similarity(a, b)
 
 
+def lengths_fit(n: Column, m: Column, threshold: float) -> Column:
+    """Whether texts of n and m characters can reach the threshold.
+
+    A common subsequence is no longer than the shorter text.
+    """
+    return 2.0 * F.least(n, m) + F.lit(EPSILON) >= F.lit(threshold) * (n + m)
+
+
 def may_be_similar(a: Column, b: Column, threshold: float) -> Column:
     """Built-in test that no pair at or above the threshold fails.
 
     The number of insertions and deletions is at least the edit distance, which Spark stops
     computing as soon as it passes the bound.
     """
-    total = F.length(a) + F.length(b)
-    bound = F.floor(F.lit(1.0 - threshold) * total + F.lit(EPSILON)).cast("int")
-    shorter = F.least(F.length(a), F.length(b))
-    # A common subsequence is no longer than the shorter text.
-    sizes_fit = 2.0 * shorter + F.lit(EPSILON) >= F.lit(threshold) * total
-    return sizes_fit & (F.call_function("levenshtein", a, b, bound) >= 0)
+    n, m = F.length(a), F.length(b)
+    bound = F.floor(F.lit(1.0 - threshold) * (n + m) + F.lit(EPSILON)).cast("int")
+    return lengths_fit(n, m, threshold) & (F.call_function("levenshtein", a, b, bound) >= 0)
 
 
 def _characters(text: Column) -> Column:
@@ -100,7 +105,7 @@ def _needed_overlap(length: Column, threshold: float) -> Column:
 
 
 def text_signatures(vertices: DataFrame, threshold: float) -> DataFrame:
-    """(id, signatures) such that two texts at or above the threshold share a signature.
+    """(id, block, length, signatures) such that two texts at or above the threshold share a signature.
 
     ``vertices`` holds id, block and text. Each text keeps its rarest tokens, just enough of them
     that sharing none rules the pair out (prefix filtering). Repeated tokens are numbered, so a
@@ -131,4 +136,4 @@ def text_signatures(vertices: DataFrame, threshold: float) -> DataFrame:
         kept,
         lambda t: F.when(t["freq"] == total, everywhere).otherwise(F.xxhash64(F.col("block"), t["token"], t["nth"])),
     )
-    return placed.join(ranked, "id").select("id", "block", "text", signature.alias("signatures"))
+    return placed.join(ranked, "id").select("id", "block", F.length("text").alias("length"), signature.alias("signatures"))

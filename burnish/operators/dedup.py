@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.ordering import with_rank
 from burnish.functions.scratch import spread, stage
-from burnish.functions.similarity import may_be_similar, text_signatures, text_similarity
+from burnish.functions.similarity import lengths_fit, may_be_similar, text_signatures, text_similarity
 from burnish.functions.text import comparison_columns, composite_text, prefix_block
 from burnish.functions.types import col, fresh_name, is_text, require_column, require_order
 from burnish.operators.columns import CASINGS, change_case
@@ -24,22 +24,27 @@ MERGE_THRESHOLD = 0.80
 
 # -- text items -----------------------------------------------------------------------------
 
-def text_matcher(threshold: float, rows: int) -> Matcher:
+def text_matcher(texts: DataFrame, threshold: float, rows: int) -> Matcher:
+    """Compares texts by id. What meets under signatures is ids and lengths; ``texts`` (id, text)
+    are looked up once for each pair whose lengths fit, so long texts are not copied around."""
+
     def pick(df: DataFrame, suffix: str, name: str, keys: list[str]) -> DataFrame:
-        return df.select(
-            *keys, F.col("id").alias(name), F.col("block").alias(f"block_{suffix}"), F.col("text").alias(f"text_{suffix}")
-        )
+        wanted = [F.col("id").alias(name), F.col("block").alias(f"block_{suffix}"), F.col("length").alias(f"length_{suffix}")]
+        return spread(df.select(*keys, *wanted), rows, *keys)
 
     def met(a: DataFrame, b: DataFrame, low: str, high: str, keys: list[str]) -> DataFrame:
-        pairs = spread(pick(a, "a", low, keys), rows, *keys).join(spread(pick(b, "b", high, keys), rows, *keys), keys)
-        likely = pairs.where(
+        pairs = pick(a, "a", low, keys).join(pick(b, "b", high, keys), keys)
+        fitting = pairs.where(
             (F.col(low) < F.col(high))
             & (F.col("block_a") == F.col("block_b"))
-            & may_be_similar(F.col("text_a"), F.col("text_b"), threshold)
+            & lengths_fit(F.col("length_a"), F.col("length_b"), threshold)
+        )
+        once = fitting.select(low, high).distinct()
+        scored = once.join(texts.select(F.col("id").alias(low), F.col("text").alias("text_a")), low).join(
+            texts.select(F.col("id").alias(high), F.col("text").alias("text_b")), high
         )
-        # A pair may meet under several signatures: score it once.
-        once = likely.groupBy(low, high).agg(F.first("text_a").alias("text_a"), F.first("text_b").alias("text_b"))
-        return once.where(text_similarity("text_a", "text_b") >= threshold).select(low, high)
+        likely = scored.where(may_be_similar(F.col("text_a"), F.col("text_b"), threshold))
+        return likely.where(text_similarity("text_a", "text_b") >= threshold).select(low, high)
 
     return Matcher(
         within=lambda heads: met(heads, heads.where("complete"), "u", "v", ["sig"]),
@@ -58,7 +63,7 @@ def text_leaders(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1].")
     vertices = with_rank(texts, order, "id")
-    matcher = text_matcher(threshold, vertices.count())
+    matcher = text_matcher(vertices.select("id", "text"), threshold, vertices.count())
     return vertices, greedy_leaders(text_signatures(vertices, threshold), matcher, assign)
 
 
@@ -121,10 +126,10 @@ def composite_texts(df: DataFrame, columns: list[str], order_by, blocking: str =
 
 
 def rows_of(df: DataFrame, kept: DataFrame, columns: list[str], order_by) -> DataFrame:
-    """The first row of each kept text."""
+    """The first row of each kept text, found by its order key and a hash of the text."""
     text, first = fresh_name(df, "__text"), fresh_name(df, "__first")
-    keyed = df.withColumn(text, composite_text(columns)).withColumn(first, _order_key(order_by))
-    wanted = kept.select(F.col("text").alias(text), F.col("first").alias(first))
+    keyed = df.withColumn(text, F.xxhash64(composite_text(columns))).withColumn(first, _order_key(order_by))
+    wanted = kept.select(F.xxhash64("text").alias(text), F.col("first").alias(first))
     return keyed.join(wanted, [text, first], "left_semi").drop(text, first)
 
 

@@ -97,7 +97,6 @@ AGGREGATES = {
     "max": F.max,
     "count_distinct": F.count_distinct,
     "stddev": F.stddev_samp,
-    "median": F.median,
 }
 
 

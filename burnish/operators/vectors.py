@@ -24,13 +24,38 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _pivots(vertices: DataFrame) -> np.ndarray:
-    """At most MOST_PIVOTS distinct unit vectors, about one for every CELL_ROWS rows."""
+def _inside(unit: np.ndarray, pivots: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells each unit vector is listed in: its own, and those whose border is within reach."""
+    near = unit @ pivots.T
+    home = near.argmax(axis=1)
+    between = np.sqrt(np.maximum(2.0 - 2.0 * pivots @ pivots.T, 1e-18))
+    # Distance to the plane between home p and another pivot q: (|x-q|^2 - |x-p|^2) / 2|p-q|.
+    each = np.arange(len(unit))
+    inside = (near[each, home][:, None] - near) / between[home] <= reach
+    inside[each, home] = True
+    return inside
+
+
+def _pivots(vertices: DataFrame, reach: float) -> np.ndarray:
+    """Distinct unit vectors to partition by: at most MOST_PIVOTS, about one per CELL_ROWS rows.
+
+    With r cells per vector, meeting everything in its cells costs r * r / pivots of meeting
+    everything. Of several numbers of pivots the cheapest on a few vectors is taken, or none.
+    The choice steers cost only.
+    """
     wanted = min(MOST_PIVOTS, math.ceil(vertices.count() / CELL_ROWS))
     if wanted <= 1:
         return np.zeros((0, 0))
-    rows = vertices.orderBy(F.xxhash64("id")).limit(wanted).select("vector").toPandas()
-    return np.unique(_unit(rows["vector"]), axis=0)
+    rows = vertices.orderBy(F.xxhash64("id")).limit(2 * wanted).select("vector").toPandas()["vector"]
+    points, others = np.unique(_unit(rows[:wanted]), axis=0), _unit(rows[wanted:])
+    np.random.default_rng(0).shuffle(points)
+    best, least = np.zeros((0, 0)), 1.0
+    while len(points) > 1:
+        cost = _inside(others, points, reach).sum(axis=1).mean() ** 2 / len(points)
+        if cost < least:
+            best, least = points, cost
+        points = points[: len(points) // 2]
+    return best
 
 
 def vector_items(vertices: DataFrame, threshold: float) -> DataFrame:
@@ -40,22 +65,15 @@ def vector_items(vertices: DataFrame, threshold: float) -> DataFrame:
     first vector is no further than that from the plane between the two pivots, so it is also
     listed in the second cell. No pair is lost, whatever the data.
     """
-    pivots = _pivots(vertices)
+    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
+    pivots = _pivots(vertices, reach)
     if len(pivots) < 2:
         return vertices.select("id", "vector", F.array(F.lit(0).cast("long")).alias("signatures"))
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    between = np.sqrt(np.maximum(2.0 - 2.0 * pivots @ pivots.T, 1e-18))
 
     @F.pandas_udf("array<long>")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            near = _unit(batch) @ pivots.T
-            home = near.argmax(axis=1)
-            # Distance to the plane between home and other pivot: (|x-q|^2 - |x-p|^2) / 2|p-q|.
-            gap = (near[np.arange(len(near)), home][:, None] - near) / between[home]
-            inside = gap <= reach
-            inside[np.arange(len(near)), home] = True
-            yield pd.Series([np.flatnonzero(row) for row in inside])
+            yield pd.Series([np.flatnonzero(row) for row in _inside(_unit(batch), pivots, reach)])
 
     return vertices.select("id", "vector", cells("vector").alias("signatures"))
 

@@ -236,7 +236,8 @@ def n7(spark, sf):
 
 @query("n8_fill_forest")
 def n8(spark, sf):
-    df = view(spark, sf, DIRTY_CUSTOMER).select("c_custkey", "c_nationkey", "c_acctbal")
+    sql = "SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal FROM {customer}"
+    df = view(spark, sf, sql)
     return impute.fill_nulls_ml(df, "c_acctbal", "rf", order_by="c_custkey").df
 
 

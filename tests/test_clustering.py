@@ -66,7 +66,7 @@ def test_fuzzy_dedup_equals_loop(spark, monkeypatch, threshold, first_heads, gro
     monkeypatch.setattr(leaders, "GROUP_ROWS", group_rows)
     make = dedup.text_matcher
     monkeypatch.setattr(
-        dedup, "text_matcher", lambda t, n: leaders.Matcher(make(t, n).within, make(t, n).nearest, first_heads, 16_384)
+        dedup, "text_matcher", lambda v, t, n: leaders.Matcher(make(v, t, n).within, make(v, t, n).nearest, first_heads, 16_384)
     )
     names = people(int(threshold * 100), 120)
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
@@ -139,6 +139,13 @@ def test_cells_keep_every_pair(spark, monkeypatch):
     assert all(cells[i] & cells[j] for i in range(120) for j in range(i) if rows[i] @ rows[j] >= 0.9)
 
 
+def test_no_cells_where_they_do_not_pay(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    rows = np.random.default_rng(0).normal(size=(200, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, vector array<double>")
+    assert {tuple(r.signatures) for r in vectors.vector_items(df, 0.3).collect()} == {(0,)}
+
+
 def test_embedding_hook(spark):
     import pandas as pd
 
