@@ -59,8 +59,9 @@ def people(seed, n):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
-@pytest.mark.parametrize("first_heads, group_rows", [(64, 50_000), (2, 20)])
+@pytest.mark.parametrize(
+    "threshold, first_heads, group_rows", [(0.5, 64, 50_000), (0.85, 64, 50_000), (0.7, 2, 20), (0.85, 2, 20), (1.0, 64, 50_000)]
+)
 def test_fuzzy_dedup_equals_loop(spark, monkeypatch, threshold, first_heads, group_rows):
     # The second setting forces several rounds and chunked signatures.
     monkeypatch.setattr(leaders, "GROUP_ROWS", group_rows)
@@ -113,8 +114,9 @@ def crowd(seed, n, dim=6):
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.92])
-@pytest.mark.parametrize("cell_rows, group_rows, heads", [(5_000, 50_000, 1_024), (20, 15, 8)])
+@pytest.mark.parametrize(
+    "threshold, cell_rows, group_rows, heads", [(0.92, 5_000, 50_000, 1_024), (0.6, 20, 15, 8), (0.92, 20, 15, 8)]
+)
 def test_semantic_dedup_equals_loop(spark, monkeypatch, threshold, cell_rows, group_rows, heads):
     monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(leaders, "GROUP_ROWS", group_rows)
