@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from burnish.llm import exact_dedup
+from burnish.llm import exact_dedup, simhash
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -14,3 +14,5 @@ ORACLES["op8_exact_dedup"] = r"""
   SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
          row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
   FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)"""
+
+QUERIES["op4_simhash_near_dedup"] = lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents"))
