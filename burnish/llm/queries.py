@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from burnish.llm import exact_dedup, simhash
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from burnish.llm import bpe, exact_dedup, simhash
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -16,3 +20,14 @@ ORACLES["op8_exact_dedup"] = r"""
   FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)"""
 
 QUERIES["op4_simhash_near_dedup"] = lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def _bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf, "documents"), vocabulary)
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES["op6_bpe_encode_decode"] = _bpe_round_trip
