@@ -236,6 +236,8 @@ def _encode_pieces(df: DataFrame, vocabulary: str, size: int) -> DataFrame:
     a long unit are joined two by two up the tree.
     """
 
+    piece_schema, coded_schema = arrow_schema(_PIECE), arrow_schema(_CODED)
+
     def cut(row: int, doc_id: int, text: str, encoder: Encoder) -> Iterator[tuple]:
         at, held, length = 0, [], 0
         for special, chunks in encoder.segments(text):
@@ -257,11 +259,11 @@ def _encode_pieces(df: DataFrame, vocabulary: str, size: int) -> DataFrame:
         yield row, doc_id, at, 0, True, None, " ".join(held)
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, schema = Encoder(Vocabulary(vocabulary)), arrow_schema(_PIECE)
+        encoder = Encoder(Vocabulary(vocabulary))
         for batch in batches:
             for row in batch.to_pylist():
                 for piece in cut(row["row"], row["doc_id"], row["body"], encoder):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(piece, schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(piece, piece_schema)], schema=piece_schema)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(vocabulary))
@@ -275,7 +277,7 @@ def _encode_pieces(df: DataFrame, vocabulary: str, size: int) -> DataFrame:
                 else:
                     ids = encoder.encode(encoder.symbols(r["body"], r["ends"]))
                 out.append(_packed(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], schema=arrow_schema(_CODED))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], schema=coded_schema)
 
     def joined(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["at"], r["part"]))
