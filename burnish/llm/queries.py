@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, exact_dedup, simhash
+from burnish.functions.scratch import stage
+from burnish.llm import bpe, exact_dedup, language, simhash
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -31,3 +32,17 @@ def _bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op6_bpe_encode_decode"] = _bpe_round_trip
+
+
+def _fold(folds: int, held_out: int) -> Column:
+    """Whether a row is held out, by its doc_id alone; null without a doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds == held_out
+
+
+def _language(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    profiles = stage(language.learn_profiles(documents.where(~_fold(3, 1))), "profiles")
+    return language.identify(documents, profiles).withColumn("held_out", F.coalesce(_fold(3, 1), F.lit(False)))
+
+
+QUERIES["op9_language_id"] = _language
