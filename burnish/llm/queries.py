@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, exact_dedup, language, simhash
+from burnish.llm import bpe, exact_dedup, language, simhash, toxicity
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,12 @@ def _language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op9_language_id"] = _language
+
+
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    net = toxicity.learn(documents, table(spark, sf, "labels").where(~_fold(5, 0)))
+    return toxicity.score(documents, net).withColumn("held_out", F.coalesce(_fold(5, 0), F.lit(False)))
+
+
+QUERIES["op5_toxicity"] = _toxicity
