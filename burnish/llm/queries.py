@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, exact_dedup, language, simhash, toxicity
+from burnish.llm import bpe, exact_dedup, language, simhash, toxicity, urls
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,14 @@ def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op5_toxicity"] = _toxicity
+
+
+#: The rules that the query's contract names.
+URL_RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+QUERIES["op3_url_filter"] = lambda spark, sf: urls.filter_urls(table(spark, sf, "pages"), URL_RULES)
