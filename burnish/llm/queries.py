@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, exact_dedup, language, simhash, toxicity, urls
+from burnish.llm import bpe, exact_dedup, language, pages, simhash, toxicity, urls
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,5 @@ URL_RULES = [
     urls.Rule("block", "com/de/"),
 ]
 QUERIES["op3_url_filter"] = lambda spark, sf: urls.filter_urls(table(spark, sf, "pages"), URL_RULES)
+
+QUERIES["op10_html_extraction"] = lambda spark, sf: pages.extract(table(spark, sf, "pages"))
