@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, simhash, toxicity, urls
+from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, repeats, simhash, toxicity, urls
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,7 @@ QUERIES["op3_url_filter"] = lambda spark, sf: urls.filter_urls(table(spark, sf,
 
 QUERIES["op10_html_extraction"] = lambda spark, sf: pages.extract(table(spark, sf, "pages"))
 QUERIES["op7_decontamination"] = lambda spark, sf: decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+QUERIES["op1_repeated_strings"] = lambda spark, sf: repeats.remove_repeats(table(spark, sf, "documents")).select(
+    "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+)
