@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, repeats, simhash, toxicity, urls
+from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, pseudonyms, repeats, simhash, toxicity, urls
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,7 @@ QUERIES["op7_decontamination"] = lambda spark, sf: decontaminate.leaks(table(spa
 QUERIES["op1_repeated_strings"] = lambda spark, sf: repeats.remove_repeats(table(spark, sf, "documents")).select(
     "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
 )
+
+#: Stands for a key that would come from a secret store.
+PSEUDONYM_KEY = b"a key for the registered query"
+QUERIES["op2_pii_pseudonyms"] = lambda spark, sf: pseudonyms.pseudonymise(table(spark, sf, "documents"), PSEUDONYM_KEY)
