@@ -25,9 +25,11 @@ from burnish.llm.suffixes import repeated_starts
 
 LENGTH, SAMPLE, HOT = 200, 32, 50_000
 #: Bytes of a text that are hashed at once (parts overlap by a window), and of a shard that is sorted at once.
-PART, SHARD = 1 << 22, 1 << 23
+PART, SHARD = 1 << 20, 1 << 21
 
 _RUN = "digest binary, start long, n int, meet long, run long"
+#: One stretch from 0 to n, written as _spans does: the hexadecimal bytes of n from the last.
+WHOLE = "unhex(concat('00000000', regexp_replace(lpad(hex(n), 8, '0'), '(..)(..)(..)(..)', '$4$3$2$1')))"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -194,25 +196,30 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     distinct = suspects.groupBy("meet", "run", "n").agg(F.count("*").alias("times"), F.min(F.struct("digest", "start")).alias("at"))
     distinct = stage(distinct.select("meet", "run", "n", "times", "at.digest", "at.start"), "distinct")
-    wanted = distinct.groupBy("digest").agg(F.collect_list(F.struct("meet", "run", "n", "times", "start")).alias("wanted"))
+    # A hash with one run has nothing to sort: all of the run repeats if the run does.
+    groups = distinct.groupBy("meet").agg(F.count("*").alias("c"))
+    mixed = stage(distinct.join(groups.where("c > 1").select("meet", (F.col("c") > hot).alias("hot")), "meet"), "mixed")
+    plain = distinct.join(groups.where("c = 1").select("meet"), "meet", "left_semi").where("times > 1")
+    wanted = mixed.groupBy("digest").agg(F.collect_list(F.struct("meet", "run", "n", "times", "hot", "start")).alias("wanted"))
     one_each = _packed(corpus.where(F.length("body") >= length)).groupBy("digest").agg(F.first("packed").alias("packed"))
     unique = one_each.join(wanted, "digest")
 
     def cut(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         unpress = zstandard.ZstdDecompressor()
         for packed, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             body = unpress.decompress(packed)
             for r in rows:
-                for column, value in zip(out, (r["meet"], r["run"], r["n"], r["times"], body[r["start"] : r["start"] + r["n"] + length - 1])):
+                for column, value in zip(out, (r["meet"], r["run"], r["n"], r["times"], r["hot"], body[r["start"] : r["start"] + r["n"] + length - 1])):
                     column.append(value)
         return out
 
-    bodies = map_batches(unique.select("packed", "wanted"), "meet long, run long, n int, times long, body binary", cut)
-    bodies = stage(bodies.join(_few(distinct, hot), "meet"), "bodies")
+    bodies = map_batches(unique.select("packed", "wanted"), "meet long, run long, n int, times long, hot boolean, body binary", cut)
+    bodies = stage(bodies, "bodies")
     found = _sorted_shards(bodies.where("not hot").drop("hot"), length)
     if not bodies.where("hot").isEmpty():
         found = found.unionByName(_counted_windows(bodies.where("hot").drop("hot"), length))
+    found = found.unionByName(plain.select("meet", "run", "n", F.expr(WHOLE).alias("spans")))
     found = stage(found.where(F.length("spans") > 0), "found")
 
     single = suspects.join(copies, "digest", "left_anti").join(found, ["meet", "run", "n"])
@@ -239,8 +246,3 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     rows = _packed(corpus).join(removed, "digest", "left").select("doc_id", "packed", "found", "all")
     return map_batches(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans binary", result)
-
-
-def _few(distinct: DataFrame, hot: int) -> DataFrame:
-    """meet, hot: whether a hash has more than ``hot`` distinct runs."""
-    return distinct.groupBy("meet").agg((F.count("*") > hot).alias("hot"))

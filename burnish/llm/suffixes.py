@@ -52,9 +52,10 @@ class Queues:
             if self.spilled[symbol]:
                 start, count = self.spilled[symbol].pop(0)
                 self.file.seek(start)
-                yield np.frombuffer(self.file.read(8 * count), np.int64)
+                yield np.frombuffer(self.file.read(4 * count), np.int32)
             else:
-                block = self.blocks[symbol].pop(0)
+                block = np.concatenate(self.blocks[symbol])
+                self.blocks[symbol].clear()
                 self.size -= len(block)
                 yield block
 
@@ -99,7 +100,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, symbols: i
             yield back
             left = left_of(back, True)
             _deal(lower, text[left], left)
-    yield np.array([len(text) - 1])  # the end of the text comes before all
+    yield np.array([len(text) - 1], np.int32)  # the end of the text comes before all
 
 
 def _same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -119,22 +120,22 @@ def suffix_order(text: np.ndarray, symbols: int) -> Iterator[np.ndarray]:
     """Blocks of the positions of ``text``, in falling order of their suffixes. The last symbol must be 0 and the only 0."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1]).astype(np.int8)
     step[-1] = 1
-    decided = np.where(step != 0, np.arange(n), n)
+    decided = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     smaller = step[np.minimum.accumulate(decided[::-1])[::-1]] > 0
-    seeds = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    seeds = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if len(seeds) > 1:
         order = np.concatenate(list(_induce(text, smaller, seeds, symbols)))[::-1]
         is_seed = np.zeros(n, bool)
         is_seed[seeds] = True
         order = order[is_seed[order]]
-        ends = np.zeros(n, np.int64)
+        ends = np.zeros(n, np.int32)
         ends[seeds] = np.append(seeds[1:], n - 1)
         new = ~_same_substrings(text, order[:-1], order[1:], ends)
-        names = np.zeros(n, np.int64)
+        names = np.zeros(n, np.int32)
         names[order] = np.concatenate([[1], np.cumsum(new) + 1])
-        names, width = names[seeds], 1
+        names, width = names[seeds].astype(np.int64), 1
         while names.max() < len(seeds):
             ahead = np.concatenate([names[width:], np.zeros(min(width, len(names)), np.int64)])
             names = np.unique(names * (len(seeds) + 1) + ahead, return_inverse=True)[1] + 1
@@ -159,7 +160,7 @@ def repeated_starts(texts: list[bytes], length: int) -> np.ndarray:
     room = np.zeros(len(text), bool)
     remaining = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(raw))
     room[place] = remaining >= length
-    marks, last, held, size = np.zeros(len(text), bool), np.empty(0, np.int64), [], 0
+    marks, last, held, size = np.zeros(len(text), bool), np.empty(0, np.int32), [], 0
 
     def compare(chain: np.ndarray) -> np.ndarray:
         a, b = chain[:-1], chain[1:]
