@@ -37,11 +37,6 @@ def comparison_columns(df: DataFrame, subset: list[str] | None) -> list[str]:
     return list(subset) if subset is not None else text_columns(df)
 
 
-def prefix_block(text: Column) -> Column:
-    """Block key of blocked comparison: first two characters, lower-cased; '__' when empty."""
-    return F.when(text == "", F.lit("__")).otherwise(F.lower(F.substring(text, 1, 2)))
-
-
 def bucketize(c: Column, width: float) -> Column:
     """Lower edge of the bucket of the given width a number falls in, e.g. a decade."""
     return (F.floor(c / F.lit(width)) * F.lit(width)).cast("int")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.functions import text as tx
-from burnish.functions.types import as_columns, col, is_text, require_column, require_order, text_columns
+from burnish.functions.types import as_columns, col, is_text, is_numeric, require_column, text_columns
 from burnish.operators.outcome import Outcome, cells_changed, column_change, rows_removed
 
 
@@ -51,13 +53,24 @@ def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # -- grid filters and sort ------------------------------------------------------------------
 
-def grid_condition(column: str, op: str, value: str = "") -> Column:
+NUMBER_TESTS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
+
+
+def grid_condition(column: str, op: str, value: str = "", dtype: T.DataType | None = None) -> Column:
     """One filter of the data grid: text tests ignore case and read null as ''.
 
-    Number tests read the cell as a number; a cell that is not one never matches.
+    Number tests read the cell as a number; a cell that is not one never matches. On a number column
+    they compare the column itself, which a scan can skip row groups by.
     """
     raw = F.coalesce(col(column).cast("string"), F.lit(""))
     cell, wanted = F.lower(raw), F.lit(value.strip().lower())
+    typed = dtype is not None and is_numeric(dtype)
+    if typed and op in NUMBER_TESTS:
+        # A whole number keeps the column's type, so the comparison can be pushed down.
+        wanted_number = float(value)
+        return NUMBER_TESTS[op](col(column), int(wanted_number) if wanted_number.is_integer() else wanted_number)
+    if typed and op in ("is_empty", "not_empty"):
+        return col(column).isNull() if op == "is_empty" else col(column).isNotNull()
     number = raw.try_cast("double")
     tests = {
         "contains": lambda: cell.contains(wanted),
@@ -66,10 +79,7 @@ def grid_condition(column: str, op: str, value: str = "") -> Column:
         "not_equals": lambda: cell != wanted,
         "starts_with": lambda: cell.startswith(wanted),
         "ends_with": lambda: cell.endswith(wanted),
-        "gt": lambda: F.coalesce(number > float(value), F.lit(False)),
-        "gte": lambda: F.coalesce(number >= float(value), F.lit(False)),
-        "lt": lambda: F.coalesce(number < float(value), F.lit(False)),
-        "lte": lambda: F.coalesce(number <= float(value), F.lit(False)),
+        **{name: lambda test=test: F.coalesce(test(number, float(value)), F.lit(False)) for name, test in NUMBER_TESTS.items()},
         "is_empty": lambda: tx.strip(raw) == "",
         "not_empty": lambda: tx.strip(raw) != "",
     }
@@ -78,8 +88,10 @@ def grid_condition(column: str, op: str, value: str = "") -> Column:
     return tests[op]()
 
 
-def grid_sort(column: str, direction: str = "asc") -> list[Column]:
-    """Sort keys of the data grid: numbers first by value, then the rest as text."""
+def grid_sort(column: str, direction: str = "asc", dtype: T.DataType | None = None) -> list[Column]:
+    """Sort keys of the data grid: numbers first by value, then the rest as text; a number column by itself."""
+    if dtype is not None and is_numeric(dtype):
+        return [col(column).asc_nulls_last() if direction == "asc" else col(column).desc_nulls_last()]
     number, raw = col(column).cast("string").try_cast("double"), F.coalesce(col(column).cast("string"), F.lit(""))
     if direction == "asc":
         return [number.asc_nulls_last(), raw.asc()]
@@ -91,8 +103,8 @@ def grid_view(
 ) -> DataFrame:
     """Rows that pass every (column, op, value) filter, sorted by one column."""
     if filters:
-        df = df.filter(reduce(and_, [grid_condition(*f) for f in filters]))
-    return df.orderBy(*grid_sort(*sort)) if sort else df
+        df = df.filter(reduce(and_, [grid_condition(*f, dtype=df.schema[f[0]].dataType) for f in filters]))
+    return df.orderBy(*grid_sort(*sort, dtype=df.schema[sort[0]].dataType)) if sort else df
 
 
 # -- standardisation and format repair ------------------------------------------------------
@@ -116,18 +128,12 @@ def change_case(df: DataFrame, column: str, method: str) -> Outcome:
     )
 
 
-def email_columns(df: DataFrame, columns: list[str], order_by) -> list[str]:
-    """Columns with an '@' among their first 20 non-null values."""
+def email_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns with an '@' in any value, from one aggregate over all of them."""
     if not columns:
         return []
-    order = require_order(order_by, "Looking for e-mail columns")
-    # Top-20 per column is a heap per task; the union makes it one job.
-    firsts = [
-        df.where(col(c).isNotNull()).orderBy(*order).limit(20).select(F.lit(c).alias("c"), col(c).contains("@").alias("at"))
-        for c in columns
-    ]
-    seen = reduce(DataFrame.unionAll, firsts).where("at").select("c").distinct().collect()
-    return [c for c in columns if c in {r.c for r in seen}]
+    found = df.agg(*[F.bool_or(col(c).contains("@")).alias(f"at{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if found[f"at{i}"]]
 
 
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy"]
@@ -147,18 +153,17 @@ def fix_formats(
     df: DataFrame,
     column: str | None = None,
     format_type: str = "auto",
-    order_by=None,
     date_formats: list[str] = DATE_FORMATS,
 ) -> Outcome:
     """Repair e-mails (lower-case, strip) and white space (strip) in text columns.
 
-    ``order_by`` says which rows come first when a column is tested for e-mails. ``dates`` and
-    ``phones`` must be asked for by name.
+    A column counts as e-mails if any of its values has an '@'. ``dates`` and ``phones`` must be
+    asked for by name.
     """
     names = [column] if column else text_columns(df)
     names = [c for c in names if c in df.columns and is_text(df.schema[c].dataType)]
     after: dict[str, Column] = {}
-    emails = set(email_columns(df, names, order_by)) if format_type in ("auto", "emails") else set()
+    emails = set(email_columns(df, names)) if format_type in ("auto", "emails") else set()
     for c in names:
         if c in emails:
             after[c] = tx.strip(F.lower(col(c)))

@@ -38,6 +38,8 @@ SQLITE = {
 }
 ENGINES = {"postgresql": POSTGRESQL, "mysql": MYSQL, "sqlite": SQLITE}
 LOW_CARDINALITY = 0.1
+#: The longest text that is declared with a length; columns with longer ones are TEXT.
+LONGEST = 255
 
 
 def sql_type(dtype: T.DataType, engine: str = "postgresql") -> str:
@@ -54,6 +56,8 @@ def ddl_profile(df: DataFrame, engine: str = "postgresql", exact: bool = True) -
     counts = []
     for i, f in enumerate(fields):
         counts.append(F.count_if(col(f.name).isNull()).alias(f"n{i}"))
+        if is_text(f.dataType):
+            counts.append(F.coalesce(F.max(F.length(col(f.name))), F.lit(0)).alias(f"l{i}"))
         if is_text(f.dataType) and "id" not in f.name.lower():
             unique = distinct_values(col(f.name)) if exact else F.approx_count_distinct(col(f.name))
             counts.append(unique.alias(f"u{i}"))
@@ -68,11 +72,14 @@ def ddl_profile(df: DataFrame, engine: str = "postgresql", exact: bool = True) -
             hint = F.when(F.col(f"u{i}") < F.col("rows") * LOW_CARDINALITY, F.lit("category"))
         else:
             hint = F.lit(None).cast("string")
+        declared = F.lit(sql_type(f.dataType, engine))
+        if is_text(f.dataType):
+            declared = F.when(F.col(f"l{i}") > LONGEST, "TEXT").otherwise(declared)
         lines.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(f.name).alias("column_name"),
-                F.lit(sql_type(f.dataType, engine)).alias("sql_type"),
+                declared.alias("sql_type"),
                 (F.col(f"n{i}") > 0).alias("nullable"),
                 hint.alias("layout_hint"),
             )

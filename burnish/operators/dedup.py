@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from burnish.functions.ordering import with_rank
 from burnish.functions.scratch import spread, stage
 from burnish.functions.similarity import lengths_fit, may_be_similar, text_signatures, text_similarity
-from burnish.functions.text import comparison_columns, composite_text, prefix_block
+from burnish.functions.text import comparison_columns, composite_text
 from burnish.functions.types import col, fresh_name, is_text, require_column, require_order
 from burnish.operators.columns import CASINGS, change_case
 from burnish.operators.leaders import Matcher, greedy_leaders
@@ -75,14 +75,14 @@ def deduplicate(
     subset: list[str] | None = None,
     threshold: float = FUZZY_THRESHOLD,
     order_by=None,
-    blocking: str = "none",
+    block_by: list[str] = (),
 ) -> Outcome:
     """Keep the first row of each group of duplicates.
 
     ``exact`` compares whole rows, or ``subset`` with the first row under ``order_by`` kept.
     ``fuzzy`` compares the text of ``subset`` (all text columns by default); with
-    ``blocking='prefix'`` only rows agreeing in the first two characters. ``order_by`` must be
-    unique and is required whenever position decides.
+    ``block_by`` (SQL expressions over ``text``, the compared text) only texts that agree in all of
+    them. ``order_by`` must be unique and is required whenever position decides.
     """
     details = {"strategy": strategy, "subset": subset, "threshold": threshold}
     if strategy == "exact":
@@ -91,13 +91,13 @@ def deduplicate(
         columns = comparison_columns(df, subset)
         if not columns:
             return Outcome(df, "deduplicate_fuzzy", details=details, template="No text columns to compare.")
-        texts = composite_texts(df, columns, order_by, blocking)
+        texts = composite_texts(df, columns, order_by, block_by)
         order = [F.col("first"), F.col("text")]
         vertices, result = text_leaders(texts, order, threshold, assign=False)
         kept = vertices.join(result.where("leader IS NOT NULL").select("id"), "id", "left_semi")
         after = rows_of(df, kept, columns, order_by)
     else:
-        raise ValueError(f"Unknown dedup strategy: {strategy}. Use 'exact' or 'fuzzy'.")
+        raise ValueError(f"No strategy named {strategy!r}: exact and fuzzy are known.")
     return Outcome(
         after, f"deduplicate_{strategy}", rows_removed(df, after), details, "Removed {rows_affected:,} {strategy} duplicate rows."
     )
@@ -116,12 +116,10 @@ def _order_key(order_by) -> Column:
     return F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
 
 
-def composite_texts(df: DataFrame, columns: list[str], order_by, blocking: str = "none") -> DataFrame:
+def composite_texts(df: DataFrame, columns: list[str], order_by, block_by: list[str] = ()) -> DataFrame:
     """Distinct compared texts, each with the order key of its first row and its block."""
-    if blocking not in ("none", "prefix"):
-        raise ValueError(f"Unknown blocking: {blocking}")
     keyed = df.select(composite_text(columns).alias("text"), _order_key(order_by).alias("first"))
-    block = prefix_block(F.col("text")) if blocking == "prefix" else F.lit("")
+    block = F.to_json(F.struct(*[F.expr(e).alias(f"b{i}") for i, e in enumerate(block_by)])) if block_by else F.lit("")
     return keyed.groupBy("text").agg(F.min("first").alias("first")).withColumn("block", block)
 
 
@@ -138,11 +136,11 @@ def fuzzy_matches(
     subset: list[str] | None = None,
     threshold: float = FUZZY_THRESHOLD,
     order_by=None,
-    blocking: str = "none",
+    block_by: list[str] = (),
 ) -> DataFrame:
     """What fuzzy dedup removes and why: (text, kept_text, score), one line per removed text."""
     columns = comparison_columns(df, subset)
-    texts = composite_texts(df, columns, order_by, blocking)
+    texts = composite_texts(df, columns, order_by, block_by)
     vertices, result = text_leaders(texts, [F.col("first"), F.col("text")], threshold, assign=True)
     removed = result.where(F.col("leader") != F.col("id"))
     return (

@@ -30,11 +30,11 @@ def slice_rows(df: DataFrame, start: int = 0, stop: int = 100, order_by=None) ->
     offset would pull every skipped row into one task.
     """
     order = require_order(order_by, "A slice")
-    if stop <= SHALLOW_SLICE:
+    if stop <= SHALLOW_SLICE:  # the same rows in the same order, at less cost
         return df.orderBy(*order).limit(stop).offset(start)
     place = fresh_name(df, "__place")
     numbered = with_row_index(df, order, place)
-    return numbered.where((F.col(place) >= start) & (F.col(place) < stop)).drop(place)
+    return numbered.where((F.col(place) >= start) & (F.col(place) < stop)).orderBy(place).drop(place)
 
 
 def preview(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
@@ -71,7 +71,10 @@ JOINS = {
 
 
 def join_tables(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on same-named keys; other-side names already taken get the suffix ``_right``."""
+    """Equi-join on same-named keys.
+
+    Right-side names already taken get the first free suffix of ``_right``, ``_right2``, ``_right3`` ...
+    """
     keys = [on] if isinstance(on, str) else list(on or [])
     if right is None or not keys:
         raise ValueError("join requires a right table and key column(s).")
@@ -81,10 +84,15 @@ def join_tables(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     for k in keys:
         require_column(left, k)
         require_column(right, k)
-    renamed = right.select(
-        *[col(c).alias(f"{c}_right" if c in left.columns else c) for c in right.columns]
-    )
-    condition = [left[quoted(k)] == renamed[quoted(f"{k}_right")] for k in keys]
+    taken, names = {c.lower() for c in left.columns}, {}
+    others = {c.lower() for c in right.columns} - taken
+    for c in right.columns:
+        names[c], i = c, 1
+        while names[c].lower() in taken or (names[c] != c and names[c].lower() in others):
+            names[c], i = f"{c}_right{i if i > 1 else ''}", i + 1
+        taken.add(names[c].lower())
+    renamed = right.select(*[col(c).alias(names[c]) for c in right.columns])
+    condition = [left[quoted(k)] == renamed[quoted(names[k])] for k in keys]
     return left.join(renamed, condition, kind)
 
 

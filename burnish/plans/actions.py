@@ -68,10 +68,9 @@ class ActionRunner:
 
     def run(self, df: DataFrame, action: Action) -> Outcome:
         """One action; the outcome's table is the input itself for actions that only report."""
-        step = getattr(self, f"_{action.type}", None)
-        if step is None:
+        if action.type not in self.STEPS:
             raise ValueError(f"Unknown action: {action.type}")
-        return step(df, action)
+        return self.STEPS[action.type](self, df, action)
 
     def apply(self, df: DataFrame, actions: str | list) -> DataFrame:
         """Fold the actions over the table."""
@@ -84,7 +83,7 @@ class ActionRunner:
     def _deduplicate(self, df, a):
         p = a.params
         return deduplicate(
-            df, p.get("strategy", "exact"), p.get("subset"), p.get("threshold", 0.85), self.order_by, p.get("blocking", "none")
+            df, p.get("strategy", "exact"), p.get("subset"), p.get("threshold", 0.85), self.order_by, p.get("block_by", ())
         )
 
     def _deduplicate_semantic(self, df, a):
@@ -97,7 +96,7 @@ class ActionRunner:
         return standardize(df, a.column or "", a.params.get("method", "cluster_merge"))
 
     def _fix_formats(self, df, a):
-        return cols.fix_formats(df, a.column, a.params.get("format_type", "auto"), self.order_by)
+        return cols.fix_formats(df, a.column, a.params.get("format_type", "auto"))
 
     def _fill_nulls(self, df, a):
         p = a.params
@@ -131,7 +130,7 @@ class ActionRunner:
         p = a.params
         fmt = p.get("format", "csv")
         path = export(df, p.get("path", f"export.{fmt}"), fmt, p.get("table_name") or "data")
-        return Outcome(df, "export", details={"path": path, "format": fmt}, template="Exported to {path} ({format}).")
+        return Outcome(df, "export", details={"path": path, "format": fmt}, template="Wrote {format} to {path}.")
 
     # -- queries ----------------------------------------------------------------------------
 
@@ -148,15 +147,18 @@ class ActionRunner:
 
     def _group_by(self, df, a):
         p = a.params
-        by = _first(p, "by", "group_by", "column", default=[])
+        by = _first(p, "by", "group_by", default=None)
+        on = p.get("on")
+        if by is None:
+            by = p.get("column") or []
+        elif on is None and p.get("function", "count") != "count":
+            on = p.get("column")  # next to a key, the column is what is measured
         source = self._table(df, _first(p, "table", "from"))
         out = rel.aggregate(
-            source, by, p.get("function", "count"), p.get("on"), p.get("having"), p.get("columns", ()), self.order_by
+            source, by, p.get("function", "count"), on, p.get("having"), p.get("columns", ()), self.order_by
         )
         return Outcome(out, "query")
 
-    _aggregate = _group_by
-
     def _sort_by(self, df, a):
         p = a.params
         limit = p.get("limit")
@@ -174,11 +176,32 @@ class ActionRunner:
         p = a.params
         right, on = _first(p, "right", "with"), _first(p, "on", "key")
         if not right or not on:
-            raise ValueError("join requires 'right' dataset and 'on' column(s).")
+            raise ValueError("A join needs 'right' (a dataset) and 'on' (one or more columns).")
         left = self._table(df, _first(p, "left", "table"))
         return Outcome(rel.join_tables(left, self._table(df, right), on, _first(p, "how", "type", default="inner")), "query")
 
-    _merge = _join
+    # The names that actions are written with.
+    STEPS = {
+        "deduplicate": _deduplicate,
+        "deduplicate_semantic": _deduplicate_semantic,
+        "standardize": _standardize,
+        "fix_formats": _fix_formats,
+        "fill_nulls": _fill_nulls,
+        "remove_outliers": _remove_outliers,
+        "drop_columns": _drop_columns,
+        "rename_column": _rename_column,
+        "filter_rows": _filter_rows,
+        "profile": _profile,
+        "generate_sql": _generate_sql,
+        "export": _export,
+        "query": _query,
+        "group_by": _group_by,
+        "aggregate": _group_by,
+        "sort_by": _sort_by,
+        "slice": _slice,
+        "join": _join,
+        "merge": _join,
+    }
 
 
 def apply_actions(df: DataFrame, actions: str | list, order_by=None, datasets: Datasets | None = None, embed=None) -> DataFrame:
@@ -215,7 +238,7 @@ def run_and_commit(
             actions=action_dicts([action]),
         )
         if datasets is not None and action.type in QUERY_ACTIONS:
-            name = alias_of(action.params.get("description", "result"))[:24].strip("_").lower() or "result"
+            name = alias_of(action.params.get("description", "result")).strip("_").lower() or "result"
             datasets.register(f"{name}.result", store.get_current(), activate=False)
     return version
 
@@ -237,30 +260,25 @@ def replay(df: DataFrame, store: VersionStore, version_id: str | None = None, or
 
 # -- automatic cleaning ---------------------------------------------------------------------
 
-MERGE_VALUES = (2, 100)
-MERGE_ROWS = 20
-
-
-def auto_clean(df: DataFrame, order_by=None, compatible: bool = False) -> tuple[DataFrame, list[Action]]:
+def auto_clean(df: DataFrame, order_by=None, compatible: bool = False, leave_out: list[str] = ()) -> tuple[DataFrame, list[Action]]:
     """Drop duplicate rows, repair formats, merge case variants, fill nulls by mode.
 
-    Returns the table and the steps taken. Spellings are merged in text columns with 2 to 100
-    distinct values, more than 20 rows and fewer values once lower-cased; with ``compatible`` a
-    null alone also counts as a variant.
+    Returns the table and the steps taken. Spellings are merged in every text column that has fewer
+    values once lower-cased, except those named in ``leave_out``; with ``compatible`` a null alone
+    also counts as a variant.
     """
     steps = [Action("deduplicate", {"strategy": "exact"}), Action("fix_formats", {"format_type": "auto"})]
     runner = ActionRunner(order_by)
     # Written once: the counts below and the result all start from it.
     current = stage(runner.apply(df, steps), "cleaned")
-    texts = [f.name for f in df.schema.fields if is_text(f.dataType)]
+    texts = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name not in leave_out]
     if texts:
         counted = distinct_counts(current.select(*[cols.col(c) for c in texts]), texts)
-        rows = current.count()
         holes = {c for c, n in null_counts(current, texts).items() if n}
         for c in texts:
             values = counted[c] + (c in holes)
             variants = counted[f"lower:{c}"] < (values if compatible else counted[c])
-            if MERGE_VALUES[0] <= values <= MERGE_VALUES[1] and rows > MERGE_ROWS and variants:
+            if variants:
                 steps.append(Action("standardize", {"method": "cluster_merge"}, f"column:{c}"))
                 current = runner.run(current, steps[-1]).df
     steps.append(Action("fill_nulls", {"strategy": "mode"}))

@@ -48,7 +48,8 @@ class Datasets:
         """The name itself, or stem_2.ext, stem_3.ext ... when it is taken."""
         stem, ext = os.path.splitext(name)
         candidate, i = name, 2
-        while candidate in self._frames:
+        aliases = {alias_of(n) for n in self._frames}
+        while candidate in self._frames or alias_of(candidate) in aliases:
             candidate, i = f"{stem}_{i}{ext}", i + 1
         return candidate
 

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
-    """Delimited text with a header. Types, dates among them, are inferred unless given."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Delimited text with a header. Types, dates among them, are inferred unless given.
+
+    ``multi_line`` reads line breaks within quotes, at the price of one task per file.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
@@ -45,10 +50,12 @@ def load(
     n_rows: int | None = None,
     schema: T.StructType | str | None = None,
     format: str | None = None,
+    **options,
 ) -> DataFrame:
     """Scan a file, a folder or a glob, lazily; the extension (or ``format``) names the reader.
 
-    Give ``schema`` for large delimited or JSON input: inference reads the data once more.
+    Give ``schema`` for large delimited or JSON input: inference reads the data once more. Further
+    options go to the reader (``multi_line`` for delimited text).
     """
     suffix = f".{format.lstrip('.')}" if format else os.path.splitext(path.rstrip("/*"))[1].lower()
     reader = READERS.get(suffix)
@@ -57,5 +64,5 @@ def load(
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path):
         raise FileNotFoundError(f"File not found: {path}")
-    df = reader(spark, path, schema=schema)
+    df = reader(spark, path, schema=schema, **options)
     return df.limit(n_rows) if n_rows is not None else df

@@ -77,19 +77,20 @@ def write_table(
     connection: Connection = CATALOG,
     if_exists: str = "replace",
     path: str | None = None,
+    schema: str | None = None,
 ) -> None:
-    """Write to a JDBC table, or to a catalog table whose files go to ``path``."""
+    """Write to a JDBC table, or to a catalog table (in ``schema``) whose files go to ``path``."""
     if if_exists not in MODES:
         raise ValueError(f"Unknown if_exists: {if_exists}")
     writer = df.write.mode(MODES[if_exists])
     if connection.url:
         writer.format("jdbc").option("url", connection.url).options(**connection.options).option(
-            "dbtable", table
+            "dbtable", f"{schema}.{table}" if schema else table
         ).save()
     else:
         if path:
             writer = writer.option("path", path)
-        writer.format("parquet").saveAsTable(quoted(table))
+        writer.format("parquet").saveAsTable(f"{quoted(schema)}.{quoted(table)}" if schema else quoted(table))
 
 
 def describe_tables(tables: dict[str, DataFrame]) -> DataFrame:
@@ -125,4 +126,5 @@ def get_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:
             [],
             "table_name string, ordinal int, column_name string, column_type string, nullable boolean, row_count long",
         )
-    return describe_tables({n: read_table(spark, n) for n in names})
+    inside = {t.name: None if t.isTemporary else schema for t in listed}
+    return describe_tables({n: read_table(spark, n, schema=inside[n]) for n in names})

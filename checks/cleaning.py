@@ -39,7 +39,7 @@ def f4(spark, sf):
 @query("f5_fix_emails", f"SELECT c_custkey, c_name, c_mktsegment, lower(trim(c_email)) AS c_email FROM ({DIRTY_CUSTOMER})")
 def f5(spark, sf):
     df = view(spark, sf, DIRTY_CUSTOMER).select("c_custkey", "c_name", "c_mktsegment", "c_email")
-    return cols.fix_formats(df, format_type="emails", order_by="c_custkey").df
+    return cols.fix_formats(df, format_type="emails").df
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -61,7 +61,7 @@ def f6(spark, sf):
 )
 def f7(spark, sf):
     df = view(spark, sf, DIRTY_CUSTOMER).select("c_custkey", "c_name", "c_mktsegment", "c_email")
-    return cols.fix_formats(df, order_by="c_custkey").df
+    return cols.fix_formats(df).df
 
 
 @query(
@@ -70,7 +70,7 @@ def f7(spark, sf):
         FROM ({DIRTY_CUSTOMER})""",
 )
 def f7_metrics(spark, sf):
-    return cols.fix_formats(view(spark, sf, DIRTY_CUSTOMER), order_by="c_custkey").metrics
+    return cols.fix_formats(view(spark, sf, DIRTY_CUSTOMER)).metrics
 
 
 _DATES = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN {a} WHEN 'O' THEN {b} ELSE 'pending' END AS day FROM {orders}"""
@@ -85,6 +85,14 @@ def f8_dates(spark, sf):
     sql = _DATES.replace("{a}", "date_format(o_orderdate, 'yyyy/MM/dd')").replace("{b}", "date_format(o_orderdate, 'dd/MM/yyyy')")
     return cols.fix_formats(view(spark, sf, sql), "day", "dates").df
 
+# E-mails appear only after the first thousand rows.
+_LATE_MAIL = "SELECT event_id, CASE WHEN event_id > 1000 THEN concat(' U', CAST(user_id AS STRING), '@Mail.COM') ELSE 'None' END AS contact FROM {events}"
+
+
+@query("f5_late_emails", f"SELECT event_id, lower(trim(contact)) AS contact FROM ({_LATE_MAIL})")
+def f5_late(spark, sf):
+    return cols.fix_formats(view(spark, sf, _LATE_MAIL), format_type="emails").df
+
 
 @query("f8_fix_phones", "SELECT c_custkey, '+' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone FROM customer")
 def f8_phones(spark, sf):

@@ -36,7 +36,7 @@ def column_sql(source: str, columns: dict[str, str]) -> str:
     return f"""SELECT *, 100.0 * null_count / n AS null_pct, 100.0 * unique_count / n AS unique_pct,
         CAST(100.0 * null_count / n > 50 AS INT)
         + CAST(100.0 * unique_count / n > 95 AND unique_count < n AND contains(lower(name), 'id') AS INT)
-        + CAST(mixed_case AND unique_count BETWEEN 1 AND 50 AND n > 100 AS INT)
+        + CAST(mixed_case AS INT)
         + CAST(coalesce(outlier_count, 0) > 0 AS INT) AS issue_count
         FROM ({' UNION ALL '.join(parts)})"""
 
@@ -187,13 +187,38 @@ _FIRST_DAYS = _TWO_DATES.replace("{a}", "strftime(o_orderdate, '%Y-%m-%d')").rep
     "r10_mixed_dates",
     f"""SELECT 'day' AS name, 'Mixed date formats: ' || string_agg(layout, ', ' ORDER BY layout) AS issue
         FROM (SELECT DISTINCT CASE WHEN contains(day, '/') THEN 'YYYY/MM/DD' ELSE 'YYYY-MM-DD' END AS layout
-              FROM (SELECT * FROM ({_FIRST_DAYS}) ORDER BY o_orderkey LIMIT 50)) HAVING count(*) > 1""",
+              FROM ({_FIRST_DAYS})) HAVING count(*) > 1""",
 )
 def r10(spark, sf):
     sql = _TWO_DATES.replace("{a}", "date_format(o_orderdate, 'yyyy-MM-dd')").replace("{b}", "date_format(o_orderdate, 'yyyy/MM/dd')")
     return issues(prof.profile_columns(view(spark, sf, sql), order_by="o_orderkey").where("name = 'day'"))
 
 
+_LATE_DAYS = """SELECT o_orderkey, CASE WHEN o_orderkey <= 1000 THEN {a} ELSE {b} END AS day FROM {orders}"""
+
+
+@query(
+    "r10_dates_change_late",
+    """SELECT 'day' AS name, 'Mixed date formats: YYYY-MM-DD, YYYY/MM/DD' AS issue FROM orders
+       HAVING count_if(o_orderkey <= 1000) > 0 AND count_if(o_orderkey > 1000) > 0""",
+)
+def r10_late(spark, sf):
+    sql = _LATE_DAYS.replace("{a}", "date_format(o_orderdate, 'yyyy-MM-dd')").replace("{b}", "date_format(o_orderdate, 'yyyy/MM/dd')")
+    return issues(prof.profile_columns(view(spark, sf, sql)).where("name = 'day'"))
+
+
+_MANY_CASES = "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'Key ' ELSE 'KEY ' END || CAST(o_orderkey % 250 AS STRING) AS label FROM {orders}"
+
+
+@query(
+    "r9_many_values_in_two_casings",
+    f"""SELECT 'label' AS name, 'Inconsistent casing (' || count(DISTINCT label) || ' variants, could be fewer)' AS issue
+        FROM ({_MANY_CASES}) HAVING count(DISTINCT lower(label)) < count(DISTINCT label)""",
+)
+def r9_many(spark, sf):
+    return issues(prof.profile_columns(view(spark, sf, _MANY_CASES)))
+
+
 @query("r13_profile_json")
 def r13(spark, sf):
     return spark.createDataFrame([(prof.profile_json(table(spark, sf, "orders"), "o_orderkey"),)], "report string")
@@ -253,6 +278,16 @@ for _engine in ENGINE_TYPES:
         return ddl.ddl_profile(view(spark, sf, GAPPY_LINEITEM), engine)
 
 
+@query(
+    "g1_ddl_long_text",
+    """SELECT 1 AS ordinal, 'text' AS column_name, CASE WHEN max(length(text)) > 255 THEN 'TEXT' ELSE 'VARCHAR(255)' END AS sql_type,
+              count(*) > count(text) AS nullable FROM documents""",
+)
+def g1_long(spark, sf):
+    out = ddl.ddl_profile(table(spark, sf, "documents"))
+    return out.where("column_name = 'text'").select("ordinal", "column_name", "sql_type", "nullable")
+
+
 @query("g1_create_table")
 def g1_text(spark, sf):
     text = ddl.create_table(view(spark, sf, GAPPY_LINEITEM), "lines")

@@ -57,11 +57,11 @@ def test_casing_issue(spark):
 
 
 def test_date_layouts():
-    assert prof.date_layouts(["2024-01-02", "2024/01/02"]) == {"YYYY-MM-DD", "YYYY/MM/DD"}
-    assert prof.date_layouts(["01/02/2024"]) == {"DD/MM/YYYY"}
-    assert prof.date_layouts(["01/02/2024"], strict=False) == {"DD/MM/YYYY", "MM/DD/YYYY"}
-    assert prof.date_layouts(["01/22/2024", "03/04/2024"]) == {"MM/DD/YYYY"}
-    assert prof.date_layouts(["01/22/2024", "22/01/2024"]) == {"DD/MM/YYYY", "MM/DD/YYYY"}
+    assert prof.date_layouts(prof.fitting_patterns(["2024-01-02", "2024/01/02"])) == {"YYYY-MM-DD", "YYYY/MM/DD"}
+    assert prof.date_layouts(prof.fitting_patterns(["01/02/2024"])) == {"DD/MM/YYYY"}
+    assert prof.date_layouts(prof.fitting_patterns(["01/02/2024"]), strict=False) == {"DD/MM/YYYY", "MM/DD/YYYY"}
+    assert prof.date_layouts(prof.fitting_patterns(["01/22/2024", "03/04/2024"])) == {"MM/DD/YYYY"}
+    assert prof.date_layouts(prof.fitting_patterns(["01/22/2024", "22/01/2024"])) == {"DD/MM/YYYY", "MM/DD/YYYY"}
 
 
 def test_estimates_are_close(spark):
@@ -175,11 +175,11 @@ def test_load_errors(spark, tmp_path):
 def test_csv_survives_quotes_and_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi", now'), (2, "two\nlines"), (3, None)], "id int, s string")
     export(df, str(tmp_path / "x.csv"), "csv")
-    back = load(spark, str(tmp_path / "x.csv"))
+    back = load(spark, str(tmp_path / "x.csv"), multi_line=True)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert load(spark, str(tmp_path / "x.csv"), n_rows=2).count() == 2
     (tmp_path / "y.tsv").write_text("a\td\n1\t2024-01-02\n")
-    assert dict(load(spark, str(tmp_path / "y.tsv")).dtypes) == {"a": "int", "d": "date"}
+    assert dict(load(spark, str(tmp_path / "y.tsv"), multi_line=True).dtypes) == {"a": "int", "d": "date"}
 
 
 def test_insert_statements(spark):

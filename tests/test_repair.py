@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from burnish.functions import statistics as stats
 from burnish.operators import columns as cols
 from burnish.operators import impute, nulls, outliers
+from burnish.operators import relational as rel
+from burnish.plans import actions as act
 
 
 def values(df, order, column):
@@ -31,19 +33,19 @@ def test_fix_formats(spark):
     df = spark.createDataFrame(
         [(1, " A@X.Org\t", "a "), (2, None, " b b "), (3, "b@y.org", None)], "id long, mail string, note string"
     )
-    out = cols.fix_formats(df, order_by="id")
+    out = cols.fix_formats(df)
     assert values(out.df, "id", "mail") == ["a@x.org", None, "b@y.org"]
     assert values(out.df, "id", "note") == ["a", "b b", None]
     assert out.rows_affected == 3
-    assert cols.fix_formats(out.df, order_by="id").rows_affected == 0
+    assert cols.fix_formats(out.df).rows_affected == 0
     days = spark.createDataFrame([("2024/03/01",), ("31/12/2023",), ("soon",)], "d string")
     assert [r.d for r in cols.fix_formats(days, "d", "dates").df.collect()] == ["2024-03-01", "2023-12-31", "soon"]
 
 
-def test_email_sample_is_the_first_twenty(spark):
+def test_one_late_email_is_enough(spark):
     df = spark.createDataFrame([(i, "X@Y" if i == 20 else " Z ") for i in range(30)], "id long, s string")
-    assert cols.email_columns(df, ["s"], "id") == []
-    assert cols.email_columns(df, ["s"], F.desc("id")) == ["s"]
+    assert cols.email_columns(df, ["s"]) == ["s"]
+    assert cols.email_columns(df.where("not contains(s, '@')"), ["s"]) == []
 
 
 def test_pinned_fills(spark):
@@ -180,3 +182,44 @@ def test_forest_fills_and_learns(spark):
     got = {r.id: r.y for r in out.collect()}
     assert all(abs(got[i] - 3 * x) < 40 for i, x, y in rows if y is None)
     assert all(got[i] == y for i, x, y in rows if y is not None)
+
+
+def test_no_size_decides(spark):
+    few = spark.createDataFrame([(i, "North" if i % 2 else "NORTH") for i in range(10)], "id long, region string")
+    cleaned, steps = act.auto_clean(few)
+    assert any(s.type == "standardize" for s in steps) and {r.region for r in cleaned.collect()} <= {"North", "NORTH"}
+    assert cleaned.select("region").distinct().count() == 1
+    assert not any(s.type == "standardize" for s in act.auto_clean(few, leave_out=["region"])[1])
+
+
+def test_chained_joins_keep_names_apart(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a")], "k long, v string")
+    out = t
+    for _ in range(3):
+        out = rel.join_tables(out, t, "k")
+    out.write.parquet(str(tmp_path / "joined"))
+    assert out.columns == ["k", "v", "k_right", "v_right", "k_right2", "v_right2", "k_right3", "v_right3"]
+
+
+def test_number_filters_reach_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "n"))
+    df = cols.grid_view(spark.read.parquet(str(tmp_path / "n")), [("id", "gt", "95")], ("id", "desc"))
+    assert "GreaterThan(id,95" in df._jdf.queryExecution().toString() and [r.id for r in df.collect()] == [99, 98, 97, 96]
+
+
+def test_aliases_stay_apart(spark):
+    from burnish.sources.datasets import Datasets
+
+    sets = Datasets(spark)
+    one, two = sets.register("a b.csv", spark.range(1)), sets.register("a-b.csv", spark.range(2))
+    assert one != two and sets["a_b"].count() == 1 and spark.table("a_b").count() == 1
+    sets.remove(two)
+    assert spark.table("a_b").count() == 1
+
+
+def test_column_is_the_measure_next_to_a_key(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 2)], "g string, n long")
+    out = act.apply_actions(df, [{"type": "aggregate", "params": {"by": "g", "function": "sum", "column": "n"}}])
+    assert out.first().sum_n == 3
+    with pytest.raises(ValueError):
+        act.apply_actions(df, [{"type": "table"}])
