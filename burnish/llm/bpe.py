@@ -33,7 +33,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from burnish.functions.scratch import stage
 from burnish.llm.frames import arrow_schema
 
-LEAF, SPREAD, CACHED = 48, 1 << 20, 1 << 19
+LEAF, SPREAD, CACHED = 48, 1 << 20, 1 << 18
 #: Above every merge's rank.
 NEVER = 1 << 60
 #: White space to the tokenizer: the Unicode property, which lacks four controls that str.split() splits at.
