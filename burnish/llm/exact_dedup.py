@@ -154,7 +154,8 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     repeats = maybe.groupBy("doc_id", "sha", "n_points").agg(F.count("*").alias("times"))
     order = F.struct("n_points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
     stays = repeats.groupBy("sha").agg(F.max_by(F.struct("doc_id", "n_points"), order).alias("stay"))
-    groups = stays.join(verified, "sha", "left")
+    # Written first, so that both sides of the join below are plain shuffles and a hot text can be split.
+    groups = stage(stays.join(verified, "sha", "left"), "groups")
     grouped = (
         repeats.join(groups, "sha")
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
