@@ -232,7 +232,8 @@ def run_and_commit(
             outcome.df,
             outcome.operation,
             action.params.get("description", outcome.description),
-            rows_affected=outcome.rows_affected,
+            quality_score=None,
+            rows_affected=None if action.type in QUERY_ACTIONS else outcome.rows_affected,
             sql=sql,
             datasets_used=datasets.names if datasets and action.type in QUERY_ACTIONS else [],
             actions=action_dicts([action]),

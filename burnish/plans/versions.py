@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from burnish.functions.ordering import with_row_index
 from burnish.functions.types import as_columns, col, quoted
+from burnish.operators.profile import measure
 
 LOG_SCHEMA = T.StructType(
     [
@@ -125,7 +126,7 @@ class VersionStore:
 
     # -- commits ----------------------------------------------------------------------------
 
-    def create_initial(self, df: DataFrame, quality_score: int = 0) -> Version:
+    def create_initial(self, df: DataFrame, quality_score: int | None = 0) -> Version:
         return self._commit(df, "load", "Dataset loaded", None, quality_score=quality_score, rows_affected=None)
 
     def commit(
@@ -133,13 +134,17 @@ class VersionStore:
         df: DataFrame,
         operation: str,
         description: str = "",
-        quality_score: int = 0,
-        rows_affected: int = 0,
+        quality_score: int | None = 0,
+        rows_affected: int | None = 0,
         sql: str | None = None,
         datasets_used: list[str] = (),
         actions: list[dict] | None = None,
     ) -> Version:
-        """Write a snapshot as a child of the current version and make it current."""
+        """Write a snapshot as a child of the current version and make it current.
+
+        With None as ``quality_score`` the written snapshot is profiled for it; with None as
+        ``rows_affected`` the snapshot's rows count.
+        """
         return self._commit(
             df, operation, description, self.current_id, quality_score=quality_score, rows_affected=rows_affected,
             sql=sql, datasets_used=list(datasets_used), actions=json.dumps(actions) if actions else None,
@@ -154,6 +159,8 @@ class VersionStore:
         df.write.parquet(target)
         # Row count from the written files' footers.
         rows = self.spark.read.parquet(target).count()
+        if more["quality_score"] is None:
+            more["quality_score"] = measure(self._snapshot(version_id).drop(ROW_INDEX))["quality_score"]
         version = Version(
             id=version_id, label="", description=description, timestamp=time.time(), parent_id=parent, operation=operation,
             rows_affected=rows if rows_affected is None else rows_affected, row_count=rows, col_count=columns, **more,

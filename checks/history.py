@@ -10,6 +10,7 @@ from burnish.plans import versions as ver
 from burnish.plans.versions import VersionStore
 from burnish.sources.datasets import Datasets
 from checks.duplicates import merge_walk
+from checks.profiling import CUSTOMER_COLUMNS, score_sql
 from checks.registry import DIRTY_CUSTOMER, GAPPY_LINEITEM, plain, query, table, view
 
 _DIRTY = plain(DIRTY_CUSTOMER)
@@ -27,10 +28,10 @@ CLEANED_SQL = f"""SELECT c_custkey, {_STRIPPED} AS c_name, c_nationkey, coalesce
                          lower(c_mktsegment) AS c_mktsegment FROM ({_DIRTY}) WHERE c_nationkey IS NOT NULL"""
 
 
-def filled_store(spark, sf) -> VersionStore:
+def filled_store(spark, sf, quality_score=0) -> VersionStore:
     """The dirty customers, cleaned in recorded steps."""
     store = VersionStore(spark, scratch_path(spark, "store"), order_by="c_custkey")
-    store.create_initial(view(spark, sf, DIRTY_CUSTOMER))
+    store.create_initial(view(spark, sf, DIRTY_CUSTOMER), quality_score)
     act.run_and_commit(store, CLEANING[1:4:2], order_by="c_custkey")
     return store
 
@@ -55,6 +56,21 @@ def v1(spark, sf):
     )
 
 
+_SNAPSHOTS = [
+    _DIRTY,
+    f"SELECT * REPLACE (lower(c_mktsegment) AS c_mktsegment) FROM ({_DIRTY})",
+    f"SELECT * REPLACE (lower(c_mktsegment) AS c_mktsegment) FROM ({_DIRTY}) WHERE c_nationkey IS NOT NULL",
+]
+
+
+@query(
+    "v1_quality_scores",
+    " UNION ALL ".join(f"SELECT {i} AS position, quality_score FROM ({score_sql(s, CUSTOMER_COLUMNS)})" for i, s in enumerate(_SNAPSHOTS)),
+)
+def v1_scores(spark, sf):
+    return filled_store(spark, sf, quality_score=None).get_timeline().select("position", "quality_score")
+
+
 @query("v2_checkout", _DIRTY)
 def v2(spark, sf):
     store = filled_store(spark, sf)
