@@ -56,19 +56,15 @@ def forward_fill(df: DataFrame, columns: list[str], order_by, partition_by: list
     tails = (
         ranged.join(ends.select(tag, F.col("__last").alias("__key")), [tag, "__key"]).groupBy(tag, "__key").agg(*latest)
     )
-    tails = tails.withColumnsRenamed({tag: "__from"})
-    # Every earlier range ending in this range's first key; at most one line per pair of ranges.
+    # One line per range for its first key, and one for its last; what came last above a first key is carried.
+    blank = [F.lit(None).cast(tails.schema[f"__v{i}"].dataType).alias(f"__v{i}") for i in range(len(columns))]
+    heads = ends.select(tag, F.col("__first").alias("__key"), F.lit(0).alias("__side"), *blank)
+    lines = heads.unionByName(tails.withColumn("__side", F.lit(1)))
+    so_far = Window.partitionBy("__key").orderBy(tag, "__side").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
-        ends.select(tag, F.col("__first").alias("__key"))
-        .join(tails, "__key")
-        .where(F.col("__from") < F.col(tag))
-        .groupBy(tag, "__key")
-        .agg(
-            *[
-                F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col("__from"))).alias(f"__c{i}")
-                for i in range(len(columns))
-            ]
-        )
+        lines.withColumns({f"__c{i}": F.last(f"__v{i}", ignorenulls=True).over(so_far) for i in range(len(columns))})
+        .where("__side = 0")
+        .select(tag, "__key", *[f"__c{i}" for i in range(len(columns))])
     )
     above = Window.partitionBy(tag, "__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = {

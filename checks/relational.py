@@ -305,8 +305,11 @@ sql_query(
 )
 sql_query(
     "q7_as_of_join",
-    """SELECT c.event_id, c.user_id, max_by(e.event_id, e.ts) AS last_error FROM {events} c JOIN {events} e
-       ON c.user_id = e.user_id AND e.ts <= c.ts AND e.event_type = 'error' AND c.event_type = 'purchase' GROUP BY 1, 2""",
+    """SELECT event_id, user_id, last_error FROM (
+         SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END) IGNORE NULLS OVER (
+                  PARTITION BY user_id ORDER BY ts, event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error
+         FROM {events} WHERE event_type IN ('error', 'purchase'))
+       WHERE event_type = 'purchase' AND last_error IS NOT NULL""",
     """SELECT c.event_id, c.user_id, e.event_id AS last_error FROM (SELECT * FROM events WHERE event_type = 'purchase') c
        ASOF JOIN (SELECT * FROM events WHERE event_type = 'error') e ON c.user_id = e.user_id AND c.ts >= e.ts""",
 )
