@@ -53,10 +53,19 @@ def cells_changed(before: Column, after: Column) -> Column:
     return F.count_if(before != after)
 
 
+def hashed(c: Column) -> Column:
+    """128 bits that stand for a value; null has its own."""
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"), c.isNull().alias("none"))
+
+
 def column_change(df: DataFrame, name: str, after: Column) -> DataFrame:
-    """Distinct values before and after a column-wise change, and cells changed, in one aggregate."""
-    return df.select(col(name).alias("b"), after.alias("a")).agg(
-        distinct_values(F.col("b")).alias("before_unique"),
-        distinct_values(F.col("a")).alias("after_unique"),
-        cells_changed(F.col("b"), F.col("a")).alias("rows_affected"),
+    """Distinct values before and after a column-wise change, and cells changed, in one pass over hashes."""
+    changed = F.coalesce((col(name) != after).cast("long"), F.lit(0).cast("long"))
+    before = F.struct(F.lit(True).alias("before"), hashed(col(name)).alias("h"), changed.alias("changed"))
+    entries = F.array(before, F.struct(F.lit(False).alias("before"), hashed(after).alias("h"), F.lit(0).cast("long").alias("changed")))
+    seen = df.select(F.explode(entries).alias("e")).groupBy("e.before", "e.h").agg(F.sum("e.changed").alias("changed"))
+    return seen.agg(
+        F.count_if("before").alias("before_unique"),
+        F.count_if(~F.col("before")).alias("after_unique"),
+        F.coalesce(F.sum("changed"), F.lit(0)).alias("rows_affected"),
     )
