@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions import text as tx
-from burnish.functions.types import as_columns, col, is_text, is_numeric, require_column, text_columns
+from burnish.functions.types import col, is_numeric, is_text, require_column, text_columns
 from burnish.operators.outcome import Outcome, cells_changed, column_change, rows_removed
 
 

@@ -6,7 +6,7 @@ from burnish.functions.text import bucketize
 from burnish.operators import columns as cols
 from burnish.operators import relational as rel
 from burnish.sources.datasets import run_query
-from checks.registry import DIRTY_CUSTOMER, plain, query, table, view
+from checks.registry import DIRTY_CUSTOMER, query, table, view
 
 
 
