@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, pseudonyms, repeats, simhash, suffixes, toxicity, urls
+from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, pseudonyms, repeats, simhash, similar, suffixes, toxicity, urls
 from burnish.llm.frames import smallest_reachable
 from burnish.llm.queries import QUERIES, URL_RULES
 
@@ -372,3 +372,47 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).collect()} == set(left)
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, SF_DIR).columns == columns
+
+
+def five_word_sets(texts):
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    return {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
+
+
+def jaccard_roots(texts):
+    """Smallest id that pairs with a five-word Jaccard similarity of 0.8 or more lead to, by brute force."""
+    sets = five_word_sets(texts)
+    root, at, common = {i: i for i in sets}, defaultdict(list), Counter()
+    for i, own in sets.items():
+        for s in own:
+            common.update((j, i) for j in at[s])
+            at[s].append(i)
+    links = [p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+def test_pipeline_near_copies(spark):
+    """All pairs of sf0.01, documents 1 and 255 among them, and chains, hot groups, short and empty texts."""
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, chain, texts = [word() for _ in range(60)], [word() for _ in range(60)], ["", "A b", "a  B", "c d", "\n"]
+    for _ in range(40):
+        own = base[:]
+        own[rng.choice([0, 1, 58, 59, 30])] = word()
+        texts.append(" ".join(own))
+        chain = chain[rng.randint(1, 5) :] + [word()]
+        texts.append(" ".join(chain + [word() for _ in range(60 - len(chain))]))
+    df = docs.union(spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(texts)], docs.schema)).repartition(5)
+    root = jaccard_roots({r.doc_id: r.text for r in df.collect()})
+    want = {i for i, r in root.items() if i == r}
+    assert root[255] == root[1] and root[100_002] == 100_001
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SF_DIR).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
