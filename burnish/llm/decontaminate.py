@@ -4,7 +4,9 @@ Numbers, names and units are replaced by typed placeholders. Windows of template
 hash with those of the benchmark; where a window has placeholders, its words as written are joined
 as well. An alignment of a document with an item may give the item's slots other values, but always
 the same one for the same value: that is a question with new parameters. Otherwise only windows
-that agree word by word count.
+that agree word by word count. A capitalised word that opens a sentence may be a name or not, so its
+windows come both ways. Windows with too few words meet no others by hash; where other windows align
+a document with an item, they are compared place by place.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ UNITS = frozenset(
 )
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n:]")
 _WORD, _NUMBER, _NAME, _UNIT, _STOP = range(5)
-_WINDOWS = "key long, at long, hash long, slots array<string>"
+_WINDOWS = "key long, at long, hash long, slots array<string>, kind int"
+#: Kinds of windows: as written, template, template whose sentence openers are names, template with too few words.
+_WRITTEN, _TEMPLATE, _OPENER, _DENSE = range(4)
 
 
 def _kind(token: str) -> int:
@@ -83,11 +87,11 @@ class Templates:
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
 
-    def windows(self, text: str | None, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, list[str]]]:
-        """(place, hash, slot values) of the windows, of those whose bit is set in ``wanted`` if it is given.
+    def windows(self, text: str | None, wanted: np.ndarray | None = None, kinds_of: tuple[int, ...] = (_WRITTEN, _TEMPLATE, _OPENER)) -> Iterator[tuple[int, int, list[str], int]]:
+        """(place, hash, slot values, kind) of the windows, of those whose bit is set in ``wanted`` if it is given.
 
-        A window with placeholders comes twice: as a template, with the values of its slots, and as
-        written, without. A template with too few words is left out.
+        A window comes as written, without slots, and if it has placeholders as a template too; with
+        a capitalised opener of a sentence, as a template in which that is a name as well.
         """
         tokens = _TOKEN.findall(text or "")
         ids = self.look_up(tokens)
@@ -97,22 +101,30 @@ class Templates:
             return
         opens = np.concatenate([[True], kinds[:-1] == _STOP])[words]
         hashes, kinds = self.hashes[ids[words]], kinds[words]
-        kinds[opens & (kinds == _NAME)] = _WORD  # a sentence starts in upper case
+        opens &= kinds == _NAME  # a sentence starts in upper case
         kinds[(kinds == _UNIT) & (np.concatenate([[_WORD], kinds[:-1]]) != _NUMBER)] = _WORD
-        slots = kinds != _WORD
-        count = np.convolve(slots, np.ones(self.window, np.int64), "valid")
-        as_written = self._rolled(hashes)
-        template = self._rolled(np.where(slots, self.marks[kinds], hashes))
-        for values, use, with_slots in ((as_written, np.ones(len(count), bool), False), (template, (count > 0) & (self.window - count >= self.literal), True)):
+        named = kinds != _WORD
+        slots = named & ~opens
+        ones = np.ones(self.window, np.int64)
+        found = [(_WRITTEN, np.zeros(len(words), bool), np.ones(len(words) - self.window + 1, bool))]
+        for kind, own in ((_TEMPLATE, slots), (_OPENER, named)):
+            count = np.convolve(own, ones, "valid")
+            use = count > 0 if kind == _TEMPLATE else np.convolve(opens, ones, "valid") > 0
+            enough = self.window - count >= self.literal
+            found += [(kind, own, use & enough), (_DENSE, own, use & ~enough)]
+        for kind, own, use in found:
+            if kind not in kinds_of or not use.any():
+                continue
+            values = self._rolled(np.where(own, self.marks[kinds], hashes))
             if wanted is not None:
                 bit = values >> np.uint64(64 - FILTER_BITS)
                 use = use & ((wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
             for at in np.flatnonzero(use).tolist():
-                inside = [tokens[words[i]].lower() for i in range(at, at + self.window) if slots[i]] if with_slots else []
-                yield at, int(values[at].astype(np.int64)), inside
+                inside = [tokens[words[i]].lower() for i in range(at, at + self.window) if own[i]]
+                yield at, int(values[at].astype(np.int64)), inside, kind
 
 
-def _windows(df: DataFrame, wanted: np.ndarray | None, window: int, literal: int) -> DataFrame:
+def _windows(df: DataFrame, wanted: np.ndarray | None, window: int, literal: int, kinds_of: tuple[int, ...]) -> DataFrame:
     """Windows of the rows (key, body)."""
     schema = arrow_schema(_WINDOWS)
 
@@ -121,12 +133,31 @@ def _windows(df: DataFrame, wanted: np.ndarray | None, window: int, literal: int
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(key, *found) for found in templates.windows(text, wanted)]
+                rows += [(key, *found) for found in templates.windows(text, wanted, kinds_of)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return df.mapInArrow(run, _WINDOWS)
 
 
+def _found(aligned: DataFrame) -> DataFrame:
+    """``doc_id, item_id, n_found, new_parameters`` of alignments (as_written, as_template, pairs, optional).
+
+    All is judged as written if a value of ``pairs`` stands for another one anywhere. An ``optional``
+    window counts unless optional windows give one of its values two meanings.
+    """
+    # One value of the item, one of the document: as many pairs as values on the item's side.
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    known = F.array_distinct(F.concat("pairs", F.flatten(F.transform("optional", lambda o: o["pairs"]))))
+    clear = ~F.exists("known", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"])))
+    torn = F.filter("known", lambda p: F.exists("known", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"])))
+    fits = F.transform(F.filter("optional", lambda o: ~F.arrays_overlap(o["pairs"], F.col("torn"))), lambda o: o["item_at"])
+    places = F.when(consistent & clear, F.array_union(F.array_union("as_written", "as_template"), fits)).otherwise(F.col("as_written"))
+    found = aligned.withColumn("known", known).withColumn("torn", torn).select("doc_id", "item_id", F.explode(places).alias("item_at"), "as_written")
+    found = found.select("doc_id", "item_id", "item_at", (~F.array_contains("as_written", F.col("item_at"))).alias("other"))
+    per_place = found.groupBy("doc_id", "item_id", "item_at").agg(F.min("other").alias("other"))
+    return per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.max("other").alias("new_parameters"))
+
+
 def leaks(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, literal: int = LITERAL, share: float = SHARE
 ) -> DataFrame:
@@ -141,29 +172,37 @@ def leaks(
     pass it are joined exactly. All work on a document is keyed by document and item.
     """
     items = benchmark.where(f"{item_key} is not null").select(F.col(item_key).cast("long").alias("key"), F.col(item_text).cast("string").alias("body"))
-    own = stage(_windows(items, None, window, literal).withColumnsRenamed({"key": "item_id", "at": "item_at", "slots": "item_slots"}).distinct(), "windows")
+    every = (_WRITTEN, _TEMPLATE, _OPENER, _DENSE)
+    renamed = {"key": "item_id", "at": "item_at", "slots": "item_slots", "kind": "item_kind"}
+    own = stage(_windows(items, None, window, literal, every).withColumnsRenamed(renamed).distinct(), "windows")
+    met, dense = own.where(F.col("item_kind") != _DENSE), own.where(F.col("item_kind") == _DENSE)
     bit = f"shiftrightunsigned(hash, {64 - FILTER_BITS})"
-    filled = own.groupBy(F.expr(f"shiftright({bit}, 3)").alias("byte")).agg(F.expr(f"bit_or(shiftleft(1, cast({bit} % 8 as int)))").alias("bits"))
+    filled = met.groupBy(F.expr(f"shiftright({bit}, 3)").alias("byte")).agg(F.expr(f"bit_or(shiftleft(1, cast({bit} % 8 as int)))").alias("bits"))
     wanted = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for byte, bits in filled.toLocalIterator():
         wanted[byte] = bits
-    hits = _windows(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("body")), wanted, window, literal)
-    hits = hits.withColumnsRenamed({"key": "doc_id"})
+    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("body"))
+    hits = _windows(source, wanted, window, literal, every[:_DENSE]).withColumnsRenamed({"key": "doc_id"})
     alignment = ["doc_id", "item_id", "shift"]
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    matches = hits.join(own, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
+    place = F.struct("item_at", pairs.alias("pairs"))
+    matches = hits.join(met, "hash").withColumn("shift", F.col("at") - F.col("item_at")).withColumn("as", F.greatest("kind", "item_kind"))
     aligned = matches.groupBy(alignment).agg(
-        F.collect_set(F.when(F.size("slots") == 0, F.col("item_at"))).alias("as_written"),
-        F.collect_set(F.when(F.size("slots") > 0, F.col("item_at"))).alias("as_template"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
+        F.collect_set(F.when(F.col("as") == _WRITTEN, F.col("item_at"))).alias("as_written"),
+        F.collect_set(F.when(F.col("as") == _TEMPLATE, F.col("item_at"))).alias("as_template"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("as") == _TEMPLATE, pairs)))).alias("pairs"),
+        F.collect_set(F.when(F.col("as") == _OPENER, place)).alias("optional"),
     )
-    # One value of the item, one of the document: as many pairs as values on the item's side.
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    places = F.when(consistent, F.array_union("as_written", "as_template")).otherwise(F.col("as_written"))
-    found = aligned.select("doc_id", "item_id", F.explode(places).alias("item_at"), "as_written")
-    found = found.select("doc_id", "item_id", "item_at", (~F.array_contains("as_written", F.col("item_at"))).alias("other"))
-    per_place = found.groupBy("doc_id", "item_id", "item_at").agg(F.min("other").alias("other"))
-    per_item = per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.max("other").alias("new_parameters"))
-    sizes = own.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
-    out = per_item.join(sizes, "item_id").withColumn("share", F.col("n_found") / F.col("n_windows"))
+    aligned = stage(aligned, "aligned")
+    sizes = own.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(F.col("item_kind") == _DENSE, F.col("item_at"))).alias("n_dense"))
+    # Dense windows are compared for items that can leak with them, at the places that an alignment names.
+    open_ = _found(aligned).join(sizes, "item_id").where((F.col("n_dense") > 0) & (F.col("n_found") + F.col("n_dense") >= share * F.col("n_windows")))
+    open_ = stage(open_.select(F.col("doc_id").alias("key"), F.col("item_id").alias("open_item")), "open")
+    again = _windows(source.alias("s").join(open_.select("key").distinct().alias("o"), F.expr("s.key <=> o.key"), "left_semi"), None, window, literal, (_DENSE,))
+    asked = aligned.join(open_, F.expr("doc_id <=> key and item_id = open_item"), "left_semi").select(alignment).join(dense, "item_id")
+    asked = asked.withColumnsRenamed({"hash": "item_hash"}).join(again, F.expr("doc_id <=> key and item_at + shift = at and item_hash = hash"))
+    more = asked.groupBy(alignment).agg(F.collect_set(place).alias("more")).select(*[F.col(c).alias(f"more_{c}") for c in alignment], "more")
+    aligned = aligned.join(more, F.expr("doc_id <=> more_doc_id and item_id = more_item_id and shift = more_shift"), "left")
+    aligned = aligned.withColumn("optional", F.when(F.col("more").isNull(), F.col("optional")).otherwise(F.concat("optional", "more")))
+    out = _found(aligned).join(sizes, "item_id").withColumn("share", F.col("n_found") / F.col("n_windows"))
     return out.where(F.col("share") >= share).select("doc_id", "item_id", "n_windows", "n_found", "share", "new_parameters")

@@ -273,6 +273,23 @@ def test_templates(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).collect() == []
 
 
+def test_templates_openers_and_dense(spark):
+    """Names that open sentences change, and windows of mostly slots are compared where others align."""
+    items = [(1, "Anna has 12 apples. Tom gives her 5 more apples. How many apples does Anna have now?"), (2, "then he read the list to Ann 3 Bob 4 Cid 5 Dan 6 and slept on")]
+    docs = [
+        (1, "Mary has 15 apples. Paul gives her 7 more apples. How many apples does Mary have now?"),
+        (2, "Mary has 15 apples. Paul gives her 7 more apples. How many apples does Jane have now?"),
+        (3, "then he read the list to Eve 8 Fay 9 Gus 7 Hal 2 and slept on"),
+        (4, "then he read the list to Eve 8 Eve 9 Eve 7 Eve 2 and slept on"),
+        (5, "Eve 8 Fay 9 Gus 7 Hal 2"),
+        (6, "then he read the list to Eve 8 Fay 9 but Gus 7 Hal 2 and slept on"),
+        (None, "then he read the list to Eve 8 Fay 9 Gus 7 Hal 2 and slept on"),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_windows, r.n_found, r.new_parameters) for r in got if r.doc_id not in (2, 4)} == {(1, 1, 13, 13, True), (3, 2, 13, 13, True), (None, 2, 13, 13, True)}
+    assert not any(r.doc_id == 2 for r in got)
+
+
 def test_leaks_by_words(spark):
     sf = SF_DIR.replace("0.001", "0.01")
     words = lambda t: re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+", t.lower())
