@@ -4,7 +4,7 @@ A word's vector is the sum of hashed embeddings of the word and of its first let
 of one stem share what was learnt. Only features whose presence tells the classes apart beyond
 chance have a vector; it starts from their log odds. Filters of several widths run over the words;
 the largest answer of each filter in the text feeds a logistic layer. A bounded sample of labelled rows trains the
-net; thresholds are then set for each language, told from the text by its function words, such that
+net; all others then set thresholds for each language, told from the text by its function words, such that
 a score of 0.5 is the threshold.
 """
 
@@ -31,6 +31,8 @@ EPOCHS, RATE, SEED = 4, 0.02, 7
 #: Words of a text that pass the filters at once; neighbouring parts overlap, so no window is lost.
 PART = 1 << 15
 CACHED = 200_000
+#: Bins of a logit by which labels are counted for the thresholds, and the largest logit told apart.
+BINS, LARGEST = 256, 30
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Frequent function words, by which a text's language is told.
@@ -187,11 +189,14 @@ def train(texts: list[list[str]], labels: list[int], epochs: int = EPOCHS) -> Ne
     return net
 
 
-def calibrate(net: Net, logits: np.ndarray, labels: np.ndarray, languages: list[str], weights: np.ndarray, least: int = 20) -> None:
+def calibrate(net: Net, logits: np.ndarray, labels: np.ndarray, languages: list[str], weights: np.ndarray, least: int = 20, times: np.ndarray | None = None) -> None:
     """Sets each language's threshold where the weighted errors are fewest, in the middle if several are.
 
-    A language with fewer than ``least`` rows of either class takes the threshold of all rows.
+    A language with fewer than ``least`` rows of either class takes the threshold of all rows. An
+    entry stands for as many rows of its label and logit as ``times`` says, for one without it.
     """
+    times = np.ones(len(logits), np.int64) if times is None else times
+    weights = weights * times
 
     def threshold(rows: np.ndarray) -> float:
         order = np.argsort(logits[rows], kind="stable")
@@ -200,6 +205,8 @@ def calibrate(net: Net, logits: np.ndarray, labels: np.ndarray, languages: list[
         alarms = (w * (1 - y)).sum() - np.concatenate([[0], np.cumsum(w * (1 - y))])
         errors = missed + alarms
         edges = np.concatenate([[x[0] - 1], (x[:-1] + x[1:]) / 2, [x[-1] + 1]])
+        apart = np.concatenate([[True], x[:-1] < x[1:], [True]])  # equal logits are on one side
+        edges, errors = edges[apart], errors[apart]
         good = edges[errors <= errors.min() + 1e-9]
         return float((good[0] + good[-1]) / 2)
 
@@ -207,8 +214,8 @@ def calibrate(net: Net, logits: np.ndarray, labels: np.ndarray, languages: list[
     net.thresholds = {"": threshold(everything) if len(logits) else 0.0}
     for name in FUNCTION_WORDS:
         rows = np.flatnonzero(np.array([x == name for x in languages], bool))
-        positive = int(labels[rows].sum())
-        net.thresholds[name] = threshold(rows) if min(positive, len(rows) - positive) >= least else net.thresholds[""]
+        positive = int((labels[rows] * times[rows]).sum())
+        net.thresholds[name] = threshold(rows) if min(positive, int(times[rows].sum()) - positive) >= least else net.thresholds[""]
 
 
 class Scorer:
@@ -256,8 +263,10 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A net learnt from ``df``'s rows that ``labels`` (key, label 0/1) marks; None if it marks no rows of both classes.
 
     At most about ``learn_rows`` rows of each class, those whose keys hash lowest, are collected: a
-    bound that does not grow with the input. Four in five of them train the net, the fifth sets
-    the thresholds, weighted so that classes count as often as among all labelled rows. A key that
+    bound that does not grow with the input. Four in five of them train the net. All other labelled
+    rows set the thresholds, weighted so that classes count as often as among all labelled rows:
+    they are scored in tasks, and only counts by language, bin of the logit and label are collected
+    (at most 5 x 60 x BINS x 2). Rows that repeat a key all count there. A key that
     is labelled twice counts as toxic if one label says so; null keys, labels and texts teach nothing.
     """
     marks = labels.where(f"{key} is not null and {label} is not null").groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -266,22 +275,34 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     group = Window.partitionBy("label", F.pmod("at", F.lit(GROUPS))).orderBy("at")
     chosen = marks.withColumn("nth", F.row_number().over(group)).where(F.col("nth") <= learn_rows // GROUPS)
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")).where("body is not null")
-    joined = source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("label", "at", "body")
-    rows = sorted(((r["at"], r["label"], r["body"]) for r in joined.collect()), key=lambda r: r[:2])
-    if {label for _, label, _ in rows} != {0, 1}:
+    joined = source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "at", "body")
+    rows = sorted(((r["at"], r["label"], r["body"], r["doc_id"]) for r in joined.collect()), key=lambda r: r[:2])
+    if {r[1] for r in rows} != {0, 1}:
         return None
-    texts, y = [words_of(body) for _, _, body in rows], [label for _, label, _ in rows]
-    held = [i % 5 == 4 for i in range(len(rows))]
-    net = train([t for t, h in zip(texts, held) if not h], [v for v, h in zip(y, held) if not h])
-    scorer = Scorer(net)
-    kept = [i for i, h in enumerate(held) if h]
-    counts = {v: sum(y[i] == v for i in kept) for v in (0, 1)}
-    weights = np.array([totals[y[i]] / max(1, counts[y[i]]) for i in kept])
-    logits = np.array([scorer.logit(texts[i]) for i in kept])
-    calibrate(net, logits, np.array([y[i] for i in kept]), [told_language(texts[i]) for i in kept], weights)
+    taught = [r for i, r in enumerate(rows) if i % 5 < 4]
+    net = train([words_of(r[2]) for r in taught], [r[1] for r in taught])
+    others = marks.join(F.broadcast(df.sparkSession.createDataFrame([(r[3],) for r in taught], "doc_id long")), "doc_id", "left_anti")
+    binned = _binned(source.where("doc_id is not null"), net).join(others.select("doc_id", "label"), "doc_id")
+    cells = binned.groupBy("language", "bin", "label").agg(F.count("*").alias("n")).orderBy("language", "bin", "label").collect()
+    counts = {v: sum(c["n"] for c in cells if c["label"] == v) for v in (0, 1)}
+    weights = np.array([totals[c["label"]] / counts[c["label"]] for c in cells])
+    calibrate(net, np.array([(c["bin"] + 0.5) / BINS for c in cells]), np.array([c["label"] for c in cells]), [c["language"] for c in cells], weights, times=np.array([c["n"] for c in cells]))
     return net
 
 
+def _binned(source: DataFrame, net: Net) -> DataFrame:
+    """``doc_id, language, bin`` of the rows (doc_id, body): the told language and the logit in steps of 1 / BINS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net)
+        for batch in batches:
+            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            bins = [int(np.floor(np.clip(scorer.logit(t), -LARGEST, LARGEST) * BINS)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told_language(t) for t in texts], pa.string()), pa.array(bins, pa.int32())], ["doc_id", "language", "bin"])
+
+    return source.mapInArrow(run, "doc_id long, language string, bin int")
+
+
 def score(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted``, a row per input row; only the text is looked at.
 

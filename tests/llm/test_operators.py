@@ -433,3 +433,26 @@ def test_pipeline_near_copies(spark):
     assert root[255] == root[1] and root[100_002] == 100_001
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SF_DIR).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_toxicity_thresholds_use_all_labels(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, f"{'der die das und' if i % 4 == 0 else 'the of and to'} {'vile' if i % 3 == 0 else 'mild'} {rng.random()} w{i}") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    seen, plain = [], toxicity.calibrate
+
+    def spy(net, logits, labels, languages, weights, least=20, times=None):
+        times = np.ones(len(logits), int) if times is None else times
+        seen.append(Counter())
+        for n, label, name in zip(times, labels, languages):
+            seen[-1][name, int(label)] += int(n)
+        plain(net, logits, labels, languages, weights, least, times)
+
+    monkeypatch.setattr(toxicity, "calibrate", spy)
+    toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, learn_rows=50)
+    trained = sum(i % 5 < 4 for i in range(100))
+    assert seen[-1].total() == 600 - trained and min(seen[-1]["de", v] for v in (0, 1)) >= 20
+    net = toxicity.train([["a"]], [1], 0)
+    toxicity.calibrate(net, np.array([-1.0, 1, 3]), np.array([0, 0, 1]), ["de"] * 3, np.ones(3), times=np.array([1000, 30, 25]))
+    toxicity.calibrate(net, np.array([-1.0, 1, 1]), np.array([0, 0, 1]), ["de"] * 3, np.ones(3), times=np.array([1000, 30, 25]))
+    assert net.thresholds["de"] > 1
