@@ -456,3 +456,22 @@ def test_toxicity_thresholds_use_all_labels(spark, monkeypatch):
     toxicity.calibrate(net, np.array([-1.0, 1, 3]), np.array([0, 0, 1]), ["de"] * 3, np.ones(3), times=np.array([1000, 30, 25]))
     toxicity.calibrate(net, np.array([-1.0, 1, 1]), np.array([0, 0, 1]), ["de"] * 3, np.ones(3), times=np.array([1000, 30, 25]))
     assert net.thresholds["de"] > 1
+
+
+def test_pipeline_tells_rows_apart(spark, monkeypatch):
+    """Null and repeated doc_ids: every row is judged by its own text, and a group keeps one row."""
+    monkeypatch.setattr(toxicity, "learn", lambda *a: None)
+    flag = (F.instr("text", "vile") > 0).cast("int").alias("predicted")
+    monkeypatch.setattr(toxicity, "score", lambda df, net, key="doc_id": df.select(F.col(key).alias("doc_id"), flag))
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 80").first().text
+    long = " ".join(f"w{i}" for i in range(60))
+    cases = [
+        (corpus_pipeline.reject_toxic, [(None, "vile"), (1, "vile"), (1, "b"), (None, "b")], [(None, "b"), (1, "b")]),
+        (corpus_pipeline.drop_copies, [(1, "a b"), (1, "a b"), (None, "x"), (None, "x"), (2, "z"), (2, "zz"), (3, "z"), (1, "q"), (None, "q")], [(None, "x"), (1, "a b"), (1, "q"), (2, "z"), (2, "zz")]),
+        (corpus_pipeline.drop_near_copies, [(None, long), (None, long), (4, long + " x"), (4, "other text"), (4, long + " y")], [(4, "other text"), (4, long)]),
+        (corpus_pipeline.drop_leaks, [(None, item), (7, item), (7, "b")], [(7, "b")]),
+    ]
+    for step, rows, want in cases:
+        got = [(r.doc_id, r.text) for r in step(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR).collect()]
+        got = [(i, long if t.startswith(long) else t) for i, t in got]
+        assert sorted(got, key=str) == sorted(want, key=str), step.__name__
