@@ -95,7 +95,7 @@ FEATURES = "f_length f_host_length f_path_length f_depth f_labels f_hyphens f_di
 
 @dataclass
 class UrlModel:
-    """Trees, the blocked share by suffix (at most LEARN_ROWS lines each) and overall."""
+    """Trees, the blocked share by suffix and overall, of all labelled URLs."""
 
     trees: GBTClassificationModel | None
     shares: dict[str, DataFrame]
@@ -104,7 +104,7 @@ class UrlModel:
     def featured(self, df: DataFrame) -> DataFrame:
         out = lexical_features(df)
         for name, share in self.shares.items():
-            out = out.join(F.broadcast(share), name, "left").fillna(self.overall, [f"f_{name}"])
+            out = out.join(share, name, "left").fillna(self.overall, [f"f_{name}"])
         return out
 
     def scored(self, df: DataFrame) -> DataFrame:
@@ -116,17 +116,19 @@ class UrlModel:
 
 
 def learn(labelled: DataFrame, learn_rows: int = LEARN_ROWS) -> UrlModel:
-    """Trains on distinct URLs of ``labelled`` (url, host, path, ruled): at most ``learn_rows``, those that hash lowest."""
+    """Learns from distinct URLs of ``labelled`` (url, host, path, ruled): shares by suffix from all, trees from at most ``learn_rows``, those that hash lowest."""
     distinct = labelled.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label")).dropDuplicates(["url"])
-    rows = stage(distinct.orderBy(F.xxhash64("url"), "url").limit(learn_rows), "urls")
-    n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    counts = lexical_features(distinct).groupBy("suffix_1", "suffix_2").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+    counts = stage(counts, "suffixes")
+    n, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
     overall = blocked / n if n else 0.0
     shares = {}
     for name in ("suffix_1", "suffix_2"):
-        totals = lexical_features(rows).groupBy(name).agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+        totals = counts.groupBy(name).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         shares[name] = stage(totals.select(name, ((F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)).alias(f"f_{name}")), "suffixes")
     model = UrlModel(None, shares, overall)
-    if 0 < blocked < n:
+    rows = stage(distinct.orderBy(F.xxhash64("url"), "url").limit(learn_rows), "urls")
+    if rows.select("label").distinct().count() == 2:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(model.featured(rows))
         trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, checkpointInterval=-1, seed=SEED)
         model.trees = trees.fit(stage(vectors.select("features", "label"), "vectors"))

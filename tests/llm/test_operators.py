@@ -475,3 +475,13 @@ def test_pipeline_tells_rows_apart(spark, monkeypatch):
         got = [(r.doc_id, r.text) for r in step(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR).collect()]
         got = [(i, long if t.startswith(long) else t) for i, t in got]
         assert sorted(got, key=str) == sorted(want, key=str), step.__name__
+
+
+def test_url_shares_use_all_labels(spark):
+    """Suffixes outside the trees' sample have the rate of their own labelled URLs."""
+    rows = [(f"http://a.s{i % 60}.org/{i}", "block" if i % 60 < 20 else "allow") for i in range(600)]
+    host, path = urls.host_and_path(F.col("url"))
+    labelled = spark.createDataFrame(rows + rows[:9], "url string, ruled string").withColumns({"host": host, "path": path})
+    model = urls.learn(labelled, learn_rows=30)
+    got = {r.suffix_2: r.f_suffix_2 for r in model.shares["suffix_2"].collect()}
+    assert model.trees is not None and got == pytest.approx({f"s{i}.org": (10 * (i < 20) + 5 / 3) / 15 for i in range(60)})
