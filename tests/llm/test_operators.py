@@ -485,3 +485,13 @@ def test_url_shares_use_all_labels(spark):
     model = urls.learn(labelled, learn_rows=30)
     got = {r.suffix_2: r.f_suffix_2 for r in model.shares["suffix_2"].collect()}
     assert model.trees is not None and got == pytest.approx({f"s{i}.org": (10 * (i < 20) + 5 / 3) / 15 for i in range(60)})
+
+
+def test_pipeline_decodes(spark):
+    import hashlib
+
+    theirs = Tokenizer.from_file(VOCABULARY)
+    text = "Some words, é 漢"
+    (row,) = corpus_pipeline.tokenise(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), SF_DIR).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert row.decoded_sha256 == hashlib.sha256(theirs.decode(theirs.encode(text, add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()
