@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.llm import bpe, decontaminate, exact_dedup, language, pages, pseudonyms, repeats, simhash, toxicity, urls
+from burnish.llm import align, bpe, decontaminate, exact_dedup, katz, language, pages, pseudonyms, repeats, simhash, toxicity, urls, whitening
 from checks.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,17 @@ QUERIES["op1_repeated_strings"] = lambda spark, sf: repeats.remove_repeats(table
 #: Stands for a key that would come from a secret store.
 PSEUDONYM_KEY = b"a key for the registered query"
 QUERIES["op2_pii_pseudonyms"] = lambda spark, sf: pseudonyms.pseudonymise(table(spark, sf, "documents"), PSEUDONYM_KEY)
+
+
+def _katz(spark: SparkSession, sf: str) -> DataFrame:
+    scores, _ = katz.katz_scores(table(spark, sf, "documents"), ~_fold(5, 1), order=3)
+    return scores.withColumn("held_out", F.coalesce(_fold(5, 1), F.lit(False)))
+
+
+QUERIES["op11_katz_scores"] = _katz
+
+QUERIES["op12_tokenizer_alignment"] = lambda spark, sf: align.alignment_report(
+    table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+)
+
+QUERIES["op13_embedding_whitening"] = lambda spark, sf: whitening.whiten(table(spark, sf, "embeddings"))
