@@ -28,13 +28,16 @@ from burnish.functions.scratch import stage
 from burnish.llm.bpe import byte_signs
 from burnish.llm.frames import arrow_schema
 
-#: Chunks remembered by a task, their longest, rows of a slice, pairs gathered before they are handed on.
-CACHED, LONGEST, SLICE, GATHERED = 1 << 16, 48, 256, 1 << 20
+#: Chunks remembered by a task since it last forgot, their longest, rows of a slice, pairs gathered before they are handed on.
+CACHED, LONGEST, SLICE, GATHERED = 100_000, 48, 256, 1 << 20
+#: Signs that are read side by side.
+READ = 1 << 16
 #: Link counts sent to every task: 17 bytes each. More are joined.
 SENT = 2_000_000
 SPACE_SIGN = "▁"
 #: A single space with other signs around it. (U+180E is a space to some versions of Unicode.)
 _BORDER = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
+_EDGE = re.compile("^[\\s᠎]|[\\s᠎]$")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, codes binary"
@@ -67,53 +70,82 @@ class Pair:
         ]
         self.crosses = any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
         self.width = len(pieces)
+        self.said = [str(i) for i in range(max(self.width, max(self.a_bytes) + 1))]
 
     def chunks(self, text: str) -> list[str]:
         """The text without its leading space, each chunk to be read after a space."""
         return [text] if self.crosses else _BORDER.split(text)
 
     def align(self, chunks: list[str]) -> list[tuple | None]:
-        """Of each chunk the numbers of tokens and groups, the groups spelled out and the linked pairs; None where bytes differ."""
-        coded = self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)
-        pieced = self.b.encode(chunks, return_type="proto", num_threads=1)
-        return [self._aligned(*x) for x in zip(chunks, coded, pieced)]
-
-    def _aligned(self, chunk: str, coded, pieced) -> tuple | None:
-        data = b" " + chunk.encode()
+        """Of each chunk the numbers of tokens and groups, the groups spelled out and the linked pairs; None where bytes differ.
+
+        Chunks without white space at their ends are read side by side, with the spaces between them
+        that they were cut at.
+        """
+        out: list[tuple | None] = [None] * len(chunks)
+        plain = [] if self.crosses else [i for i, c in enumerate(chunks) if c and not _EDGE.search(c)]
+        single = set(range(len(chunks))) - set(plain)
+        parts, length = [[]], 0
+        for i in plain:
+            if length > READ:
+                parts, length = [*parts, []], 0
+            parts[-1].append(i)
+            length += len(chunks[i])
+        for part in [*parts, *([i] for i in single)]:
+            for i, got in zip(part, self._side_by_side([chunks[i] for i in part]) if part else ()):
+                out[i] = got
+        return out
+
+    def _side_by_side(self, chunks: list[str]) -> list[tuple | None]:
+        text = " ".join(chunks)
+        codes = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
+        coded = self.a.encode_batch([" " + text], add_special_tokens=False)[0]
+        pieces = self.b.encode(text, return_type="proto").pieces
+        a, b = np.array(coded.ids, np.int64), np.fromiter((p.id for p in pieces), np.int64, len(pieces))
+        data = b" " + text.encode()
         # Character offsets to byte offsets; spans of the pieces leave out the space that is added.
-        at = range(len(chunk) + 2) if chunk.isascii() else [0, *np.cumsum([len(c.encode()) for c in " " + chunk]).tolist()]
-        a, b = coded.ids, [p.id for p in pieced.pieces]
-        a_cuts = refined([at[end] for _, end in coded.offsets], [self.a_bytes[i] for i in a], data)
-        b_cuts = refined([p.end + 1 for p in pieced.pieces], [self.b_bytes[i] for i in b], data)
+        a_cuts = refined(at[np.fromiter((end for _, end in coded.offsets), np.int64, len(a))], self.a_bytes, a, data)
+        b_cuts = refined(np.fromiter((p.end for p in pieces), np.int64, len(b)) + 1, self.b_bytes, b, data)
         if a_cuts is None or b_cuts is None:
-            return None
-        spelled, codes, i, j = [], [], 0, 0
-        ends, place = set(b_cuts), 0
-        for k, cut in enumerate(a_cuts):
-            if cut in ends:
-                while b_cuts[place] != cut:
-                    place += 1
-                spelled.append(f"{','.join(map(str, a[i : k + 1]))}|{','.join(map(str, b[j : place + 1]))}")
-                codes.append(a[k] * self.width + b[place])
-                i, j = k + 1, place + 1
-        return len(a), len(b), len(codes), ";".join(spelled), np.array(codes, "<u8").tobytes()
-
-
-def refined(coarse: list[int], tokens: list[bytes], data: bytes) -> list[int] | None:
+            if len(chunks) == 1:
+                return [None]
+            half = len(chunks) // 2
+            return self._side_by_side(chunks[:half]) + self._side_by_side(chunks[half:])
+        common, a_end, b_end = np.intersect1d(a_cuts, b_cuts, assume_unique=True, return_indices=True)
+        linked = (a[a_end] * self.width + b[b_end]).astype("<i8")
+        a_said, b_said = [self.said[i] for i in a.tolist()], [self.said[i] for i in b.tolist()]
+        groups, i, j = [], 0, 0
+        for p, q in zip((a_end + 1).tolist(), (b_end + 1).tolist()):
+            if p - i == 1 and q - j == 1:
+                groups.append(f"{a_said[i]}|{b_said[j]}")
+            else:
+                groups.append(f"{','.join(a_said[i:p])}|{','.join(b_said[j:q])}")
+            i, j = p, q
+        # A chunk ends before the space of the next one.
+        ends = at[np.cumsum([len(c) + 1 for c in chunks])]
+        starts = np.concatenate([[0], ends[:-1]])
+        spans = [np.searchsorted(cuts, (starts, ends), "right").tolist() for cuts in (a_cuts, b_cuts, common)]
+        return [
+            (a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), linked[g0:g1].tobytes())
+            for a0, a1, b0, b1, g0, g1 in zip(*(side for span in spans for side in span))
+        ]
+
+
+def refined(coarse: np.ndarray, token_bytes, ids: np.ndarray, data: bytes) -> np.ndarray | None:
     """The byte offsets where tokens end, from coarse ones. None if the tokens do not spell ``data``.
 
-    A coarse cut is right where the token between it and the last cut has its bytes there. Tokens
-    that share a character get their cuts from their decoded bytes.
+    A coarse cut is right where the tokens before it have as many bytes. Those inside a character,
+    of tokens that share it, come from the last right cut and the decoded bytes since.
     """
-    cuts, last = [], 0
-    for end, token in zip(coarse, tokens):
-        if end - last != len(token):
-            end = last + len(token)
-        if data[last:end] != token:
-            return None
-        cuts.append(end)
-        last = end
-    return cuts if last == len(data) else None
+    tokens = [token_bytes[i] for i in ids.tolist()]
+    if b"".join(tokens) != data or not tokens:
+        return None
+    whole = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    right = coarse == whole
+    last = np.maximum.accumulate(np.where(right, np.arange(len(ids)), -1))
+    base = np.where(last >= 0, coarse[last] - whole[last], 0)
+    return np.where(right, coarse, base + whole)
 
 
 def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,24 +163,29 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
     schema = arrow_schema(_ALIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known, row = Pair(a_path, b_path), {}, TaskContext.get().partitionId() << 40
+        pair, known, older, row = Pair(a_path, b_path), {}, {}, TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 texts = [pair.chunks(t) if t else [] for t in part.column(1).to_pylist()]
                 if len(known) > CACHED:
-                    known.clear()
-                new = list({c for chunks in texts for c in chunks} - known.keys())
-                found = dict(zip(new, pair.align(new))) if new else {}
+                    # What was not met since the last time is forgotten.
+                    known, older = {}, known
+                unknown = {c for chunks in texts for c in chunks} - known.keys()
+                known.update((c, older[c]) for c in unknown & older.keys())
+                new = list(unknown - older.keys())
+                known.update(zip(new, pair.align(new)))
                 out = []
                 for chunks in texts:
-                    got = [known[c] if c in known else found[c] for c in chunks]
+                    got = [known[c] for c in chunks]
                     if not got or any(g is None for g in got):
                         out.append((0, 0, 0, 0, "", b""))
                         continue
                     n_a, n_b, n_groups, groups, codes = zip(*got)
                     out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_groups), ";".join(groups), b"".join(codes)))
-                known.update((c, f) for c, f in found.items() if len(c) <= LONGEST)
+                for c in new:
+                    if len(c) > LONGEST:
+                        del known[c]
                 rows = range(row, row := row + part.num_rows)
                 columns = [list(rows), part.column(0), *zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,11 @@ def test_empty_table(spark):
 
 
 def test_refined_cuts():
-    data = " é🧿a".encode()
-    assert align.refined([2, 3, 7, 7, 8], [" é".encode()[:2], b"\xa9", "🧿".encode()[:1], "🧿".encode()[1:], b"a"], data) == [2, 3, 4, 7, 8]
-    assert align.refined([3, 8], [" é".encode(), "🧿b".encode()], data) is None
-    assert align.refined([3], [" é".encode()], data) is None
+    def cuts(coarse, tokens, text):
+        got = align.refined(np.array(coarse), tokens, np.arange(len(tokens)), text.encode())
+        return got if got is None else got.tolist()
+
+    assert cuts([2, 3, 7, 7, 8], [" é".encode()[:2], b"\xa9", "🧿".encode()[:1], "🧿".encode()[1:], b"a"], " é🧿a") == [2, 3, 4, 7, 8]
+    assert cuts([3, 3, 8], [" é".encode()[:1], " é".encode()[1:], "🧿a".encode()], " é🧿a") == [1, 3, 8]
+    assert cuts([3, 8], [" é".encode(), "🧿b".encode()], " é🧿a") is None
+    assert cuts([3], [" é".encode()], " é🧿a") is None
