@@ -8,15 +8,21 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from burnish.sources.quoted import read_quoted, reader_options
+
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header. Types, dates among them, are inferred unless given.
 
-    ``multi_line`` reads line breaks within quotes, at the price of one task per file.
+    Line breaks within quotes are found by a scan of the files when this is called; files are split
+    among tasks either way. ``multi_line=False`` says that there are none and spares the scan,
+    ``True`` gives each file to one task. An empty cell is null, and empty text if it is quoted.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
+    if multi_line is None:
+        return read_quoted(spark, path, sep, schema)
+    reader = spark.read.options(**reader_options(sep), multiLine=multi_line)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
@@ -52,7 +58,7 @@ def load(
     format: str | None = None,
     **options,
 ) -> DataFrame:
-    """Scan a file, a folder or a glob, lazily; the extension (or ``format``) names the reader.
+    """Scan a file, a folder or a glob; the extension (or ``format``) names the reader.
 
     Give ``schema`` for large delimited or JSON input: inference reads the data once more. Further
     options go to the reader (``multi_line`` for delimited text).

@@ -29,10 +29,9 @@ def insert_statements(df: DataFrame, table: str = "data") -> DataFrame:
 def export(df: DataFrame, path: str, format: str = "csv", table: str = "data", mode: str = "errorifexists") -> str:
     """Write the table as csv, tsv, parquet, json (lines) or a sql script; one part per task."""
     writer = df.write.mode(mode)
-    if format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
-    elif format == "tsv":
-        writer.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
+    if format in ("csv", "tsv"):
+        # Spaces around a text belong to it; an empty text is quoted and so told from null.
+        writer.options(header=True, sep="," if format == "csv" else "\t", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif format == "parquet":
         writer.parquet(path)
     elif format in ("json", "jsonl"):
