@@ -86,7 +86,7 @@ def f8_dates(spark, sf):
     return cols.fix_formats(view(spark, sf, sql), "day", "dates").df
 
 # E-mails appear only after the first thousand rows.
-_LATE_MAIL = "SELECT event_id, CASE WHEN event_id > 1000 THEN concat(' U', CAST(user_id AS STRING), '@Mail.COM') ELSE 'None' END AS contact FROM {events}"
+_LATE_MAIL = "SELECT event_id, CASE WHEN 10 * event_id > 9 * (SELECT max(event_id) FROM {events}) THEN concat(' U', CAST(user_id AS STRING), '@Mail.COM') ELSE 'None' END AS contact FROM {events}"
 
 
 @query("f5_late_emails", f"SELECT event_id, lower(trim(contact)) AS contact FROM ({_LATE_MAIL})")

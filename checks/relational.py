@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from burnish.functions.ordering import with_row_index
 from burnish.functions.text import bucketize
 from burnish.operators import columns as cols
 from burnish.operators import relational as rel
@@ -108,16 +109,27 @@ def t1_asc(spark, sf):
     return rel.sort_by(view(spark, sf, DIRTY_CUSTOMER), "c_acctbal", "asc").select("c_custkey", "c_acctbal")
 
 
+# Cells of a text column, a third of which are no numbers, some empty.
+_MIXED = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 7 = 0 THEN NULL
+            ELSE CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS STRING) END AS cell FROM {customer}"""
+
+
 @query(
     "t2_grid_sort_rank",
-    """SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer
-       ORDER BY place LIMIT 50""",
+    f"""SELECT c_custkey, cell, row_number() OVER (ORDER BY TRY_CAST(cell AS DOUBLE) NULLS LAST, coalesce(cell, ''), c_custkey) - 1 AS place
+        FROM ({_MIXED})""",
 )
 def t2(spark, sf):
-    # The first 50 cells of the grid with their place in the grid's order.
-    ordered = table(spark, sf, "customer").orderBy(*cols.grid_sort("c_acctbal"), "c_custkey").limit(50)
-    place = F.row_number().over(rel.Window.orderBy(*cols.grid_sort("c_acctbal"), "c_custkey"))
-    return ordered.select("c_custkey", "c_acctbal", place.alias("place"))
+    return with_row_index(view(spark, sf, _MIXED), [*cols.grid_sort("cell"), F.col("c_custkey")], "place")
+
+
+@query(
+    "t2_grid_sort_rank_descending",
+    f"""SELECT c_custkey, cell, row_number() OVER (ORDER BY TRY_CAST(cell AS DOUBLE) DESC NULLS LAST, coalesce(cell, '') DESC, c_custkey) - 1 AS place
+        FROM ({_MIXED})""",
+)
+def t2_down(spark, sf):
+    return with_row_index(view(spark, sf, _MIXED), [*cols.grid_sort("cell", "desc"), F.col("c_custkey")], "place")
 
 
 @query("t3_slice", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 150 OFFSET 100")
