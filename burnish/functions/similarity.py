@@ -9,37 +9,65 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.scratch import stage
+from burnish.functions.sequences import LONGEST, common_in_pairs, common_subsequence, common_with_one, numbers_of, spelled
 
 EPSILON = 1e-9
 BROADCAST_TOKENS = 200_000
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit per character of ``a`` (Hyyro 2004)."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & where.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+#: Buckets of signs that are counted to bound the difference of two texts.
+BUCKETS = 16
 
 
 def _ratio(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     total = len(a) + len(b)
-    if a == b or total == 0:
-        return 1.0
-    return 1.0 - (total - 2 * common_subsequence(a, b)) / total
+    return 1.0 if a == b or total == 0 else 1.0 - (total - 2 * common_subsequence(a, b)) / total
+
+
+class TextTile:
+    """Texts side by side. Only texts of one block whose lengths and counts of signs allow it are compared."""
+
+    def __init__(self, texts: list[str], blocks: list[str], threshold: float):
+        self.texts, self.blocks, self.threshold = texts, np.array(blocks, object), threshold
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.short = self.lengths <= LONGEST
+        self.rows, self.signs, _ = spelled([t if len(t) <= LONGEST else "" for t in texts])
+        self.counts = np.stack([self._counted(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.int64)
+
+    @staticmethod
+    def _counted(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.bincount(codes % BUCKETS, minlength=BUCKETS)
+
+    def similar(self, other: TextTile, one: int, rows: np.ndarray) -> np.ndarray:
+        n, text = int(other.lengths[one]), other.texts[one]
+        total = self.lengths[rows] + n
+        apart = np.floor((1.0 - self.threshold) * total + EPSILON)
+        may = (np.abs(self.lengths[rows] - n) <= apart) & (self.blocks[rows] == other.blocks[one])
+        places = np.flatnonzero(may)
+        # An insertion or deletion changes one count by one.
+        places = places[np.abs(self.counts[rows[places]] - other.counts[one]).sum(axis=1) <= apart[places]]
+        common = np.zeros(len(places), np.int64)
+        fast = self.short[rows[places]] if n <= LONGEST else np.zeros(len(places), bool)
+        if fast.any():
+            few = rows[places[fast]]
+            common[fast] = common_with_one(numbers_of(text, self.signs), len(self.signs), self.rows[few, : int(self.lengths[few].max(initial=0))])
+        for i in np.flatnonzero(~fast).tolist():
+            common[i] = common_subsequence(text, self.texts[rows[places[i]]])
+        both = total[places]
+        score = 1.0 - (both - 2 * common) / np.maximum(both, 1)
+        out = np.zeros(len(rows), bool)
+        out[places] = (score >= self.threshold) | (both == 0)
+        return out
 
 
 def text_similarity(a: str, b: str) -> Column:
@@ -48,7 +76,12 @@ def text_similarity(a: str, b: str) -> Column:
     @F.pandas_udf(T.DoubleType())
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([_ratio(x, y) for x, y in zip(left, right)], dtype="float64")
+            known = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+            x, y = ([s.iloc[i] for i in known] for s in (left, right))
+            total = np.fromiter((len(p) + len(q) for p, q in zip(x, y)), np.int64, len(known))
+            out = np.full(len(left), np.nan)
+            out[known] = np.where(total == 0, 1.0, 1.0 - (total - 2 * common_in_pairs(x, y)) / np.maximum(total, 1))
+            yield pd.Series(out).astype(object).where(~np.isnan(out), None) if len(known) < len(left) else pd.Series(out)
 
     return similarity(a, b)
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.functions.ordering import with_rank
 from burnish.functions.scratch import spread, stage
-from burnish.functions.similarity import lengths_fit, may_be_similar, text_signatures, text_similarity
+from burnish.functions.similarity import TextTile, lengths_fit, may_be_similar, text_signatures, text_similarity
 from burnish.functions.text import comparison_columns, composite_text
 from burnish.functions.types import col, fresh_name, is_text, require_column, require_order
+from burnish.operators.batches import batch_leaders
 from burnish.operators.columns import CASINGS, change_case
 from burnish.operators.leaders import Matcher, greedy_leaders
 from burnish.operators.outcome import Outcome, column_change, rows_removed
-from burnish.operators.vectors import vector_items, vector_matcher
+from burnish.operators.vectors import VectorTile, vector_items, vector_matcher
 
 FUZZY_THRESHOLD = 0.85
 SEMANTIC_THRESHOLD = 0.92
@@ -63,8 +65,15 @@ def text_leaders(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1].")
     vertices = with_rank(texts, order, "id")
-    matcher = text_matcher(vertices.select("id", "text"), threshold, vertices.count())
-    return vertices, greedy_leaders(text_signatures(vertices, threshold), matcher, assign)
+
+    def tile_of(rows: pa.Table) -> TextTile:
+        return TextTile(rows.column("text").to_pylist(), rows.column("block").to_pylist(), threshold)
+
+    result, rest = batch_leaders(vertices.select("id", "block", "text"), tile_of, 4 * F.length("text") + 64, assign)
+    if rest is not None:
+        matcher = text_matcher(rest.select("id", "text"), threshold, rest.count())
+        result = result.unionAll(greedy_leaders(text_signatures(rest, threshold), matcher, assign))
+    return vertices, result
 
 
 # -- duplicate rows -------------------------------------------------------------------------
@@ -188,7 +197,14 @@ def vector_leaders(df, columns, threshold, order_by, embedding, embed, assign):
     vector = col(embedding) if embedding else embed(composite_text(columns))
     rows = df.select(_order_key(order_by).alias("first"), vector.cast("array<double>").alias("vector"))
     vertices = with_rank(rows, [F.col("first")], "id")
-    return vertices, greedy_leaders(vector_items(vertices, threshold), vector_matcher(threshold), assign)
+
+    def tile_of(rows: pa.Table) -> VectorTile:
+        return VectorTile(rows.column("vector"), threshold)
+
+    result, rest = batch_leaders(vertices.select("id", "vector"), tile_of, 8 * F.size("vector") + 64, assign)
+    if rest is not None:
+        result = result.unionAll(greedy_leaders(vector_items(rest, threshold), vector_matcher(threshold), assign))
+    return vertices, result
 
 
 def semantic_matches(

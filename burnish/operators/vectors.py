@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def vector_items(vertices: DataFrame, threshold: float) -> DataFrame:
     return vertices.select("id", "vector", cells("vector").alias("signatures"))
 
 
+class VectorTile:
+    """Unit vectors side by side."""
+
+    def __init__(self, vectors: pa.ChunkedArray, threshold: float):
+        self.rows, self.threshold = _unit(vectors.to_pandas()) if len(vectors) else np.zeros((0, 0)), threshold
+
+    def similar(self, other: VectorTile, one: int, rows: np.ndarray) -> np.ndarray:
+        return self.rows[rows] @ other.rows[one] >= self.threshold
+
+
 def vector_matcher(threshold: float) -> Matcher:
     def within(heads: DataFrame) -> DataFrame:
         def product(group: pd.DataFrame) -> pd.DataFrame:

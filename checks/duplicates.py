@@ -101,6 +101,20 @@ def d3(spark, sf):
     return dedup.deduplicate(table(spark, sf, "part"), "fuzzy", ["p_name"], 0.6, order_by="p_partkey", block_by=["lower(substr(text, 1, 2))"]).df
 
 
+# Some hundred texts that are alike in parts, and their claims.
+_LABELS = "SELECT concat(p_name, ' ', p_type) AS label, min(p_partkey) AS first FROM {part} GROUP BY 1"
+
+
+@query(
+    "d2_dedup_fuzzy_labels",
+    text_walk(plain("SELECT label AS text, first FROM (" + _LABELS + ")"), 0.8)
+    + """ SELECT part.p_partkey, texts.text AS label FROM part JOIN texts ON p_partkey = texts.first JOIN led ON led.i = texts.i WHERE led.leader = led.i""",
+)
+def d2_labels(spark, sf):
+    parts = view(spark, sf, "SELECT p_partkey, concat(p_name, ' ', p_type) AS label FROM {part}")
+    return dedup.deduplicate(parts, "fuzzy", ["label"], 0.8, order_by="p_partkey").df
+
+
 # Too many names to compare in SQL; tests check it against a plain loop on a small table.
 @query("d2_dedup_fuzzy_many_names")
 def d2_many(spark, sf):

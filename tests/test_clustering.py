@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from burnish.functions import sequences
 from burnish.functions import similarity as sim
-from burnish.operators import dedup, leaders, vectors
+from burnish.operators import batches, dedup, leaders, vectors
 
 
 def ratio(a, b):
@@ -59,11 +60,21 @@ def people(seed, n):
     return out
 
 
+def few_batches(monkeypatch, batch):
+    """Batches of ``batch`` items. With 1 the first one is the last: signatures do the rest."""
+    monkeypatch.setattr(batches, "BATCH", batch)
+    if batch == 1:
+        monkeypatch.setattr(batches, "FEW_OPEN", 0)
+        monkeypatch.setattr(batches, "PAYS", 2.0)
+
+
 @pytest.mark.parametrize(
-    "threshold, first_heads, group_rows", [(0.5, 64, 50_000), (0.85, 64, 50_000), (0.7, 2, 20), (0.85, 2, 20), (1.0, 64, 50_000)]
+    "threshold, first_heads, group_rows, batch",
+    [(0.5, 64, 50_000, 2_048), (0.85, 64, 50_000, 1), (0.7, 2, 20, 1), (0.85, 2, 20, 1), (1.0, 64, 50_000, 25), (0.7, 64, 50_000, 9)],
 )
-def test_fuzzy_dedup_equals_loop(spark, monkeypatch, threshold, first_heads, group_rows):
-    # The second setting forces several rounds and chunked signatures.
+def test_fuzzy_dedup_equals_loop(spark, monkeypatch, threshold, first_heads, group_rows, batch):
+    # The third setting forces several rounds and chunked signatures, the last two several batches.
+    few_batches(monkeypatch, batch)
     monkeypatch.setattr(leaders, "GROUP_ROWS", group_rows)
     make = dedup.text_matcher
     monkeypatch.setattr(
@@ -86,6 +97,22 @@ def test_blocked_dedup_equals_loop(spark):
     assert kept == {i for i, h in led.items() if i == h}
 
 
+TEXTS = st.lists(st.text("abé🧿", max_size=9) | st.text("abc", min_size=50, max_size=280), min_size=1, max_size=12)
+
+
+@settings(max_examples=40, deadline=None)
+@given(TEXTS, TEXTS, st.sampled_from([0.4, 0.75, 0.9]))
+def test_texts_side_by_side(ones, others, threshold):
+    """Bit vectors in lockstep give the lengths and decisions of single comparisons."""
+    ones, others = ones + ["", "a" * 64, "ab" * 40], others + ["a" * 65, ""]
+    pairs = [(a, b) for a in ones for b in others]
+    common = [sequences.common_subsequence(a, b) for a, b in pairs]
+    assert sequences.common_in_pairs([a for a, _ in pairs], [b for _, b in pairs]).tolist() == common
+    left, right = (sim.TextTile(texts, [""] * len(texts), threshold) for texts in (ones, others))
+    got = [hit for i in range(len(ones)) for hit in right.similar(left, i, np.arange(len(others))).tolist()]
+    assert got == [sim._ratio(a, b) >= threshold for a, b in pairs]
+
+
 @settings(max_examples=4, deadline=None)
 @given(NAMES)
 def test_signatures_keep_every_pair(spark, names):
@@ -115,9 +142,10 @@ def crowd(seed, n, dim=6):
 
 
 @pytest.mark.parametrize(
-    "threshold, cell_rows, group_rows, heads", [(0.92, 5_000, 50_000, 1_024), (0.6, 20, 15, 8), (0.92, 20, 15, 8)]
+    "threshold, cell_rows, group_rows, heads, batch", [(0.92, 5_000, 50_000, 1_024, 2_048), (0.6, 20, 15, 8, 1), (0.92, 20, 15, 8, 1), (0.92, 20, 15, 8, 40)]
 )
-def test_semantic_dedup_equals_loop(spark, monkeypatch, threshold, cell_rows, group_rows, heads):
+def test_semantic_dedup_equals_loop(spark, monkeypatch, threshold, cell_rows, group_rows, heads, batch):
+    few_batches(monkeypatch, batch)
     monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(leaders, "GROUP_ROWS", group_rows)
     make = dedup.vector_matcher
