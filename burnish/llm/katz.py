@@ -16,7 +16,6 @@ to all of them, and its sums are added up afterwards.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,10 +40,8 @@ FEW = 5
 UNKNOWN, START, FIRST = 0, 1, 2
 #: Local codes in a block: the end of a text, its start; words follow.
 END_CODE, START_CODE = 0, 1
-#: Stands for the end of a text; no word holds white space.
-END = "\n"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Between the words of a packet; no word holds white space.
+END = b"\n"
 
 _BLOCK = "block long, row array<long>, doc_id array<long>, train array<boolean>, length array<int>, part array<int>, tokens binary, words binary"
 _STATE = _BLOCK + ", state array<binary>"
@@ -122,37 +119,49 @@ class Model:
 class Block:
     """The n-grams of a block's texts, as positions and as distinct ones."""
 
-    def __init__(self, row: dict, model_order: int):
+    def __init__(self, row: dict, model_order: int, upto: int):
         self.row, self.order = row, model_order
         self.tokens = unpack(row["tokens"]).astype(np.int64)
-        words = unsqueeze(row["words"]).decode()
-        self.words = words.split("\n") if words else []
+        words = unsqueeze(row["words"])
+        self.words = words.split(END) if words else []
         size, lengths = len(self.words) + 2, np.array(row["length"], np.int64)
         context = model_order - 1
-        self.starts = np.cumsum(lengths + context) - lengths - context
-        at = np.arange(len(self.tokens)) - np.repeat(self.starts, lengths + context)
-        self.document = np.repeat(np.arange(len(lengths)), lengths + context)
-        self.scored = at >= context
+        spans = lengths + context
+        begins = np.cumsum(spans) - spans
+        self.at = np.arange(len(self.tokens)) - np.repeat(begins, spans)
+        self.document = np.repeat(np.arange(len(lengths)), spans)
+        self.scored = self.at >= context
         self.train = self.scored & np.array(row["train"], bool)[self.document]
         #: By order: the gram that ends at each position (-1: none), and of the distinct ones history, last word, shorter gram, whether it is starts alone.
         self.ends, self.history, self.last, self.shorter, self.blank = [self.tokens], [None], [np.arange(size)], [None], [np.arange(size) == START_CODE]
-        for n in range(2, model_order + 1):
-            before = np.full(len(self.tokens), -1)
-            before[1:] = self.ends[-1][:-1]
-            before[at == 0] = -1
-            fits = before >= 0
-            keys, first, ends = np.unique(before[fits] * size + self.tokens[fits], return_index=True, return_inverse=True)
-            whole = np.full(len(self.tokens), -1)
-            whole[fits] = ends
-            self.shorter.append(self.ends[-1][fits][first])
-            self.ends.append(whole)
-            self.history.append(keys // size)
-            self.last.append(keys % size)
-            self.blank.append(self.blank[-1][keys // size] & (keys % size == START_CODE))
+        for _ in range(2, upto + 1):
+            self._longer(size)
         self.counts: list[np.ndarray] = []
         self.over: list[np.ndarray | None] = []
         self.rest: list[np.ndarray | None] = []
 
+    def _longer(self, size: int) -> None:
+        """The next order, from the grams that end one place earlier."""
+        before = np.full(len(self.tokens), -1)
+        before[1:] = self.ends[-1][:-1]
+        before[self.at == 0] = -1
+        places = np.flatnonzero(before >= 0)
+        found = before[places] * size + self.tokens[places]
+        order = np.argsort(found)
+        new = runs([found[order]])
+        ends = np.empty(len(found), np.int64)
+        ends[order] = np.cumsum(new) - 1
+        whole = np.full(len(self.tokens), -1)
+        whole[places] = ends
+        keys = found[order][new]
+        shorter = np.empty(len(keys), np.int64)
+        shorter[ends] = self.ends[-1][places]
+        self.shorter.append(shorter)
+        self.ends.append(whole)
+        self.history.append(keys // size)
+        self.last.append(keys % size)
+        self.blank.append(self.blank[-1][keys // size] & (keys % size == START_CODE))
+
     def amounts(self, n: int) -> np.ndarray:
         """How often training texts of this block hold each distinct n-gram."""
         return np.bincount(self.ends[n - 1][self.train], minlength=len(self.last[n - 1]))
@@ -176,7 +185,8 @@ class Block:
         ids, dealt = self.numbers(n, which), total[which] > model.hot
         owner = mixed(ids[:-1])
         owner = np.where(dealt, mixed([owner, ids[-1]]), owner) % np.uint64(owners)
-        order = np.lexsort((*reversed(ids), owner))
+        order = sorted_places(ids)
+        order = order[np.argsort(owner[order].astype(np.uint16 if owners <= 1 << 16 else np.int64), kind="stable")]
         return which[order], [i[order] for i in ids], owner[order].astype(np.int64), dealt[order]
 
 
@@ -191,6 +201,13 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sorted_places(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of whole numbers, none negative; two columns are sorted as one where they fit 63 bits."""
+    if len(columns) == 2 and len(columns[0]) and (bits := int(columns[1].max()).bit_length()) + int(columns[0].max()).bit_length() < 64:
+        return np.argsort((columns[0] << bits) | columns[1])
+    return np.lexsort((*reversed(columns),))
+
+
 def runs(columns: list[np.ndarray]) -> np.ndarray:
     """Where sorted rows begin that differ from the row before."""
     new = np.ones(len(columns[0]), bool)
@@ -199,9 +216,17 @@ def runs(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def tokens_of(text: str) -> list[str]:
-    """Words, A to Z lowered."""
-    return _WORD.findall(text.translate(_LOWER))
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8, A to Z lowered: what bytes.lower() and bytes.split() do."""
+    return text.lower().split()
+
+
+class Codes(dict):
+    """Numbers for words from 2 on, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 2
+        return number
 
 
 # -- blocks --------------------------------------------------------------------------------------
@@ -210,22 +235,22 @@ def tokens_of(text: str) -> list[str]:
 def blocks(df: DataFrame, train: Column, order: int, key: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
     """The texts as token codes, about ``size`` tokens a row. A longer text goes on in the next block."""
     source = df.select(
-        F.col(key).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")
+        F.col(key).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("body")
     )
     schema, context = arrow_schema(_BLOCK), order - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         number = row = base
-        codes: dict[str, int] = {}
-        held: list[list[int]] = []
+        codes = Codes()
+        held: list[np.ndarray] = []
         lines: list[tuple] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.concatenate([np.array(h, np.uint32) for h in held])
+            flat = np.concatenate(held)
             columns = [*map(list, zip(*lines))]
-            words = squeeze("\n".join(codes).encode())
+            words = squeeze(END.join(codes))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], f.type) for x, f in zip([number, *columns, pack(flat), words], schema)], schema=schema
             )
@@ -237,21 +262,20 @@ def blocks(df: DataFrame, train: Column, order: int, key: str = "doc_id", text:
                 at = 0
                 while not end:
                     room = max(size - n, 1)
-                    piece = [codes.setdefault(w, len(codes) + 2) for w in found[at : at + room]]
-                    at += len(piece)
-                    if len(piece) < room and at >= len(found):
-                        piece.append(END_CODE)
-                        end = True
-                    seen = [*before, *piece]
-                    held.append(seen)
+                    part_of = found[at : at + room]
+                    at += len(part_of)
+                    end = len(part_of) < room and at >= len(found)
+                    piece = [*before, *map(codes.__getitem__, part_of), *([END_CODE] if end else [])]
+                    held.append(np.array(piece, np.uint32))
+                    piece = piece[context:]
                     lines.append((row, doc_id, learn, len(piece), part))
                     n, part = n + len(piece), part + 1
                     if n >= size:
                         tail = [found[i] if i >= 0 else None for i in range(at - context, at)]
                         yield flush()
-                        number, codes, held, lines, n = number + 1, {}, [], [], 0
+                        number, codes, held, lines, n = number + 1, Codes(), [], [], 0
                         if not end:
-                            before = [START_CODE if w is None else codes.setdefault(w, len(codes) + 2) for w in tail]
+                            before = [START_CODE if w is None else codes[w] for w in tail]
         if lines:
             yield flush()
 
@@ -290,11 +314,11 @@ def _answers(model_path: str, order: int, answers: DataFrame) -> tuple[DataFrame
 
 def _word_packets(order: int, owners: int):
     def run(row: dict) -> Iterator[tuple]:
-        block = Block(row, order)
+        block = Block(row, order, 1)
         count, by_owner = block.amounts(1), _words_by_owner(block, owners)
         for owner, places in by_owner.items():
-            words = "\n".join([block.words[p] for p in places])
-            yield owner, row["block"], [squeeze(words.encode())], [pack(narrow(count[np.array(places) + 2]))]
+            words = END.join([block.words[p] for p in places])
+            yield owner, row["block"], [squeeze(words)], [pack(narrow(count[np.array(places) + 2]))]
 
     return _per_row(run, _PACKET)
 
@@ -302,7 +326,7 @@ def _word_packets(order: int, owners: int):
 def _words_by_owner(block: Block, owners: int) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for place, word in enumerate(block.words):
-        out.setdefault(zlib.crc32(word.encode()) % owners, []).append(place)
+        out.setdefault(zlib.crc32(word) % owners, []).append(place)
     return out
 
 
@@ -312,14 +336,14 @@ def _count_words(owners: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         owner, total = rows[0]["owner"], {}
-        packets = [(r["block"], unsqueeze(r["grams"][0]).decode().split("\n"), unpack(r["amounts"][0]).astype(np.int64)) for r in rows]
+        packets = [(r["block"], unsqueeze(r["grams"][0]).split(END), unpack(r["amounts"][0]).astype(np.int64)) for r in rows]
         for _, words, counts in packets:
             for w, c in zip(words, counts.tolist()):
                 total[w] = total.get(w, 0) + c
         known = sorted(w for w, c in total.items() if c)
         number = {w: FIRST + 1 + i * owners + owner for i, w in enumerate(known)}
         counts = np.array([total[w] for w in known], np.int64)
-        out = [("grams", owner, None, [squeeze("\n".join(known).encode())], [pack(narrow(counts))], _few(counts))]
+        out = [("grams", owner, None, [squeeze(END.join(known))], [pack(narrow(counts))], _few(counts))]
         for block, words, _ in packets:
             ids = np.array([number.get(w, UNKNOWN) for w in words], np.int64)
             c = np.array([total[w] for w in words], np.int64)
@@ -339,7 +363,7 @@ def _few(counts: np.ndarray) -> list[int]:
 
 def _gram_packets(n: int, model: Model, few: list[int], owners: int):
     def run(row: dict) -> Iterator[tuple]:
-        block = restored(row, model, few)
+        block = restored(row, model, few, n)
         which, ids, owner, dealt = block.asked(n, model, owners)
         amounts = block.amounts(n)[which]
         low = block.shorter[n - 1][which]
@@ -368,7 +392,7 @@ def _count_grams(lower: Discounts):
         parts = [[unpack(g).astype(np.int64) for g in (*r["grams"], *r["amounts"])] for r in rows]
         columns = [np.concatenate(c) for c in zip(*parts)]
         ids, (amount, low_count, over, dealt) = columns[:-4], columns[-4:]
-        order = np.lexsort((*reversed(ids),))
+        order = sorted_places(ids)
         ids = [i[order] for i in ids]
         new = runs(ids)
         gram = np.cumsum(new) - 1
@@ -421,11 +445,10 @@ def _hot_histories(answers: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
     return ids, few, np.array([r["seen"] for r in sums], float)
 
 
-def _taken(row: dict, answers: list[dict], n: int, model: Model, few: list[int], owners: int) -> list[bytes]:
+def _taken(block: Block, answers: list[dict], n: int, model: Model, owners: int) -> list[bytes]:
     """What a block keeps of the answers of order ``n``: counts, and few and seen of its histories."""
     by_owner = {a["owner"]: a for a in answers}
     if n == 1:
-        block = Block(row, model.order)
         ids, counts = np.zeros(len(block.words) + 2, np.int64), np.zeros(len(block.words) + 2, np.int64)
         ids[[END_CODE, START_CODE]], counts[END_CODE] = (FIRST, START), model.starts
         for owner, places in _words_by_owner(block, owners).items():
@@ -433,7 +456,6 @@ def _taken(row: dict, answers: list[dict], n: int, model: Model, few: list[int],
             ids[at] = unpack(by_owner[owner]["grams"][0])
             counts[at] = unpack(by_owner[owner]["amounts"][0])
         return [pack(narrow(ids)), pack(narrow(counts))]
-    block = restored(row, model, few)
     which, _, owner, _ = block.asked(n, model, owners)
     size, before = len(block.last[n - 1]), len(block.last[n - 2])
     counts, kinds, seen = np.zeros(size, np.int64), np.zeros((before, FEW), np.int64), np.zeros(before)
@@ -446,31 +468,36 @@ def _taken(row: dict, answers: list[dict], n: int, model: Model, few: list[int],
     return [pack(narrow(counts)), pack(kinds.reshape(-1).astype(np.uint32)), pack(seen)]
 
 
-def restored(row: dict, model: Model, few: list[int], upto: int | None = None) -> Block:
-    """The block with counts, divisors and factors of all orders answered so far."""
-    block, state = Block(row, model.order), row["state"]
+def restored(row: dict, model: Model, few: list[int], upto: int) -> Block:
+    """The block with its grams up to an order, and counts, divisors and factors of all orders answered so far."""
+    block, state = Block(row, model.order, upto), row["state"]
     block.ids = unpack(state[0]).astype(np.int64)
     block.counts = [unpack(state[1]).astype(np.int64)]
     over, rest = model.unigrams(few)
     block.over, block.rest = [over], [rest]
     for n in range(2, 2 + (len(state) - 2) // 3):
-        counts, kinds, seen = (unpack(s) for s in state[3 * n - 4 : 3 * n - 1])
-        kinds, seen = kinds.astype(np.int64).reshape(-1, FEW), seen.copy()
-        total = block.known(block.counts[n - 2], model, n - 1)
-        hot = np.flatnonzero(total > model.hot)
-        if len(hot):
-            ids, few_of, seen_of = model.often[n - 1]
-            place = {tuple(i): p for p, i in enumerate(ids.tolist())}
-            for h, name in zip(hot.tolist(), zip(*(x.tolist() for x in block.numbers(n - 1, hot)))):
-                if (p := place.get(name)) is not None:
-                    kinds[h], seen[h] = few_of[p], seen_of[p]
-        over, rest = model.discounts[n - 1].state(total, kinds, seen)
-        block.counts.append(counts.astype(np.int64))
-        block.over.append(over)
-        block.rest.append(rest)
+        _add(block, n, model, state[3 * n - 4 : 3 * n - 1])
     return block
 
 
+def _add(block: Block, n: int, model: Model, taken: list[bytes]) -> None:
+    """The answers of order ``n``."""
+    counts, kinds, seen = (unpack(s) for s in taken)
+    kinds, seen = kinds.astype(np.int64).reshape(-1, FEW), seen.copy()
+    total = block.known(block.counts[n - 2], model, n - 1)
+    hot = np.flatnonzero(total > model.hot)
+    if len(hot):
+        ids, few_of, seen_of = model.often[n - 1]
+        place = {tuple(i): p for p, i in enumerate(ids.tolist())}
+        for h, name in zip(hot.tolist(), zip(*(x.tolist() for x in block.numbers(n - 1, hot)))):
+            if (p := place.get(name)) is not None:
+                kinds[h], seen[h] = few_of[p], seen_of[p]
+    over, rest = model.discounts[n - 1].state(total, kinds, seen)
+    block.counts.append(counts.astype(np.int64))
+    block.over.append(over)
+    block.rest.append(rest)
+
+
 def log_scores(block: Block, model: Model) -> np.ndarray:
     """log10 P of the word at each position, from single words up to the whole order."""
     words = block.counts[0]
@@ -547,10 +574,16 @@ def _next_state(state: DataFrame, answers: DataFrame, n: int, model: Model, few:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        row["state"] = [*(row.get("state") or []), *_taken(row, right.to_pylist(), n, model, few, owners)]
+        block = Block(row, model.order, 1) if n == 1 else restored(row, model, few, n)
+        new = _taken(block, right.to_pylist(), n, model, owners)
         if not last:
+            row["state"] = [*(row.get("state") or []), *new]
             return pa.table([pa.array([row[c]], f.type) for c, f in zip(names, schema)], schema=schema)
-        block = restored(row, model, few)
+        if n == 1:
+            row["state"] = new
+            block = restored(row, model, few, 1)
+        else:
+            _add(block, n, model, new)
         score, words, scored = log_scores(block, model), block.counts[0], block.scored
         base = np.log10((words + 0.5) / (model.tokens + 0.5 * (model.words + 1)))[block.tokens]
         size, doc = len(row["row"]), block.document[scored]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -13,11 +14,15 @@ from burnish.llm.packing import pack, unpack
 import numpy as np
 
 
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
 def plain_model(texts: list[str], order: int):
     """Katz backoff by dictionaries: counts by n-gram, histories listed whole, weights summed over the vocabulary."""
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:
-        seq = [""] * (order - 1) + katz.tokens_of(t) + ["\n"]
+        seq = [""] * (order - 1) + words(t) + ["\n"]
         for i in range(order - 1, len(seq)):
             for n in range(1, order + 1):
                 counts[n][tuple(seq[i - n + 1 : i + 1])] += 1
@@ -56,7 +61,7 @@ def plain_scores(texts, learnt, order):
     probability, counts = plain_model([t for t, use in zip(texts, learnt) if use], order)
     n_all, v = sum(counts[1].values()), len(counts[1])
     for t in texts:
-        seq = [""] * (order - 1) + katz.tokens_of(t) + ["\n"]
+        seq = [""] * (order - 1) + words(t) + ["\n"]
         places = range(order - 1, len(seq))
         known = sum(counts[1][(seq[i],)] > 0 for i in places)
         base = sum(math.log10((counts[1][(seq[i],)] + 0.5) / (n_all + 0.5 * (v + 1))) for i in places)
