@@ -158,7 +158,7 @@ def fix_formats(
     """Repair e-mails (lower-case, strip) and white space (strip) in text columns.
 
     A column counts as e-mails if any of its values has an '@'. ``dates`` and ``phones`` must be
-    asked for by name.
+    asked for by name. The metrics also hold the cells repaired ``by_column``.
     """
     names = [column] if column else text_columns(df)
     names = [c for c in names if c in df.columns and is_text(df.schema[c].dataType)]
@@ -176,11 +176,12 @@ def fix_formats(
     metrics = None
     if after:
         changed = [cells_changed(col(c), e) for c, e in after.items()]
-        metrics = df.agg(reduce(lambda a, b: a + b, changed).alias("rows_affected"))
+        by_column = F.create_map(*[e for c, n in zip(after, changed) for e in (F.lit(c), n)])
+        metrics = df.agg(reduce(lambda a, b: a + b, changed).alias("rows_affected"), by_column.alias("by_column"))
     return Outcome(
         df.withColumns(after) if after else df,
         "fix_formats",
         metrics,
-        {"format_type": format_type, "column": column, "emails": sorted(emails)},
+        {"format_type": format_type, "column": column, "columns": list(after), "emails": sorted(emails)},
         "{rows_affected:,} cells repaired ({format_type}).",
     )

@@ -34,7 +34,13 @@ class Outcome:
 
     @property
     def description(self) -> str:
-        return self.template.format(**{**self.details, **self._measured, "rows_affected": self.rows_affected})
+        return self.described()
+
+    def described(self, rows_affected: int | None = None) -> str:
+        """The description; with a number that is known already nothing is measured."""
+        measured = {} if rows_affected is not None else self._measured
+        known = self.rows_affected if rows_affected is None else rows_affected
+        return self.template.format(**{**self.details, **measured, "rows_affected": known})
 
 
 def rows_removed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.functions.types import is_text
+from burnish.functions.types import fresh_name, is_text
 from burnish.operators import columns as cols
 from burnish.operators import relational as rel
 from burnish.operators.ddl import create_table, ddl_profile
@@ -18,7 +19,7 @@ from burnish.operators.nulls import fill_nulls, null_counts
 from burnish.operators.outcome import Outcome
 from burnish.operators.outliers import remove_outliers
 from burnish.operators.profile import distinct_counts, profile
-from burnish.plans.versions import Version, VersionStore
+from burnish.plans.versions import ROW_ID, Version, VersionStore
 from burnish.sources.datasets import Datasets, alias_of
 from burnish.sources.writers import export
 
@@ -89,7 +90,7 @@ class ActionRunner:
     def _deduplicate_semantic(self, df, a):
         p = a.params
         return deduplicate_semantic(
-            df, p.get("subset"), p.get("threshold", 0.92), self.order_by, p.get("embedding"), self.embed
+            df, p.get("subset"), p.get("threshold", 0.92), self.order_by, p.get("embedding"), p.get("embed") or self.embed
         )
 
     def _standardize(self, df, a):
@@ -224,26 +225,61 @@ def run_and_commit(
     runner = ActionRunner(order_by, datasets, embed)
     version = None
     for action in parse_actions(actions):
-        outcome = runner.run(store.get_current(), action)
         if action.type in REPORT_ACTIONS:
+            runner.run(store.get_current(), action)
+            continue
+        about = {"quality_score": None, "actions": action_dicts([action])}
+        if action.type in LOCAL_ACTIONS and action.params.get("strategy") != "ml":
+            version = _commit_change(store, runner, action, about)
             continue
-        sql = _first(action.params, "sql", "query") if action.type == "query" else None
+        outcome = runner.run(store.get_current(), action)
+        query = action.type in QUERY_ACTIONS
         version = store.commit(
             outcome.df,
             outcome.operation,
             action.params.get("description", outcome.description),
-            quality_score=None,
-            rows_affected=None if action.type in QUERY_ACTIONS else outcome.rows_affected,
-            sql=sql,
-            datasets_used=datasets.names if datasets and action.type in QUERY_ACTIONS else [],
-            actions=action_dicts([action]),
+            rows_affected=None if query else outcome.rows_affected,
+            sql=_first(action.params, "sql", "query") if action.type == "query" else None,
+            datasets_used=datasets.names if datasets and query else [],
+            **about,
         )
-        if datasets is not None and action.type in QUERY_ACTIONS:
+        if datasets is not None and query:
             name = alias_of(action.params.get("description", "result")).strip("_").lower() or "result"
             datasets.register(f"{name}.result", store.get_current(), activate=False)
     return version
 
 
+#: Actions that change columns or leave out rows, and so write no more than that.
+LOCAL_ACTIONS = ("standardize", "fix_formats", "fill_nulls", "drop_columns", "rename_column", "filter_rows", "remove_outliers")
+
+
+def _commit_change(store: VersionStore, runner: ActionRunner, action: Action, about: dict) -> Version:
+    """Commits what the action changes. Counts come from the write itself where it can tell them."""
+    rows, said = store.tracked(), action.params.get("description")
+    # The target as it was goes along with its new values, only to be compared when they are written.
+    was = fresh_name(rows, "__was") if action.type in ("fill_nulls", "fix_formats") and action.column in rows.columns else None
+    outcome = runner.run(rows.withColumn(was, cols.col(action.column)) if was else rows, action)
+
+    def described(affected: int | None = None) -> str:
+        return said if said is not None else outcome.described(affected)
+
+    if action.type in ("filter_rows", "remove_outliers"):
+        return store.commit_rows(outcome.df, outcome.operation, described, **about)
+    if action.type in ("drop_columns", "rename_column"):
+        new = {action.params.get("from"): action.params.get("to")} if action.type == "rename_column" else {}
+        left = [c for c in rows.columns if c != ROW_ID and new.get(c, c) in outcome.df.columns]
+        return store.commit_columns([(new.get(c, c), c) for c in left], outcome.operation, described(), rows_affected=outcome.rows_affected, **about)
+    touched = outcome.details.get("columns") or [c for c in [outcome.details.get("column")] if c and outcome.metrics is not None]
+    if not was or not touched:
+        return store.commit_cells(outcome.df, touched, outcome.operation, described, rows_affected=lambda: outcome.rows_affected, **about)
+    now, before = cols.col(action.column), cols.col(was)
+    changed = (before.isNull() & now.isNotNull()) if action.type == "fill_nulls" else before != now
+    seen = Observation()
+    watched = outcome.df.observe(seen, F.count_if(changed).alias("rows_affected"))
+    count = lambda: seen.get["rows_affected"]
+    return store.commit_cells(watched, touched, outcome.operation, lambda: described(count()), rows_affected=count, **about)
+
+
 def recorded_actions(store: VersionStore, version_id: str | None = None) -> list[Action]:
     """The actions that led from the original to a version (the current one by default)."""
     by_id = {v.id: v for v in store.versions}
@@ -264,23 +300,35 @@ def replay(df: DataFrame, store: VersionStore, version_id: str | None = None, or
 def auto_clean(df: DataFrame, order_by=None, compatible: bool = False, leave_out: list[str] = ()) -> tuple[DataFrame, list[Action]]:
     """Drop duplicate rows, repair formats, merge case variants, fill nulls by mode.
 
-    Returns the table and the steps taken. Spellings are merged in every text column that has fewer
-    values once lower-cased, except those named in ``leave_out``; with ``compatible`` a null alone
-    also counts as a variant.
+    Returns the table and the steps that changed something. Spellings are merged in every text
+    column that has fewer values once lower-cased, except those named in ``leave_out``; with
+    ``compatible`` a null alone also counts as a variant.
     """
-    steps = [Action("deduplicate", {"strategy": "exact"}), Action("fix_formats", {"format_type": "auto"})]
-    runner = ActionRunner(order_by)
+    runner, steps = ActionRunner(order_by), []
     # Written once: the counts below and the result all start from it.
-    current = stage(runner.apply(df, steps), "cleaned")
+    current = stage(runner.run(df, Action("deduplicate", {"strategy": "exact"})).df, "cleaned")
+    if current.count() < df.count():
+        steps.append(Action("deduplicate", {"strategy": "exact"}))
+    repair = Action("fix_formats", {"format_type": "auto"})
+    repaired = runner.run(current, repair)
+    if repaired.rows_affected:
+        steps.append(repair)
+        current = repaired.df
     texts = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name not in leave_out]
     if texts:
         counted = distinct_counts(current.select(*[cols.col(c) for c in texts]), texts)
         holes = {c for c, n in null_counts(current, texts).items() if n}
         for c in texts:
             values = counted[c] + (c in holes)
-            variants = counted[f"lower:{c}"] < (values if compatible else counted[c])
-            if variants:
-                steps.append(Action("standardize", {"method": "cluster_merge"}, f"column:{c}"))
-                current = runner.run(current, steps[-1]).df
-    steps.append(Action("fill_nulls", {"strategy": "mode"}))
-    return runner.run(current, steps[-1]).df, steps
+            if counted[f"lower:{c}"] < (values if compatible else counted[c]):
+                merge = Action("standardize", {"method": "cluster_merge"}, f"column:{c}")
+                merged = runner.run(current, merge)
+                if merged.rows_affected:
+                    steps.append(merge)
+                    current = merged.df
+    fill = Action("fill_nulls", {"strategy": "mode"})
+    filled = runner.run(current, fill)
+    if filled.details["columns"]:
+        steps.append(fill)
+        current = filled.df
+    return current, steps

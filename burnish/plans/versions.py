@@ -1,7 +1,13 @@
-"""Versioned tables: a Parquet snapshot per version and an append-only log of what happened.
+"""Versioned tables: sets of columns or rows in Parquet, and an append-only log of what happened.
 
-The log is a small table: one line per commit, checkout or deletion. The history is a tree; the
-current version is the one the last line points to.
+A whole snapshot gives each row an id. A version that follows from it by changing some columns,
+leaving out rows, or renaming and dropping columns writes only those columns, the ids of the rows
+that stay, or nothing; its layout names the set that each column is read from, and sets are joined
+by row id when they are read together. Sets are never changed, so versions share them.
+
+The log is a small table: one line per commit, checkout or deletion. A commit is its line, written
+after the data: without it the version does not exist. The history is a tree; the current version
+is the one the last line points to.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +51,10 @@ TIMELINE_SCHEMA = T.StructType(
         T.StructField("col_count", T.IntegerType()),
     ]
 )
-ROW_INDEX = "__row"
+#: Positions under order_by, and ids that rows keep from one whole snapshot to the next.
+ROW_INDEX, ROW_ID = "__row", "__id"
+#: A version that would be read from more sets than this is written whole.
+MOST_SETS = 4
 
 
 @dataclass
@@ -63,12 +72,22 @@ class Version:
     actions: str | None = None
     row_count: int = 0
     col_count: int = 0
+    layout: dict | None = None
+
+    @property
+    def columns(self) -> list[list[str]]:
+        """[name, set, name in the set] of each column."""
+        return self.layout["columns"]
+
+    @property
+    def sets(self) -> set[str]:
+        return {self.layout["base"], self.layout["rows"] or self.layout["base"], *(c[1] for c in self.columns)}
 
 
 class VersionStore:
-    """Snapshots under ``path``; one writer at a time.
+    """Versions under ``path``; one writer at a time.
 
-    With ``order_by`` each snapshot stores its row positions, so versions can be compared row by
+    With ``order_by`` each version has its row positions, so versions can be compared row by
     row; otherwise compare by key.
     """
 
@@ -150,33 +169,121 @@ class VersionStore:
             sql=sql, datasets_used=list(datasets_used), actions=json.dumps(actions) if actions else None,
         )
 
+    def _folder(self, set_id: str) -> str:
+        return f"{self.path}/versions/{set_id}"
+
     def _commit(self, df: DataFrame, operation: str, description: str, parent: str | None, rows_affected, **more) -> Version:
+        """A whole snapshot, under new row ids."""
         version_id = uuid.uuid4().hex[:12]
-        columns = len(df.columns)
+        df = df.drop(ROW_ID)
+        columns = [[c, version_id, c] for c in df.columns]
         if self.order_by is not None:
             df = with_row_index(df, as_columns(self.order_by), ROW_INDEX)
-        target = f"{self.path}/versions/{version_id}"
-        df.write.parquet(target)
+        df.withColumn(ROW_ID, F.monotonically_increasing_id()).write.parquet(self._folder(version_id))
         # Row count from the written files' footers.
-        rows = self.spark.read.parquet(target).count()
-        if more["quality_score"] is None:
-            more["quality_score"] = measure(self._snapshot(version_id).drop(ROW_INDEX))["quality_score"]
+        rows = self.spark.read.parquet(self._folder(version_id)).count()
+        layout = {"base": version_id, "rows": None, "columns": columns}
+        return self._enter(version_id, layout, rows, operation, description, parent, rows if rows_affected is None else rows_affected, **more)
+
+    def _enter(self, version_id: str, layout: dict, rows: int, operation: str, description: str, parent: str | None, rows_affected: int, **more) -> Version:
+        """The line that makes the version exist."""
+        if more.get("quality_score", 0) is None:
+            more["quality_score"] = measure(self._read(layout).drop(ROW_INDEX, ROW_ID))["quality_score"]
         version = Version(
             id=version_id, label="", description=description, timestamp=time.time(), parent_id=parent, operation=operation,
-            rows_affected=rows if rows_affected is None else rows_affected, row_count=rows, col_count=columns, **more,
+            rows_affected=rows_affected, row_count=rows, col_count=len(layout["columns"]), layout=layout, **more,
         )
         self._append("commit", version_id, json.dumps(asdict(version)))
         return self._find(version_id)
 
+    def tracked(self) -> DataFrame:
+        """The current version with the ids of its rows, for commit_cells() and commit_rows()."""
+        return self._read(self._find(self.current_id).layout).drop(ROW_INDEX)
+
+    def _current(self) -> Version:
+        current = self._find(self.current_id) if self.current_id else None
+        if current is None:
+            raise ValueError("There is no version to change.")
+        return current
+
+    def commit_columns(self, columns: list[tuple[str, str]], operation: str, description: str = "", actions: list[dict] | None = None, **more) -> Version:
+        """The current version's columns under (new name, old name), in that order. Writes no data."""
+        parent = self._current()
+        place = {c[0]: c[1:] for c in parent.columns}
+        layout = {**parent.layout, "columns": [[new, *place[old]] for new, old in columns]}
+        more = {"quality_score": 0, "rows_affected": 0, **more}
+        return self._enter(uuid.uuid4().hex[:12], layout, parent.row_count, operation, description, parent.id, actions=json.dumps(actions) if actions else None, **more)
+
+    def commit_cells(self, df: DataFrame, columns: list[str], operation: str, description="", actions: list[dict] | None = None, rows_affected=0, **more) -> Version:
+        """``df``, the rows of tracked() with other values in ``columns``: writes these columns alone.
+
+        ``description`` and ``rows_affected`` may be functions, called when the data are written.
+        A column that orders the rows, or too many sets to read together, lead to a whole snapshot.
+        """
+        parent, set_id = self._current(), uuid.uuid4().hex[:12]
+        kept = [c for c in parent.columns if c[0] not in columns]
+        layout = {**parent.layout, "columns": [[c[0], set_id, c[0]] if c[0] in columns else c for c in parent.columns]}
+        recorded = json.dumps(actions) if actions else None
+        if not columns:
+            return self.commit_columns([(c[0], c[0]) for c in parent.columns], operation, _said(description), actions, rows_affected=_said(rows_affected), **more)
+        if 2 * len(kept) < len(parent.columns) or self._orders(columns) or len({layout["base"], layout["rows"], *(c[1] for c in layout["columns"])} - {None}) > MOST_SETS:
+            return self._commit(df.select(*[col(c[0]) for c in parent.columns]), operation, _said(description), parent.id, _said(rows_affected), actions=recorded, **more)
+        df.select(ROW_ID, *[col(c) for c in columns]).write.parquet(self._folder(set_id))
+        return self._enter(set_id, layout, parent.row_count, operation, _said(description), parent.id, _said(rows_affected), actions=recorded, **more)
+
+    def commit_rows(self, df: DataFrame, operation: str, description="", actions: list[dict] | None = None, **more) -> Version:
+        """``df``, some of the rows of tracked(): writes their ids, and with order_by their positions.
+
+        ``description`` may be a function of the number of rows that went.
+        """
+        parent, set_id = self._current(), uuid.uuid4().hex[:12]
+        layout = {**parent.layout, "rows": set_id}
+        recorded = json.dumps(actions) if actions else None
+        whole = len({layout["base"], set_id, *(c[1] for c in layout["columns"])}) > MOST_SETS
+        if self.order_by is not None and not whole:
+            df = with_row_index(df.select(ROW_ID, *as_columns(self.order_by)), as_columns(self.order_by), ROW_INDEX).select(ROW_ID, ROW_INDEX)
+        elif not whole:
+            df = df.select(ROW_ID)
+        if whole:
+            df = df.drop(ROW_ID)
+            layout = {"base": set_id, "rows": None, "columns": [[c[0], set_id, c[0]] for c in parent.columns]}
+            if self.order_by is not None:
+                df = with_row_index(df, as_columns(self.order_by), ROW_INDEX)
+            df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        df.write.parquet(self._folder(set_id))
+        rows = self.spark.read.parquet(self._folder(set_id)).count()
+        gone = parent.row_count - rows
+        return self._enter(set_id, layout, rows, operation, description(gone) if callable(description) else description, parent.id, gone, actions=recorded, **more)
+
+    def _orders(self, columns: list[str]) -> bool:
+        """Whether the order of the rows may depend on the columns; of expressions that is not known."""
+        if self.order_by is None:
+            return False
+        named = [self.order_by] if isinstance(self.order_by, (str, Column)) else list(self.order_by)
+        return any(not isinstance(c, str) or c in columns for c in named)
+
     # -- reading ----------------------------------------------------------------------------
 
-    def _snapshot(self, version_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/versions/{version_id}")
+    def _read(self, layout: dict, names: list[str] | None = None) -> DataFrame:
+        """Columns of a layout with ROW_ID, and ROW_INDEX if it is stored. Only the sets that hold them are read."""
+        chosen = [c for c in layout["columns"] if names is None or c[0] in names]
+        rows = layout["rows"] or layout["base"]
+        sets = dict.fromkeys([rows, *(c[1] for c in chosen)])
+        index = [ROW_INDEX] if self.order_by is not None else []
+        out = None
+        for set_id in sets:
+            stored = self.spark.read.parquet(self._folder(set_id))
+            part = stored.select(ROW_ID, *(index if set_id == rows else []), *[col(c[2]).alias(c[0]) for c in chosen if c[1] == set_id])
+            out = part if out is None else out.join(part, ROW_ID)
+        return out.select(*[col(c[0]) for c in chosen], ROW_ID, *index)
+
+    def _snapshot(self, version_id: str, names: list[str] | None = None) -> DataFrame:
+        return self._read(self._find(version_id).layout, names)
 
     def get_version(self, version_id: str) -> DataFrame | None:
         if self._find(version_id) is None:
             return None
-        return self._snapshot(version_id).drop(ROW_INDEX)
+        return self._snapshot(version_id).drop(ROW_INDEX, ROW_ID)
 
     def checkout(self, version_id: str) -> DataFrame | None:
         df = self.get_version(version_id)
@@ -201,6 +308,8 @@ class VersionStore:
 
     def get_timeline(self) -> DataFrame:
         rows = [{"position": i, **asdict(v)} for i, v in enumerate(self.versions)]
+        for r in rows:
+            del r["layout"]
         return self.spark.createDataFrame(rows, TIMELINE_SCHEMA)
 
     def delete_version(self, version_id: str) -> bool:
@@ -214,23 +323,39 @@ class VersionStore:
         if version_id == versions[0].id or version_id == current:
             raise ValueError("The original and the current version cannot be deleted.")
         self._append("delete", version_id)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version_id}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        own = next(v.sets for v in versions if v.id == version_id)
+        for set_id in own.difference(*(v.sets for v in versions if v.id != version_id)):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(set_id))
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         return True
 
     # -- comparison -------------------------------------------------------------------------
 
     def diff(self, version_a: str, version_b: str, key: list[str] | None = None) -> DataFrame:
-        """table_diff of two versions, row by row position or by key."""
-        a, b = self._snapshot(version_a), self._snapshot(version_b)
+        """table_diff of two versions, row by row position or by key; only columns that may differ are read."""
         if key is None and self.order_by is None:
             raise ValueError("Comparing by position needs a store with order_by; or pass key.")
-        return table_diff(a, b, key or [ROW_INDEX], hidden=[ROW_INDEX])
+        first, second = self._find(version_a), self._find(version_b)
+        place = {c[0]: c[1:] for c in second.columns}
+        same_rows = key is None and (first.layout["base"], first.layout["rows"]) == (second.layout["base"], second.layout["rows"])
+        # Of the same rows, columns that are read from the same place are equal: they are not read.
+        equal = [c[0] for c in first.columns if same_rows and place.get(c[0]) == c[1:]]
+        a, b = (self._snapshot(v.id, [c[0] for c in v.columns if c[0] not in equal]) for v in (first, second))
+        found = table_diff(a, b, key or [ROW_INDEX], hidden=[ROW_INDEX, ROW_ID])
+        if not equal:
+            return found
+        n = first.row_count
+        lines = [(c, 0, 0, n, 0.0 if n else None) for c in equal]
+        return found.unionAll(self.spark.createDataFrame(lines, found.schema)).orderBy(F.desc("cells_changed"), "column_name")
 
     def compare(self, version_a: str, version_b: str) -> DataFrame:
         return table_summary(self.get_version(version_a), self.get_version(version_b))
 
 
+def _said(value):
+    return value() if callable(value) else value
+
+
 def table_summary(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sizes of two tables, rows gained or lost, and which columns came and went; one row."""
     added = [c for c in b.columns if c not in a.columns]
