@@ -1,4 +1,4 @@
-"""A table described as DDL, with layout hints, from one aggregate."""
+"""A table described as DDL, with layout hints, from one aggregate and one count of distinct texts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.types import col, is_text
-from burnish.operators.outcome import distinct_values
+from burnish.operators.profile import distinct_counts
 
 # SQL type names by engine.
 POSTGRESQL = {
@@ -50,17 +50,20 @@ def ddl_profile(df: DataFrame, engine: str = "postgresql", exact: bool = True) -
     """One line per column: ordinal, name, SQL type, nullability, layout hint.
 
     Nullability is what the data shows. A hinted column (named like an id, a date, or text with
-    few values) is worth bucketing or partitioning by. ``exact=False`` estimates distinct counts.
+    few values, null as one) is worth bucketing or partitioning by. Distinct counts come from one pass
+    over hashes; ``exact=False`` estimates them in the same aggregate as the rest.
     """
     fields = df.schema.fields
     counts = []
+    worded = [f.name for f in fields if is_text(f.dataType) and "id" not in f.name.lower()]
+    distinct = distinct_counts(df.select(*[col(c) for c in worded])) if exact and worded else {}
     for i, f in enumerate(fields):
         counts.append(F.count_if(col(f.name).isNull()).alias(f"n{i}"))
         if is_text(f.dataType):
             counts.append(F.coalesce(F.max(F.length(col(f.name))), F.lit(0)).alias(f"l{i}"))
-        if is_text(f.dataType) and "id" not in f.name.lower():
-            unique = distinct_values(col(f.name)) if exact else F.approx_count_distinct(col(f.name))
-            counts.append(unique.alias(f"u{i}"))
+        if f.name in worded:
+            seen = F.lit(distinct[f.name]) if exact else F.approx_count_distinct(col(f.name))
+            counts.append((seen + (F.count_if(col(f.name).isNull()) > 0).cast("int")).alias(f"u{i}"))
     measured = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     lines = []
     for i, f in enumerate(fields):

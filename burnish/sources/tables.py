@@ -118,13 +118,15 @@ def describe_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def get_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:
-    """describe_tables over every table and view the session catalog lists."""
+    """describe_tables over every table and view the session catalog lists, and whether it is a view."""
     listed = spark.catalog.listTables(schema) if schema else spark.catalog.listTables()
     names = [t.name for t in listed]
     if not names:
         return spark.createDataFrame(
             [],
-            "table_name string, ordinal int, column_name string, column_type string, nullable boolean, row_count long",
+            "table_name string, ordinal int, column_name string, column_type string, nullable boolean, row_count long, is_view boolean",
         )
+    views = [t.name for t in listed if t.isTemporary or t.tableType == "VIEW"]
     inside = {t.name: None if t.isTemporary else schema for t in listed}
-    return describe_tables({n: read_table(spark, n, schema=inside[n]) for n in names})
+    described = describe_tables({n: read_table(spark, n, schema=inside[n]) for n in names})
+    return described.withColumn("is_view", F.col("table_name").isin(views))

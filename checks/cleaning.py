@@ -70,7 +70,17 @@ def f7(spark, sf):
         FROM ({DIRTY_CUSTOMER})""",
 )
 def f7_metrics(spark, sf):
-    return cols.fix_formats(view(spark, sf, DIRTY_CUSTOMER)).metrics
+    return cols.fix_formats(view(spark, sf, DIRTY_CUSTOMER)).metrics.select("rows_affected")
+
+
+@query(
+    "f7_fix_auto_by_column",
+    f"""SELECT 'c_name' AS column_name, count_if(c_name <> {_STRIP.format('c_name')}) AS cells FROM ({DIRTY_CUSTOMER}) UNION ALL
+        SELECT 'c_email', count_if(c_email <> lower({_STRIP.format('c_email')})) FROM ({DIRTY_CUSTOMER}) UNION ALL
+        SELECT 'c_mktsegment', count_if(c_mktsegment <> {_STRIP.format('c_mktsegment')}) FROM ({DIRTY_CUSTOMER})""",
+)
+def f7_by_column(spark, sf):
+    return cols.fix_formats(view(spark, sf, DIRTY_CUSTOMER)).metrics.select(F.explode("by_column").alias("column_name", "cells"))
 
 
 _DATES = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN {a} WHEN 'O' THEN {b} ELSE 'pending' END AS day FROM {orders}"""
@@ -242,11 +252,16 @@ def n7(spark, sf):
     return out.withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 
-@query("n8_fill_forest")
+# A forest predicts means of observed values: gaps are filled within their range, the rest is left alone.
+@query("n8_fill_forest", "SELECT c_custkey, c_mktsegment = 'BUILDING' AS filled, true AS fits FROM customer")
 def n8(spark, sf):
     sql = "SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal FROM {customer}"
     df = view(spark, sf, sql)
-    return impute.fill_nulls_ml(df, "c_acctbal", "rf", order_by="c_custkey").df
+    filled = impute.fill_nulls_ml(df, "c_acctbal", "rf", order_by="c_custkey").df
+    low, high = df.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    both = filled.select("c_custkey", F.col("c_acctbal").alias("now")).join(df.select("c_custkey", F.col("c_acctbal").alias("was")), "c_custkey")
+    fits = F.coalesce(F.col("now") == F.col("was"), F.col("now").between(low, high))
+    return both.select("c_custkey", F.col("was").isNull().alias("filled"), F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
 @query(

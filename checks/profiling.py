@@ -105,9 +105,20 @@ def r4_texts(spark, sf):
     return prof.profile_columns(table(spark, sf, "documents")).select("name", "unique_count")
 
 
-@query("r4_unique_estimated")
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+# Three standard errors of the estimate.
+@query(
+    "r4_unique_estimated",
+    " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS unique_count, true AS close FROM lineitem" for c in _LINE),
+)
 def r4_estimated(spark, sf):
-    return prof.profile_columns(table(spark, sf, "lineitem"), approximate=True).select("name", "unique_count")
+    lines = table(spark, sf, "lineitem")
+    found = prof.profile_columns(lines, approximate=True).select("name", F.col("unique_count").alias("estimate"))
+    exact = prof.distinct_counts(lines)
+    known = spark.createDataFrame([(c, exact[c]) for c in _LINE], "name string, unique_count long")
+    return found.join(known, "name").select("name", "unique_count", (F.abs(F.col("estimate") - F.col("unique_count")) <= 0.15 * F.col("unique_count")).alias("close"))
 
 
 _SAMPLED = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -136,9 +147,9 @@ _MOSTLY_NULL = "SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN va
 
 @query(
     "r7_mostly_null",
-    f"""SELECT 'error_value' AS name, format('{{:.0f}}% null values', 100.0 * count_if(error_value IS NULL) / count(*)) AS issue
+    f"""SELECT 'error_value' AS name, format('{{:.0f}} % of the cells are null', 100.0 * count_if(error_value IS NULL) / count(*)) AS issue
         FROM ({_MOSTLY_NULL}) UNION ALL
-        SELECT 'error_value', CAST(count(*) AS VARCHAR) || ' outliers detected (IQR method)' FROM ({_MOSTLY_NULL}),
+        SELECT 'error_value', format('{{:,}} values lie beyond the quartile fences', count(*)) FROM ({_MOSTLY_NULL}),
         ({fences('error_value', f'({_MOSTLY_NULL})')}) WHERE error_value < lo OR error_value > hi HAVING count(*) > 0""",
 )
 def r7(spark, sf):
@@ -150,7 +161,7 @@ _NEAR_ID = "SELECT CASE WHEN value > 180 THEN event_id + 1 ELSE event_id END AS
 
 @query(
     "r8_id_with_duplicates",
-    f"""SELECT 'event_id' AS name, 'Possible ID column with duplicates' AS issue FROM ({_NEAR_ID})
+    f"""SELECT 'event_id' AS name, format('named like a key, but {{:,}} rows repeat one', count(*) - count(DISTINCT event_id)) AS issue FROM ({_NEAR_ID})
         HAVING count(DISTINCT event_id) < count(*) AND count(DISTINCT event_id) > 0.95 * count(*)""",
 )
 def r8(spark, sf):
@@ -159,7 +170,7 @@ def r8(spark, sf):
 
 @query(
     "r9_inconsistent_casing",
-    f"""SELECT 'c_mktsegment' AS name, 'Inconsistent casing (' || (count(DISTINCT c_mktsegment) + 1) || ' variants, could be fewer)' AS issue
+    f"""SELECT 'c_mktsegment' AS name, count(DISTINCT c_mktsegment) || ' spellings, ' || count(DISTINCT lower(c_mktsegment)) || ' without regard to casing' AS issue
         FROM ({DIRTY_CUSTOMER}) HAVING count(DISTINCT lower(c_mktsegment)) < count(DISTINCT c_mktsegment)""",
 )
 def r9(spark, sf):
@@ -172,7 +183,7 @@ _ONE_CASE = "SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c
 
 @query(
     "r9_casing_compatible",
-    f"""SELECT 'c_mktsegment' AS name, 'Inconsistent casing (' || (count(DISTINCT c_mktsegment) + 1) || ' variants, could be fewer)' AS issue
+    f"""SELECT 'c_mktsegment' AS name, (count(DISTINCT c_mktsegment) + 1) || ' spellings, ' || count(DISTINCT c_mktsegment) || ' without regard to casing' AS issue
         FROM ({_ONE_CASE})""",
 )
 def r9_compatible(spark, sf):
@@ -185,7 +196,7 @@ _FIRST_DAYS = _TWO_DATES.replace("{a}", "strftime(o_orderdate, '%Y-%m-%d')").rep
 
 @query(
     "r10_mixed_dates",
-    f"""SELECT 'day' AS name, 'Mixed date formats: ' || string_agg(layout, ', ' ORDER BY layout) AS issue
+    f"""SELECT 'day' AS name, 'dates are written as ' || string_agg(layout, ' and ' ORDER BY layout) AS issue
         FROM (SELECT DISTINCT CASE WHEN contains(day, '/') THEN 'YYYY/MM/DD' ELSE 'YYYY-MM-DD' END AS layout
               FROM ({_FIRST_DAYS})) HAVING count(*) > 1""",
 )
@@ -199,7 +210,7 @@ _LATE_DAYS = """SELECT o_orderkey, CASE WHEN o_orderkey <= 1000 THEN {a} ELSE {b
 
 @query(
     "r10_dates_change_late",
-    """SELECT 'day' AS name, 'Mixed date formats: YYYY-MM-DD, YYYY/MM/DD' AS issue FROM orders
+    """SELECT 'day' AS name, 'dates are written as YYYY-MM-DD and YYYY/MM/DD' AS issue FROM orders
        HAVING count_if(o_orderkey <= 1000) > 0 AND count_if(o_orderkey > 1000) > 0""",
 )
 def r10_late(spark, sf):
@@ -212,21 +223,43 @@ _MANY_CASES = "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'Key ' ELSE 'KEY ' END ||
 
 @query(
     "r9_many_values_in_two_casings",
-    f"""SELECT 'label' AS name, 'Inconsistent casing (' || count(DISTINCT label) || ' variants, could be fewer)' AS issue
+    f"""SELECT 'label' AS name, count(DISTINCT label) || ' spellings, ' || count(DISTINCT lower(label)) || ' without regard to casing' AS issue
         FROM ({_MANY_CASES}) HAVING count(DISTINCT lower(label)) < count(DISTINCT label)""",
 )
 def r9_many(spark, sf):
     return issues(prof.profile_columns(view(spark, sf, _MANY_CASES)))
 
 
-@query("r13_profile_json")
+ORDER_COLUMNS = {
+    "o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "other", "o_orderpriority": "text",
+}
+
+
+@query(
+    "r13_profile_json",
+    f"""SELECT name, null_count, round(null_pct, 2) AS null_pct, unique_count, samples, issue_count, row_count, col_count, quality_score, duplicate_count
+        FROM ({column_sql('SELECT * FROM orders', ORDER_COLUMNS)}), ({score_sql('SELECT * FROM orders', ORDER_COLUMNS)}),
+             ({' UNION ALL '.join(f"SELECT '{c}' AS sampled, string_agg(v, '/' ORDER BY o_orderkey) AS samples FROM (SELECT o_orderkey, CAST({c} AS VARCHAR) AS v FROM orders WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 5)" for c in ORDER_COLUMNS)})
+        WHERE sampled = name""",
+)
 def r13(spark, sf):
-    return spark.createDataFrame([(prof.profile_json(table(spark, sf, "orders"), "o_orderkey"),)], "report string")
+    report = spark.createDataFrame([(prof.profile_json(table(spark, sf, "orders"), "o_orderkey"),)], "report string")
+    column = "struct<name string, nullCount long, nullPct double, uniqueCount long, sampleValues array<string>, issues array<string>>"
+    shape = f"struct<rowCount long, colCount int, qualityScore int, duplicateCount long, columns array<{column}>>"
+    read = report.select(F.from_json("report", shape).alias("r")).select("r.*", F.explode("r.columns").alias("c"))
+    return read.select(
+        "c.name", F.col("c.nullCount").alias("null_count"), F.col("c.nullPct").alias("null_pct"), F.col("c.uniqueCount").alias("unique_count"),
+        F.array_join("c.sampleValues", "/").alias("samples"), F.size("c.issues").alias("issue_count"), F.col("rowCount").alias("row_count"),
+        F.col("colCount").alias("col_count"), F.col("qualityScore").alias("quality_score"), F.col("duplicateCount").alias("duplicate_count"),
+    )
 
 
-@query("r14_memory_estimate")
+@query(
+    "r14_memory_estimate",
+    "SELECT count(*) AS row_count, round(sum(8 + coalesce(strlen(url), 0) + coalesce(strlen(html), 0)) / 1048576.0::DOUBLE, 6) AS memory_mb FROM pages",
+)
 def r14(spark, sf):
-    return prof.profile(table(spark, sf, "pages"), approximate=True).select("row_count", F.round("memory_mb", 3).alias("memory_mb"))
+    return prof.profile(table(spark, sf, "pages"), approximate=True).select("row_count", F.round("memory_mb", 6).alias("memory_mb"))
 
 
 @query(
@@ -288,7 +321,11 @@ def g1_long(spark, sf):
     return out.where("column_name = 'text'").select("ordinal", "column_name", "sql_type", "nullable")
 
 
-@query("g1_create_table")
+@query(
+    "g1_create_table",
+    f"""SELECT 'CREATE TABLE lines (' || chr(10) || string_agg('    "' || column_name || '" ' || sql_type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END,
+               ',' || chr(10) ORDER BY ordinal) || chr(10) || ');' AS ddl FROM ({ddl_sql('postgresql')})""",
+)
 def g1_text(spark, sf):
     text = ddl.create_table(view(spark, sf, GAPPY_LINEITEM), "lines")
     return spark.createDataFrame([(text,)], "ddl string")
@@ -316,6 +353,17 @@ def s10(spark, sf):
     return tbl.describe_tables({t: table(spark, sf, t) for t in SPARK_TYPES})
 
 
+@query(
+    "s10_get_tables",
+    " UNION ALL ".join(f"SELECT 's10_{t}' AS table_name, {len(cs)} AS column_count, (SELECT count(*) FROM {t}) AS row_count, true AS is_view" for t, cs in SPARK_TYPES.items()),
+)
+def s10_tables(spark, sf):
+    for t in SPARK_TYPES:
+        table(spark, sf, t).createOrReplaceTempView(f"s10_{t}")
+    listed = tbl.get_tables(spark).where(F.col("table_name").isin([f"s10_{t}" for t in SPARK_TYPES]))
+    return listed.groupBy("table_name", "row_count", "is_view").agg(F.count("*").cast("int").alias("column_count"))
+
+
 @query(
     "s10_row_counts",
     " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES),
