@@ -77,7 +77,7 @@ def join_tables(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     """
     keys = [on] if isinstance(on, str) else list(on or [])
     if right is None or not keys:
-        raise ValueError("join requires a right table and key column(s).")
+        raise ValueError("Name the other table and the columns to match on.")
     kind = JOINS.get(how.strip().lower())
     if kind is None:
         raise ValueError(f"Unknown join type: {how}")

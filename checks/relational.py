@@ -6,6 +6,7 @@ from burnish.functions.ordering import with_row_index
 from burnish.functions.text import bucketize
 from burnish.operators import columns as cols
 from burnish.operators import relational as rel
+from burnish.operators.overlap import overlap_join
 from burnish.sources.datasets import run_query
 from checks.registry import DIRTY_CUSTOMER, query, table, view
 
@@ -315,6 +316,24 @@ sql_query(
     """SELECT a.o_orderkey, b.l_linenumber, b.l_shipdate FROM {orders} a JOIN {lineitem} b
        ON a.o_orderkey = b.l_orderkey AND b.l_shipdate < a.o_orderdate""",
 )
+_OPEN = """SELECT o_orderkey AS {k}, o_orderpriority AS {p}, datediff(o_orderdate, DATE '1995-01-01') AS {s},
+  datediff(o_orderdate, DATE '1995-01-01') + CASE WHEN o_orderkey % 100 = 0 THEN 60 ELSE o_orderkey % 4 END AS {e} FROM {orders}"""
+_OPEN_A = _OPEN.replace("{k}", "a_key").replace("{p}", "a_priority").replace("{s}", "a_start").replace("{e}", "a_end")
+_OPEN_B = _OPEN.replace("{k}", "b_key").replace("{p}", "b_priority").replace("{s}", "b_start").replace("{e}", "b_end")
+
+
+# Orders that are open at the same time as an urgent one: no equality to join on.
+@query(
+    "q6_overlap_join",
+    f"""SELECT a_key, count(*) AS n, max(b_key) AS last_key FROM ({_OPEN_A}) JOIN ({_OPEN_B}) ON a_start <= b_end AND b_start <= a_end
+        WHERE b_priority = '1-URGENT' AND a_key <> b_key GROUP BY a_key""".replace("datediff(o_orderdate, DATE '1995-01-01')", "date_diff('day', DATE '1995-01-01', o_orderdate)"),
+)
+def q6_overlap(spark, sf):
+    urgent = view(spark, sf, _OPEN_B).where("b_priority = '1-URGENT'")
+    pairs = overlap_join(view(spark, sf, _OPEN_A), urgent, ("a_start", "a_end"), ("b_start", "b_end"))
+    return pairs.where("a_key <> b_key").groupBy("a_key").agg(F.count("*").alias("n"), F.max("b_key").alias("last_key"))
+
+
 sql_query(
     "q7_as_of_join",
     """SELECT event_id, user_id, last_error FROM (
