@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burnish.functions.embedding import hashed_embedding
 from burnish.functions.ordering import with_rank
 from burnish.functions.scratch import spread, stage
 from burnish.functions.similarity import TextTile, lengths_fit, may_be_similar, text_signatures, text_similarity
@@ -167,13 +168,13 @@ def deduplicate_semantic(
     threshold: float = SEMANTIC_THRESHOLD,
     order_by=None,
     embedding: str | None = None,
-    embed: Callable[[Column], Column] | None = None,
+    embed: Callable[[Column], Column] | str | None = None,
 ) -> Outcome:
     """Remove rows whose embedding has cosine >= threshold with an earlier kept row.
 
     Vectors come from the array column ``embedding`` or from ``embed``, a function from the text
-    column to an array column (a pandas UDF around a model). With neither, texts are compared as
-    in fuzzy dedup without blocking.
+    column to an array column (a pandas UDF around a model), or "hashed" for hashed n-grams, which
+    need no model. With neither, texts are compared as in fuzzy dedup without blocking.
     """
     columns = comparison_columns(df, subset)
     details = {"strategy": "semantic", "threshold": threshold, "columns_used": columns}
@@ -194,6 +195,8 @@ def deduplicate_semantic(
 
 
 def vector_leaders(df, columns, threshold, order_by, embedding, embed, assign):
+    if embedding is None and embed == "hashed":
+        embed = hashed_embedding(df, composite_text(columns))
     vector = col(embedding) if embedding else embed(composite_text(columns))
     rows = df.select(_order_key(order_by).alias("first"), vector.cast("array<double>").alias("vector"))
     vertices = with_rank(rows, [F.col("first")], "id")

@@ -180,6 +180,30 @@ def d7(spark, sf):
     return dedup.deduplicate_semantic(table(spark, sf, "part"), ["p_name"], order_by="p_partkey").df
 
 
+# The vectors of hashed n-grams, in SQL.
+_HASHED = f"""
+  WITH RECURSIVE texts AS MATERIALIZED (SELECT text, first, row_number() OVER (ORDER BY first) AS i FROM ({_NAMES})),
+  parts AS (SELECT p_partkey, i FROM part JOIN texts ON p_name = text),
+  marked AS (SELECT i, ' ' || lower(text) || ' ' AS body FROM texts),
+  digests AS (SELECT i, md5(substr(body, j, 3)) AS h FROM (SELECT i, body, unnest(range(1, length(body) - 1)) AS j FROM marked)),
+  grams AS (SELECT i, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS b, CASE WHEN CAST('0x' || substr(h, 9, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS s FROM digests),
+  weights AS (SELECT b, ln((1 + (SELECT count(*) FROM part)) / (1.0 + count(DISTINCT p_partkey))) + 1 AS w FROM grams JOIN parts USING (i) GROUP BY b),
+  vecs AS MATERIALIZED (SELECT i, b, sum(s) * any_value(w) AS x FROM grams JOIN weights USING (b) GROUP BY i, b),
+  norms AS (SELECT i, sqrt(sum(x * x)) AS norm FROM vecs GROUP BY i),
+  scored AS MATERIALIZED (SELECT u, v, dot / (a.norm * c.norm) AS score FROM (
+      SELECT p.i AS u, q.i AS v, sum(p.x * q.x) AS dot FROM vecs p JOIN vecs q ON p.b = q.b AND p.i < q.i GROUP BY 1, 2)
+    JOIN norms a ON a.i = u JOIN norms c ON c.i = v),
+  {greedy('SELECT i FROM texts', 'SELECT u, v FROM scored WHERE score >= 0.6')}"""
+
+
+@query(
+    "d7_semantic_hashed",
+    _HASHED + " SELECT part.* FROM part JOIN texts ON p_partkey = texts.first JOIN led ON led.i = texts.i WHERE led.leader = led.i",
+)
+def d7_hashed(spark, sf):
+    return dedup.deduplicate_semantic(table(spark, sf, "part"), ["p_name"], 0.6, order_by="p_partkey", embed="hashed").df
+
+
 # -- spellings ------------------------------------------------------------------------------
 
 def merge_walk(source: str, column: str, threshold: float = 0.8) -> str:
