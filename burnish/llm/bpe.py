@@ -20,7 +20,8 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -33,7 +34,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from burnish.functions.scratch import stage
 from burnish.llm.frames import arrow_schema
 
-LEAF, SPREAD, CACHED = 48, 1 << 20, 1 << 19
+LEAF, SPREAD, CACHED = 48, 1 << 20, 1 << 17
+#: Rows that a task holds as Python texts.
+SLICE = 256
 #: Above every merge's rank.
 NEVER = 1 << 60
 #: White space to the tokenizer: the Unicode property, which lacks four controls that str.split() splits at.
@@ -61,13 +64,24 @@ class Vocabulary:
         self.made = [self.ids[a + b] for a, b in pairs]
         self.unit = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         signs = byte_signs()
         self.inner = [self.ids.get(c) for c in signs]
         self.final = [self.ids.get(c + self.suffix) for c in signs]
-        self.base = {i: self._symbols_of(t) for t, i in self.ids.items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in (self.ids | self.special).items()}
+
+    @cached_property
+    def base(self) -> dict[int, list[int]]:
+        """The symbols of each token; read where neighbours are joined."""
+        return {i: self._symbols_of(t) for t, i in self.ids.items()}
+
+    def decode(self, packed: bytes | None) -> str:
+        """The tokens of little-endian 32-bit ids, a space between; ids out of the vocabulary are left out."""
+        tokens = self.tokens
+        return " ".join([t for i in np.frombuffer(packed or b"", "<u4").tolist() if (t := tokens.get(i)) is not None])
 
     def _symbols_of(self, token: str) -> list[int]:
         body = token.removesuffix(self.suffix) if self.suffix else token
@@ -147,7 +161,7 @@ class Encoder:
     def segments(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) for a special string, (None, chunks) for what is between. Special strings are those of the text as given."""
         pattern = self.v.special_pattern
-        for part in pattern.split(text) if pattern and "<" in text else [text]:
+        for part in pattern.split(text) if pattern and any(t in text for t in self.v.special) else [text]:
             if (found := self.v.special.get(part)) is not None:
                 yield found, []
                 continue
@@ -188,18 +202,46 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     are kept as they are; other columns are ignored whatever their names; an empty table gives an
     empty result. Texts over ``spread`` code points are encoded in pieces by many tasks.
     """
+    ids = _coded(df, vocabulary, key, text, spread, "ids binary", lambda v, ids: [ids])
+    return ids.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), "ids")
+
+
+def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", spread: int = SPREAD) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: encode() and decode() of its ids by the same task. Input as in encode()."""
+    out = _coded(df, vocabulary, key, text, spread, "ids binary, decoded string", lambda v, ids: [ids, v.decode(ids)])
+    return out.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), "ids", "decoded")
+
+
+def _coded(df: DataFrame, vocabulary: str, key: str, text: str, spread: int, ddl: str, columns_of: Callable[[Vocabulary, bytes], list]) -> DataFrame:
+    """``doc_id`` and the columns ``ddl`` that are made of the ids, for short texts where they are encoded."""
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    ddl = f"doc_id long, {ddl}"
+    schema = arrow_schema(ddl)
+
+    def filled(v: Vocabulary, keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        columns = list(zip(*(columns_of(v, i) for i in ids))) or [()] * (len(schema) - 1)
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(vocabulary))
         for batch in batches:
-            ids = [encoder.text(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield filled(encoder.v, part.column(0), [encoder.text(t) for t in part.column(1).to_pylist()])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(vocabulary)
+        for batch in batches:
+            for start in range(batch.num_rows):
+                part = batch.slice(start, 1)
+                yield filled(v, part.column(0), part.column(1).to_pylist())
 
     long = F.length("body") > spread
-    short = source.where(~long).mapInArrow(run, "doc_id long, ids binary")
-    ids = short.unionByName(_encode_pieces(source.where(long), vocabulary, spread))
-    return ids.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), "ids")
+    out = source.where(~long).mapInArrow(run, ddl)
+    # Workers for pieces are only started where a text needs them.
+    if source.where(long).limit(1).isEmpty():
+        return out
+    return out.unionByName(_encode_pieces(source.where(long), vocabulary, spread).mapInArrow(finish, ddl))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -212,12 +254,12 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decode
     schema = StructType([*source.schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary(vocabulary).tokens
+        v = Vocabulary(vocabulary)
         for batch in batches:
-            texts = []
-            for packed in batch.column(ids).to_pylist():
-                texts.append(" ".join([t for i in np.frombuffer(packed or b"", "<u4").tolist() if (t := tokens.get(i)) is not None]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [v.decode(packed) for packed in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, into])
 
     return source.mapInArrow(run, schema)
 

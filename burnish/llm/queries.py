@@ -25,10 +25,8 @@ QUERIES["op4_simhash_near_dedup"] = lambda spark, sf: simhash.near_duplicates(ta
 
 def _bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf, "documents"), vocabulary)
-    return bpe.decode(encoded, vocabulary).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    coded = bpe.round_trip(table(spark, sf, "documents"), vocabulary)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES["op6_bpe_encode_decode"] = _bpe_round_trip
