@@ -48,8 +48,7 @@ QUERIES["op9_language_id"] = _language
 
 def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
-    net = toxicity.learn(documents, table(spark, sf, "labels").where(~_fold(5, 0)))
-    return toxicity.score(documents, net).withColumn("held_out", F.coalesce(_fold(5, 0), F.lit(False)))
+    return toxicity.learn_and_score(documents, table(spark, sf, "labels").where(~_fold(5, 0))).withColumn("held_out", F.coalesce(_fold(5, 0), F.lit(False)))
 
 
 QUERIES["op5_toxicity"] = _toxicity

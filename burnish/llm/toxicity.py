@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from burnish.functions.scratch import stage
 
 #: The most labelled rows of a class that train the net, and the groups they are drawn from (1,000 each).
 LEARN_ROWS, GROUPS = 2000, 2
@@ -31,6 +33,8 @@ EPOCHS, RATE, SEED = 4, 0.02, 7
 #: Words of a text that pass the filters at once; neighbouring parts overlap, so no window is lost.
 PART = 1 << 15
 CACHED = 200_000
+#: Rows that a task holds as Python texts.
+SLICE = 256
 #: Bins of a logit by which labels are counted for the thresholds, and the largest logit told apart.
 BINS, LARGEST = 256, 30
 _WORD = re.compile(r"[^\W\d_]+")
@@ -253,21 +257,29 @@ class Scorer:
             best = pooled if best is None else np.maximum(best, pooled)
         return self.net.logit(best)
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str) -> float:
         words = words_of(text)
         cut = self.net.thresholds.get(told_language(words), self.net.thresholds[""])
         return 1 / (1 + float(np.exp(-np.clip(self.logit(words) - cut, -30, 30))))
 
 
-def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_rows: int = LEARN_ROWS) -> Net | None:
-    """A net learnt from ``df``'s rows that ``labels`` (key, label 0/1) marks; None if it marks no rows of both classes.
+@dataclass(frozen=True)
+class Taught:
+    """A net without thresholds, and the labelled rows that are left to set them."""
+
+    net: Net
+    #: ``doc_id, label`` of labelled rows that did not train the net.
+    others: DataFrame
+    totals: dict[int, int]
+
+
+def teach(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_rows: int = LEARN_ROWS) -> Taught | None:
+    """Trains a net on rows of ``df`` that ``labels`` (key, label 0/1) marks; None if it marks no rows of both classes.
 
     At most about ``learn_rows`` rows of each class, those whose keys hash lowest, are collected: a
-    bound that does not grow with the input. Four in five of them train the net. All other labelled
-    rows set the thresholds, weighted so that classes count as often as among all labelled rows:
-    they are scored in tasks, and only counts by language, bin of the logit and label are collected
-    (at most 5 x 60 x BINS x 2). Rows that repeat a key all count there. A key that
-    is labelled twice counts as toxic if one label says so; null keys, labels and texts teach nothing.
+    bound that does not grow with the input. Four in five of them train the net. A key that is
+    labelled twice counts as toxic if one label says so, of rows that repeat a key the text that
+    hashes lowest is taken; null keys, labels and texts teach nothing.
     """
     marks = labels.where(f"{key} is not null and {label} is not null").groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     marks = marks.withColumn("at", F.xxhash64("doc_id"))
@@ -275,32 +287,78 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     group = Window.partitionBy("label", F.pmod("at", F.lit(GROUPS))).orderBy("at")
     chosen = marks.withColumn("nth", F.row_number().over(group)).where(F.col("nth") <= learn_rows // GROUPS)
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")).where("body is not null")
-    joined = source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "at", "body")
+    joined = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "at").agg(F.min_by("body", F.struct(F.xxhash64("body"), "body")).alias("body"))
     rows = sorted(((r["at"], r["label"], r["body"], r["doc_id"]) for r in joined.collect()), key=lambda r: r[:2])
     if {r[1] for r in rows} != {0, 1}:
         return None
     taught = [r for i, r in enumerate(rows) if i % 5 < 4]
     net = train([words_of(r[2]) for r in taught], [r[1] for r in taught])
     others = marks.join(F.broadcast(df.sparkSession.createDataFrame([(r[3],) for r in taught], "doc_id long")), "doc_id", "left_anti")
-    binned = _binned(source.where("doc_id is not null"), net).join(others.select("doc_id", "label"), "doc_id")
+    return Taught(net, others.select("doc_id", "label"), totals)
+
+
+def tuned(taught: Taught, rated: DataFrame) -> Net:
+    """The net with thresholds from all rows of ``rated`` (doc_id, language, logit) that are labelled and did not train it.
+
+    They are weighted so that classes count as often as among all labelled rows. Only counts by
+    language, bin of the logit and label are collected (at most 5 x 60 x BINS x 2). Rows that
+    repeat a key all count.
+    """
+    bins = F.floor(F.greatest(F.least(F.col("logit"), F.lit(LARGEST)), F.lit(-LARGEST)) * BINS).cast("int")
+    binned = rated.where("doc_id is not null").select("doc_id", "language", bins.alias("bin")).join(taught.others, "doc_id")
     cells = binned.groupBy("language", "bin", "label").agg(F.count("*").alias("n")).orderBy("language", "bin", "label").collect()
     counts = {v: sum(c["n"] for c in cells if c["label"] == v) for v in (0, 1)}
-    weights = np.array([totals[c["label"]] / counts[c["label"]] for c in cells])
-    calibrate(net, np.array([(c["bin"] + 0.5) / BINS for c in cells]), np.array([c["label"] for c in cells]), [c["language"] for c in cells], weights, times=np.array([c["n"] for c in cells]))
-    return net
+    weights = np.array([taught.totals[c["label"]] / counts[c["label"]] for c in cells])
+    calibrate(taught.net, np.array([(c["bin"] + 0.5) / BINS for c in cells]), np.array([c["label"] for c in cells]), [c["language"] for c in cells], weights, times=np.array([c["n"] for c in cells]))
+    return taught.net
+
+
+def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_rows: int = LEARN_ROWS) -> Net | None:
+    """A net learnt from ``df``, with thresholds, to score other tables; see teach() and tuned()."""
+    taught = teach(df, labels, key, text, label, learn_rows)
+    # Rows without a text were never a case for the thresholds.
+    return tuned(taught, rate(df.where(F.col(text).isNotNull()), taught.net, key, text)) if taught else None
 
 
-def _binned(source: DataFrame, net: Net) -> DataFrame:
-    """``doc_id, language, bin`` of the rows (doc_id, body): the told language and the logit in steps of 1 / BINS."""
+def rate(df: DataFrame, net: Net, key: str = "doc_id", text: str = "text", *keep: str) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``language, logit``: the told language and the net's answer, before any threshold."""
+    source = df.select(F.col(key).cast("long").alias("doc_id"), *keep, F.col(text).cast("string").alias("body"))
+    kept = source.drop("body").schema.fields
+    schema = StructType([*kept, *StructType.fromDDL("language string, logit double, no_text boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            bins = [int(np.floor(np.clip(scorer.logit(t), -LARGEST, LARGEST) * BINS)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told_language(t) for t in texts], pa.string()), pa.array(bins, pa.int32())], ["doc_id", "language", "bin"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [words_of(t) for t in part.column("body").to_pylist()]
+                made = [pa.array([told_language(t) for t in texts], pa.string()), pa.array([scorer.logit(t) for t in texts], pa.float64()), part.column("body").is_null()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [f.name for f in schema])
+
+    return source.mapInArrow(run, schema)
+
 
-    return source.mapInArrow(run, "doc_id long, language string, bin int")
+def scored(rated: DataFrame, net: Net | None) -> DataFrame:
+    """``rated`` with ``score`` and ``predicted`` in place of language and logit."""
+    cut = F.lit(net.thresholds[""] if net else 0.0)
+    for language, value in (net.thresholds if net else {}).items():
+        cut = F.when(F.col("language") == language, F.lit(value)).otherwise(cut)
+    over = F.greatest(F.least(F.col("logit") - cut, F.lit(30.0)), F.lit(-30.0))
+    score = 1 / (1 + F.exp(-over)) if net else F.lit(0.0)
+    return rated.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("language", "logit", "no_text")
+
+
+def learn_and_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_rows: int = LEARN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``score, predicted``: learn() from ``df`` and score() of it, each text rated once.
+
+    Without a net (nothing to learn from) every score is 0. The rest is as in score().
+    """
+    taught = teach(df, labels, key, text, label, learn_rows)
+    if taught is None:
+        blank = df.select(F.col(key).cast("long").alias("doc_id"), *keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("logit"))
+        return scored(blank, None)
+    rated = stage(rate(df, taught.net, key, text, *keep), "rated")
+    return scored(rated, tuned(taught, rated.where("not no_text")))
 
 
 def score(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,13 +367,6 @@ def score(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "text
     A null text is scored as an empty one. Without a net (nothing to learn from) every score is 0.
     Repeated rows get the same score; other columns are ignored; an empty table gives an empty result.
     """
-    source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net) if net else None
-        for batch in batches:
-            scores = [scorer.score(t) if scorer else 0.0 for t in batch.column(1).to_pylist()]
-            predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), predicted], ["doc_id", "score", "predicted"])
-
-    return source.mapInArrow(run, "doc_id long, score double, predicted int")
+    if net is None:
+        return scored(df.select(F.col(key).cast("long").alias("doc_id")), None)
+    return scored(rate(df, net, key, text), net)
