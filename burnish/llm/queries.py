@@ -77,7 +77,7 @@ QUERIES["op2_pii_pseudonyms"] = lambda spark, sf: pseudonyms.pseudonymise(table(
 
 
 def _katz(spark: SparkSession, sf: str) -> DataFrame:
-    scores, _ = katz.katz_scores(table(spark, sf, "documents"), ~_fold(5, 1), order=3)
+    scores, _ = katz.katz_scores(table(spark, sf, "documents"), ~_fold(5, 1), order=2)
     return scores.withColumn("held_out", F.coalesce(_fold(5, 1), F.lit(False)))
 
 
