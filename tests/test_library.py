@@ -12,6 +12,7 @@ from burnish.operators import columns as cols
 from burnish.operators import ddl, relational
 from burnish.operators import profile as prof
 from burnish.plans import actions as act
+from burnish.plans import versions
 from burnish.plans.versions import VersionStore, row_changes, table_summary
 from burnish.sources import tables as tbl
 from burnish.sources.datasets import Datasets, alias_of
@@ -305,3 +306,109 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan(first_rows(lines, ["l_suppkey"], "l_orderkey"))
     joined = plan(relational.join_tables(lines, lines.select("l_orderkey", "l_tax"), "l_orderkey"))
     assert "CartesianProduct" not in joined and "NestedLoop" not in joined
+
+
+# -- versions that share data ---------------------------------------------------------------
+
+def stored(tmp_path) -> dict[str, set[str]]:
+    """Sets of a store and the columns of each."""
+    import pyarrow.dataset as ds
+
+    return {p.name: set(ds.dataset(str(p), format="parquet").schema.names) for p in (tmp_path / "s" / "versions").iterdir()}
+
+
+@pytest.mark.parametrize("order_by", [None, "id"])
+def test_commits_write_only_what_changed(spark, people, tmp_path, monkeypatch, order_by):
+    store = VersionStore(spark, str(tmp_path / "s"), order_by)
+    first = store.create_initial(people)
+    index = {"__row"} if order_by else set()
+    seen = [set(stored(tmp_path))]
+    steps = [
+        ({"type": "rename_column", "params": {"from": "city", "to": "town"}}, None),
+        ({"type": "drop_columns", "params": {"columns": ["name"]}}, None),
+        ({"type": "fill_nulls", "params": {"strategy": "mean"}, "target": "column:amount"}, {"__id", "amount"}),
+        ({"type": "filter_rows", "params": {"condition": "id > 1"}}, {"__id"} | index),
+        ({"type": "fix_formats", "target": "column:town"}, {"__id", "town"}),
+    ]
+    plain, written = people, []
+    for step, columns in steps:
+        version = act.run_and_commit(store, [step], order_by)
+        plain = act.apply_actions(plain, [step], order_by)
+        got = store.get_current()
+        assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        new = set(stored(tmp_path)) - seen[-1]
+        seen.append(set(stored(tmp_path)))
+        assert [stored(tmp_path)[n] for n in new] == ([columns] if columns else [])
+        written.append(version)
+    # Too many sets to read together: the version is whole again.
+    monkeypatch.setattr(versions, "MOST_SETS", 2)
+    last = act.run_and_commit(store, [{"type": "fill_nulls", "params": {"strategy": "zero"}, "target": "column:amount"}, {"type": "filter_rows", "params": {"condition": "id > 2"}}], order_by)
+    assert len(last.sets) == 1 and store.get_current().count() == plain.where("id > 2").count()
+    assert store.get_version(first.id).count() == people.count()
+    for v in written[:-1]:
+        store.delete_version(v.id)
+    assert sorted(map(str, store.get_version(written[-1].id).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_counts_come_from_the_write(spark, people, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), "id")
+    store.create_initial(people)
+    steps = [
+        {"type": "fill_nulls", "params": {"strategy": "zero"}, "target": "column:amount"},
+        {"type": "fill_nulls", "params": {"strategy": "zero"}, "target": "column:amount"},
+        {"type": "fix_formats", "target": "column:city"},
+        {"type": "standardize", "params": {"method": "uppercase"}, "target": "column:city"},
+        {"type": "filter_rows", "params": {"condition": "id < 4"}},
+    ]
+    plain = people
+    for step in steps:
+        outcome = act.ActionRunner("id").run(plain, act.parse_actions([step])[0])
+        version = act.run_and_commit(store, [step], "id")
+        assert (version.rows_affected, version.description) == (outcome.rows_affected, outcome.description)
+        plain = outcome.df
+
+
+def test_a_crash_before_the_log_leaves_the_old_version(spark, people, tmp_path, monkeypatch):
+    store = VersionStore(spark, str(tmp_path / "s"))
+    first = store.create_initial(people)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_append", crash)
+    with pytest.raises(RuntimeError):
+        act.run_and_commit(store, [{"type": "filter_rows", "params": {"condition": "id < 3"}}])
+    again = VersionStore(spark, str(tmp_path / "s"))
+    assert [v.id for v in again.versions] == [first.id] and again.get_current().count() == people.count()
+
+
+def test_diff_reads_only_columns_that_may_differ(spark, people, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), "id")
+    first = store.create_initial(people)
+    second = act.run_and_commit(store, [{"type": "fill_nulls", "params": {"strategy": "zero"}, "target": "column:amount"}], "id")
+    found = store.diff(first.id, second.id)
+    assert {r.column_name: (r.cells_changed_nulls > 0, r.rows_compared) for r in found.collect()} == {
+        c: (c == "amount", people.count()) for c in people.columns
+    }
+    assert "name:string" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_equal_a_loop(spark):
+    import random
+
+    from burnish.operators.overlap import overlap_join
+
+    rng = random.Random(4)
+    spans = lambda n: [(i, s := rng.uniform(-50, 50), s + rng.choice([-1, 0, 0.5, 3, 40, 1000])) for i in range(n)] + [(n, None, 1.0), (n + 1, 2.0, None)]
+    a, b = spans(60), spans(50)
+    left = spark.createDataFrame(a, "i long, s double, e double")
+    right = spark.createDataFrame(b, "j long, t double, f double")
+    want = {(i, j) for i, s, e in a for j, t, f in b if None not in (s, e, t, f) and s <= e and t <= f and s <= f and t <= e}
+    for width in (None, 0.1, 500.0):
+        pairs = overlap_join(left, right, ("s", "e"), ("t", "f"), width)
+        got = [(r.i, r.j) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert overlap_join(left.limit(0), right, ("s", "e"), ("t", "f")).count() == 0
+    with pytest.raises(ValueError):
+        overlap_join(left, left, ("s", "e"), ("s", "e"))
