@@ -1,9 +1,12 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation.
 
 Numbers that pass their checks (payment cards, account numbers, social security numbers, telephone
-numbers, IPv4 addresses), dates and mailboxes are replaced by others of the same format that pass
+numbers, IPv4 addresses), dates (a time may follow) and mailboxes are replaced by others of the same format that pass
 the same checks. Each kind's values are numbered from 0 and the numbers permuted, so equal values
 stay equal in all documents, different ones stay different, and the key restores them.
+
+A date's pseudonym is read back in the order and padding of the date, so equal days written
+day-first with zeros, or year-first, share one; month-first and unpadded ones have their own.
 """
 
 from __future__ import annotations
@@ -27,12 +30,17 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 _CANDIDATE = re.compile(
     r"(?<![\w.+@-])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?)"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\3\d{4})"
+    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}([./])\d{1,2}\3\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4})"
-    r")(?![\w@]|[.-]\d)"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})"
+    # A time may follow a date.
+    r")(?:(?![\w@]|[.-]\d)|(?<=\d{4}[-/]\d{2}[-/]\d{2})(?=[Tt]\d{2}:))"
+)
+#: Telephone country codes of one and two digits; all others have three.
+COUNTRY_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 )
 _MAILBOX = re.compile(r"(?<![\w.%+-])(?P<mail>[A-Za-z0-9._%+-]{1,64})(?=@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b)")
 
@@ -41,7 +49,8 @@ class Permutation:
     """Keyed permutations of the numbers below a size, one for each size and kind."""
 
     def __init__(self, key: bytes, backward: bool = False):
-        self.key, self.backward = key[:64], backward
+        # The hash takes keys of up to 64 bytes; a longer one is hashed first, all of it.
+        self.key, self.backward = key if len(key) <= 64 else hashlib.blake2b(key).digest(), backward
 
     def _noise(self, kind: str, size: int, turn: int, half: int) -> int:
         message = f"{kind}|{size}|{turn}|{half}".encode()
@@ -139,8 +148,8 @@ def _phone(permute: Permutation, found: str) -> str | None:
     digits = re.sub(r"\D", "", found)
     if not 8 <= len(digits) <= 15:
         return None
-    country = re.match(r"\+(\d{1,3})(?=\D)", found)
-    country = country[1] if country else "1" if found[0] == "+" else ""
+    # The country code is told from the digits, so spaces after it make no difference; it stays.
+    country = next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRY_CODES), digits[:3]) if found[0] == "+" else ""
     return _fill(found, country + _signs(permute, "phone" + (country or "1"), digits[len(country) :]))
 
 
