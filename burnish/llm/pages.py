@@ -7,6 +7,7 @@ containers on its host's winning path; a page without it falls back on its own b
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -21,7 +22,9 @@ from burnish.llm.urls import host_and_path
 
 # What tags of HTML do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object canvas audio video select button".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose content is a control, a drawing, or stands in for what cannot be shown; without an end tag they hold nothing.
+SKIPPED = frozenset("noscript template svg object canvas audio video select button".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre search section summary table tbody thead tfoot tr td th caption ul legend".split()
@@ -46,6 +49,8 @@ DROPPED_WORDS = frozenset(
     "login comment comments reply replies disqus respond share sharing social related recommended recommendations widget toolbar pagination pager tags "
     "complementary contentinfo search skip".split()
 )
+#: Words that only say where or how large something is: "top-nav-bar" is a nav.
+PLAIN_WORDS = frozenset("site page main top bottom left right inner outer global primary secondary list box bar container wrapper wrap block panel section area item items link links posts widgets zone slot row col".split())
 #: Elements that no word of their own drops.
 KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: Words that speak for a container.
@@ -62,7 +67,7 @@ _NUMBER = re.compile(r"\d+")
 _ABOUT_OTHERS = re.compile(r"(?:has|with|no|without)-\S+")
 #: The share of the best score that a container needs to be taken for being deeper, and links that make a list a menu.
 ENOUGH, MENU_LINKS = 0.75, 3
-#: Of longer paths the inner end is the name.
+#: Longer paths are named by a hash of their outer part.
 LONG_PATH = 2000
 
 
@@ -111,6 +116,24 @@ class Page:
         return "\n\n".join(out)
 
 
+def _drops(token: str) -> bool:
+    """Whether a class, id or role says that an element is no text: a word of the kind, with none that says otherwise."""
+    words = _WORDS.findall(token)
+    rest = [w for w in words if w not in DROPPED_WORDS]
+    return len(rest) < len(words) and all(w in PLAIN_WORDS or w.isdigit() for w in rest)
+
+
+def _ends_of(source: str, tag: str) -> dict[int, int]:
+    """Where the content of each closed element ``tag`` begins and where its end tag ends; nested ones are closed from within."""
+    found, opened = {}, []
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.I).finditer(source):
+        if not m[1]:
+            opened.append(m.end())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
 class _Open:
     __slots__ = ("tag", "dropped", "container", "path", "first", "links")
 
@@ -158,7 +181,7 @@ def parse(source: str) -> Page:
             if in_link:
                 linked += len(plain)
 
-    size = len(source)
+    size, ends = len(source), {}
     while at < size:
         found = _TOKEN.search(source, at)
         if not found:
@@ -183,6 +206,12 @@ def parse(source: str) -> Page:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else size
             continue
+        if tag in SKIPPED:
+            if not found["attributes"].endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends_of(source, tag)
+                at = ends[tag].get(at, at)
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 text.append(" ")
@@ -201,20 +230,24 @@ def parse(source: str) -> Page:
         if tag == "body":
             while len(stack) > 1 and stack[-1].tag == "head":
                 pop()
-        names, words = [], set()
+        names, words, speaks = [], set(), False
         for m in _NAMED.finditer(found["attributes"]):
             value = (m[2] or m[3] or m[4] or "").lower()
-            words.update(_WORDS.findall(_ABOUT_OTHERS.sub(" ", value)))
+            told = _ABOUT_OTHERS.sub(" ", value)
+            words.update(_WORDS.findall(told))
+            speaks = speaks or any(_drops(token) for token in told.split())
             if m[1].lower() == "class":
                 names += sorted(set(_NUMBER.sub("0", value).split()))
         if tag == "header":
             dropped = not (opened.get("article") or opened.get("main"))
         else:
-            dropped = tag in DROPPED_TAGS or (tag in BLOCK and tag not in KEPT_TAGS and bool(words & DROPPED_WORDS))
+            dropped = tag in DROPPED_TAGS or (tag in BLOCK and tag not in KEPT_TAGS and speaks)
         path = stack[-1].path
         if tag in BLOCK and tag != "html":
             path = (path + ">" if path else "") + ".".join([tag, *names])
-            path = path if len(path) <= LONG_PATH else "..." + path[-LONG_PATH:]
+            if len(path) > LONG_PATH:
+                cut = len(path) - LONG_PATH // 2
+                path = f"{hashlib.sha256(path[:cut].encode('utf-8', 'replace')).hexdigest()}...{path[cut:]}"
         container = None
         if tag in CONTAINER:
             bonus = 1.5 if tag in ("article", "main") or words & {"article"} else 1.25 if words & GOOD_WORDS else 1.0

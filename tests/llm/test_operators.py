@@ -116,6 +116,62 @@ def test_permutation_and_round_trip(spark):
     assert pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs, b"k"), b"k", restore=True).select("doc_id", "text").exceptAll(docs).isEmpty()
 
 
+def test_values_stay_apart_in_every_format():
+    """Equal numbers and days share a pseudonym whatever the spacing, different ones never do, and all are restored."""
+    rng = random.Random(6)
+    forth, back = pseudonyms.Permutation(b"k"), pseudonyms.Permutation(b"k", True)
+    seen: dict[str, dict[str, str]] = defaultdict(dict)
+    for _ in range(1500):
+        country = rng.choice(["1", "7", "34", "44", "351", "971"])
+        own = "".join(rng.choice("0123456789") for _ in range(9))
+        day = rng.randrange(1, 29), rng.randrange(1, 13), rng.randrange(1900, 2100)
+        for kind, value, found in (
+            ("phone", country + own, f"+{country}{own}"),
+            ("phone", country + own, f"+{country} {own[:3]} {own[3:6]} {own[6:]}"),
+            ("local", own + "1", f"{own[:3]}-{own[3:6]}-{own[6:]}1"),
+            ("local", own + "1", f"({own[:3]}) {own[3:6]}-{own[6:]}1"),
+            ("day", str(day), f"{day[2]}-{day[1]:02d}-{day[0]:02d}"),
+            ("day", str(day), f"{day[2]}/{day[1]:02d}/{day[0]:02d}"),
+        ):
+            text = f"see {found} there"
+            new, counts = pseudonyms.replace(text, forth, {})
+            assert sum(counts.values()) == 1 and pseudonyms.replace(new, back, {})[0] == text, found
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+            seen[kind].setdefault(value, re.sub(r"\D", "", new))
+            assert seen[kind][value] == re.sub(r"\D", "", new), found
+    for values in seen.values():
+        assert len(set(values.values())) == len(values)
+
+
+def test_timestamps_and_long_keys():
+    forth = pseudonyms.Permutation(b"k")
+    text = "at 2024-01-05T10:00:00Z, 2024-01-05 and 2024/01/05 10:00"
+    new, counts = pseudonyms.replace(text, forth, {})
+    assert counts == {"date": 3} and new[13:] != text[13:] and new[13:].startswith("T10:00:00Z")
+    assert pseudonyms.replace(new, pseudonyms.Permutation(b"k", True), {})[0] == text
+    keys = [b"s" * 64 + end for end in (b"", b"a", b"b")]
+    assert len({pseudonyms.Permutation(k)("x", 5, 10**9) for k in keys}) == 3
+
+
+def test_pseudonyms_against_whole_permutations(spark):
+    """Every value of the documents, found by plain patterns, stands where a permutation written out puts it."""
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(documents(spark), b"k").collect()}
+    permute = pseudonyms.Permutation(b"k")
+    for doc_id, text in docs.items():
+        found = re.findall(r"(?<![\w.+@-])\d{1,3}(?:\.\d{1,3}){3}(?![\w@]|[.-]\d)", text)
+        new = re.findall(r"(?<![\w.+@-])\d{1,3}(?:\.\d{1,3}){3}(?![\w@]|[.-]\d)", out[doc_id].text)
+        for old, now in zip(found, new, strict=True):
+            parts = [int(p) for p in old.split(".")]
+            if all(p < 256 and str(p) == q for p, q in zip(parts, old.split("."))):
+                number = permute("ip", sum(p << (8 * (3 - i)) for i, p in enumerate(parts)), 1 << 32)
+                assert now == ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+            else:
+                assert now == old
+        assert re.sub(r"[0-9A-Za-z]+", "", text) == re.sub(r"[0-9A-Za-z]+", "", out[doc_id].text)
+        assert re.findall(r"[^\W\d]{3,}", re.sub(r"\S*[\d@]\S*", "", text)) == re.findall(r"[^\W\d]{3,}", re.sub(r"\S*[\d@]\S*", "", out[doc_id].text))
+
+
 # -- urls ---------------------------------------------------------------------------------------
 
 
@@ -343,6 +399,30 @@ def test_page_text():
     assert pages.parse("").text(None) == "" and pages.parse("just < text").text(None) == "just < text"
 
 
+@pytest.mark.parametrize("tag", "video audio select object svg button canvas noscript template".split())
+def test_unclosed_elements_hold_nothing(tag):
+    page = f"<body><p>First…</p><{tag} src=x><p>Second…</p><div>Third <{tag} a='>'>left out</{tag}> part</div>"
+    assert pages.parse(page).text(None).split("\n\n") == ["First…", "Second…", "Third part"]
+
+
+def test_article_text_is_kept():
+    kept = [
+        "Let <math><mi>x</mi></math> be one",
+        *(f"<{t}>text of {i}</{e}>" for i, (t, e) in enumerate([("div class='share-price'", "div"), ("p class='notice-board'", "p"), ("section id=social-history", "section")])),
+        "<table class='data-widget'><tr><td>cell</table>",
+    ]
+    gone = [f"<div class='{c}'>gone</div>" for c in ("ad", "cookie-banner", "top-nav-bar", "site-footer", "comments", "related-posts", "sidebar2", "share")]
+    page = "<article><p>An opening of some length to begin with.</p>" + "".join(f"<div>{k}</div>" for k in kept) + "".join(gone) + "</article>"
+    want = ["An opening of some length to begin with.", "Let x be one", "text of 0", "text of 1", "text of 2", "cell"]
+    assert pages.parse(page).text(None).split("\n\n") == want
+
+
+def test_long_paths_stay_apart():
+    deep = "<div class=a>" * 600
+    first, second = (pages.parse(f"<div class={c}>{deep}<p>text").containers[-1].path for c in "xy")
+    assert first != second and len(first) < 2200
+
+
 def test_pages_by_pattern(spark):
     import html
 
@@ -373,15 +453,7 @@ def test_pipeline(spark):
     for i in sorted(left, key=lambda i: (-len(left[i]), i)):
         firsts.setdefault(re.sub(r"[\x20\x09-\x0D]", "", left[i]), i)
     left = {i: left[i] for i in firsts.values()}
-    prints, root = {i: fingerprint(t) for i, t in left.items()}, {i: i for i in left}
-    for _ in left:
-        before = dict(root)
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
-                    root[a] = min(root[a], root[b])
-        if root == before:
-            break
+    root = jaccard_roots(left)
     left = {i: t for i, t in left.items() if root[i] == i}
     frame = docs.where(F.col("doc_id").isin(list(left)))
     for r in decontaminate.leaks(frame, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).collect():
@@ -460,9 +532,8 @@ def test_toxicity_thresholds_use_all_labels(spark, monkeypatch):
 
 def test_pipeline_tells_rows_apart(spark, monkeypatch):
     """Null and repeated doc_ids: every row is judged by its own text, and a group keeps one row."""
-    monkeypatch.setattr(toxicity, "learn", lambda *a: None)
     flag = (F.instr("text", "vile") > 0).cast("int").alias("predicted")
-    monkeypatch.setattr(toxicity, "score", lambda df, net, key="doc_id": df.select(F.col(key).alias("doc_id"), flag))
+    monkeypatch.setattr(toxicity, "learn_and_score", lambda df, labels, keep: df.select("doc_id", *keep, flag))
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 80").first().text
     long = " ".join(f"w{i}" for i in range(60))
     cases = [
