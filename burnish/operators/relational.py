@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.functions.ordering import with_row_index
 from burnish.functions.types import col, fresh_name, quoted, require_column, require_order
 
 SHALLOW_SLICE = 10_000
+#: Rows that selection leaves to be sorted, keys of a sample, and types whose values it can name.
+SELECTED_ROWS, SELECTED_SAMPLE = 100_000, 10_000
+SELECTED_TYPES = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType
+)
 
 
 def sort_by(df: DataFrame, column: str, order: str = "desc", limit: int | None = None) -> DataFrame:
@@ -26,17 +33,69 @@ def sort_by(df: DataFrame, column: str, order: str = "desc", limit: int | None =
 def slice_rows(df: DataFrame, start: int = 0, stop: int = 100, order_by=None) -> DataFrame:
     """Rows at positions start..stop-1 of the given order.
 
-    Early slices keep a small heap per task. Deep ones number the rows by range first, since an
-    offset would pull every skipped row into one task.
+    Early slices keep a small heap per task. For deep ones by plain columns the keys around both ends
+    are found by selection, so that only rows between them are sorted and nothing is written; by
+    other expressions the rows are numbered by range.
     """
     order = require_order(order_by, "A slice")
     if stop <= SHALLOW_SLICE:  # the same rows in the same order, at less cost
         return df.orderBy(*order).limit(stop).offset(start)
+    names = [order_by] if isinstance(order_by, str) else list(order_by)
+    if all(isinstance(n, str) and isinstance(df.schema[n].dataType, SELECTED_TYPES) for n in names):
+        return _selected(df, names, start, stop)
     place = fresh_name(df, "__place")
     numbered = with_row_index(df, order, place)
     return numbered.where((F.col(place) >= start) & (F.col(place) < stop)).orderBy(place).drop(place)
 
 
+def _selected(df: DataFrame, names: list[str], start: int, stop: int) -> DataFrame:
+    """A deep slice between two keys with few rows between them.
+
+    A sample of the keys guesses them, a count over all rows checks that the slice lies between, and
+    this goes on within until few enough are left. A wrong guess costs a scan, never a row.
+    """
+    key, types = F.struct(*[col(n).alias(f"k{i}") for i, n in enumerate(names)]), [df.schema[n].dataType for n in names]
+
+    def literal(values) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))])
+
+    def between(low, high) -> Column:
+        kept = F.lit(True)
+        if low is not None:
+            kept = kept & (key >= literal(low))
+            if low[0] is not None:  # a scan can skip row groups by it
+                kept = kept & (col(names[0]) >= F.lit(low[0]).cast(types[0]))
+        if high is not None:
+            kept = kept & (key <= literal(high))
+            if high[0] is not None:
+                first = col(names[0])
+                kept = kept & (first.isNull() | (first <= F.lit(high[0]).cast(types[0])))
+        return kept
+
+    low, high, below, inside = None, None, 0, df.count()
+    stop, spread = min(stop, inside), 3.0
+    while start < stop and inside > max(4 * (stop - start), SELECTED_ROWS):
+        within = df.where(between(low, high)).select(key.alias("key"))
+        drawn = within.sample(min(1.0, SELECTED_SAMPLE / inside), seed=len(names)).orderBy("key").limit(4 * SELECTED_SAMPLE).collect()
+        margin = spread * math.sqrt(len(drawn)) + 1
+        first, last = (len(drawn) * (r - below) / inside for r in (start, stop))
+        new_low = tuple(drawn[int(first - margin)].key) if first - margin >= 0 else low
+        new_high = tuple(drawn[math.ceil(last + margin)].key) if last + margin < len(drawn) - 1 else high
+        if (new_low, new_high) == (low, high):
+            break
+        counted = df.agg(
+            F.count_if(key < literal(new_low)).alias("below") if new_low is not None else F.lit(0).alias("below"), F.count_if(between(new_low, new_high)).alias("inside")
+        ).first()
+        if counted["below"] <= start and stop <= counted["below"] + counted["inside"]:
+            if counted["inside"] == inside:
+                break
+            low, high, below, inside = new_low, new_high, counted["below"], counted["inside"]
+        else:
+            spread *= 2
+    kept = df.where(between(low, high)) if low is not None or high is not None else df
+    return kept.orderBy(*[col(n) for n in names]).limit(max(stop - below, 0)).offset(start - below)
+
+
 def preview(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
     """First n rows; in no particular order unless one is given."""
     return df.orderBy(*require_order(order_by, "A preview")).limit(n) if order_by is not None else df.limit(n)

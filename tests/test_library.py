@@ -412,3 +412,19 @@ def test_overlaps_equal_a_loop(spark):
     assert overlap_join(left.limit(0), right, ("s", "e"), ("t", "f")).count() == 0
     with pytest.raises(ValueError):
         overlap_join(left, left, ("s", "e"), ("s", "e"))
+
+
+@pytest.mark.parametrize("names", [["a"], ["b", "a"], ["d", "b", "a"]])
+def test_deep_slices_by_selection(spark, monkeypatch, names):
+    from burnish.operators import relational as rel
+
+    monkeypatch.setattr(rel, "SHALLOW_SLICE", 5)
+    monkeypatch.setattr(rel, "SELECTED_ROWS", 60)
+    monkeypatch.setattr(rel, "SELECTED_SAMPLE", 200)
+    df = spark.range(3000).selectExpr(
+        "(id * 7919) % 3000 as a", "if(id % 5 = 0, null, cast(id % 7 as string)) as b", "if(id % 3 = 0, null, date_add(date'2020-01-01', cast(id % 11 as int))) as d"
+    )
+    everything = [tuple(r) for r in df.orderBy(*names).collect()]
+    for start, stop in ((0, 30), (1490, 1500), (2990, 3100), (2000, 2400), (5000, 5010), (7, 7)):
+        assert [tuple(r) for r in rel.slice_rows(df, start, stop, names).collect()] == everything[start:stop]
+    assert "__place" not in rel.slice_rows(df, 1490, 1500, names)._jdf.queryExecution().optimizedPlan().toString()
