@@ -124,7 +124,9 @@ class Block:
         self.tokens = unpack(row["tokens"]).astype(np.int64)
         words = unsqueeze(row["words"])
         self.words = words.split(END) if words else []
-        size, lengths = len(self.words) + 2, np.array(row["length"], np.int64)
+        # The words themselves are dropped once they have numbers.
+        size = len(unpack(row["state"][0])) if row.get("state") else len(self.words) + 2
+        lengths = np.array(row["length"], np.int64)
         context = model_order - 1
         spans = lengths + context
         begins = np.cumsum(spans) - spans
@@ -577,7 +579,7 @@ def _next_state(state: DataFrame, answers: DataFrame, n: int, model: Model, few:
         block = Block(row, model.order, 1) if n == 1 else restored(row, model, few, n)
         new = _taken(block, right.to_pylist(), n, model, owners)
         if not last:
-            row["state"] = [*(row.get("state") or []), *new]
+            row["state"], row["words"] = [*(row.get("state") or []), *new], squeeze(b"")
             return pa.table([pa.array([row[c]], f.type) for c, f in zip(names, schema)], schema=schema)
         if n == 1:
             row["state"] = new

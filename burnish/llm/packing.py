@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+LEVEL = 6
 #: Bytes that hold the length of what was compressed.
 _LENGTH = 8
 
 
 def squeeze(data: bytes) -> bytes:
     """``data`` compressed, its length in front."""
-    return len(data).to_bytes(_LENGTH, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(_LENGTH, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> bytes:
