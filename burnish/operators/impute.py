@@ -17,7 +17,7 @@ from burnish.operators.nulls import columns_with_nulls, fill_nulls, nulls_filled
 from burnish.operators.outcome import Outcome
 
 CHUNK_ROWS = 20_000
-MOST_SLICES = 1_000
+MOST_CELLS, CELL_ROWS = 1_000, 1_000
 BLOCK = 256
 
 
@@ -85,53 +85,71 @@ def _typed(value: Column, dtype: T.DataType) -> Column:
 
 # -- nearest neighbours ---------------------------------------------------------------------
 
-class _Slices:
-    """The table cut into slices along one numeric column, missing values in a slice of their own.
+class _Cells:
+    """The table cut into cells along two numeric columns; a row that lacks one lies in a strip of its own there.
 
-    ``edges`` are approximate quantiles, so slices hold about equally many rows unless one value
-    repeats. They only steer the search; the result does not depend on them.
+    Edges are approximate quantiles, so strips hold about equally many rows unless one value repeats.
+    They only steer the search; the result does not depend on them. All look-ups are column
+    expressions over the few edges.
     """
 
-    def __init__(self, rows: DataFrame, axis: int, total: int):
-        self.axis = axis
-        value = F.element_at("x", axis + 1)
-        wanted = min(MOST_SLICES, max(1, total // 1_000))
-        probs = [i / wanted for i in range(1, wanted)]
-        points = rows.where(~F.isnan(value)).agg(F.percentile_approx(value, probs, 10_000)).first()[0] if probs else []
-        self.edges = np.unique(np.array(points or [], dtype="float64"))
-        self.count = len(self.edges) + 1
+    def __init__(self, rows: DataFrame, axes: list[int], total: int):
+        self.axes = axes
+        strips = max(1, math.isqrt(min(MOST_CELLS, max(1, total // CELL_ROWS))))
+        probs = [i / strips for i in range(1, strips)]
+        points = rows.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), probs, 10_000) for v in map(self._value, axes)]).first() if probs else [[]] * len(axes)
+        self.edges = [np.unique(np.array(p or [], dtype="float64")).tolist() for p in points]
+
+    @staticmethod
+    def _value(axis: int) -> Column:
+        return F.element_at("x", axis + 1)
+
+    @staticmethod
+    def _numbers(values: list[float]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<double>")
+
+    def _strip(self, at: int, value: Column) -> Column:
+        return F.size(F.filter(self._numbers(self.edges[at]), lambda e: e <= value))
+
+    def _cell(self, strips: list[Column]) -> Column:
+        out = F.lit(0)
+        for edges, strip in zip(self.edges, strips):
+            out = out * (len(edges) + 2) + strip + 1
+        return out.cast("int")
+
+    def number(self, middle: bool = False) -> Column:
+        """The cell of a row; ``middle`` puts rows that lack a column into the middle strip instead."""
+        strips = []
+        for at, axis in enumerate(self.axes):
+            lacking = F.isnan(self._value(axis))
+            strips.append(F.when(lacking, F.lit(len(self.edges[at]) // 2 if middle else -1)).otherwise(self._strip(at, self._value(axis))))
+        return self._cell(strips)
 
-    def number(self) -> Column:
-        """Slice of each row: 0 .. count-1, or -1 when its value is missing."""
-        edges, axis = self.edges, self.axis
+    def within(self, share: float) -> Column:
+        """Cells that can hold a row closer than ``radius``; ``share`` turns radius into length along the axes.
 
-        @F.pandas_udf(T.IntegerType())
-        def place(x: pd.Series) -> pd.Series:
-            values = np.array([v[axis] for v in x], dtype="float64")
-            return pd.Series(np.where(np.isnan(values), -1, np.searchsorted(edges, values, side="right")))
+        A row without a column may be near on the others alone, so its strip is always among them.
+        """
+        seen = F.size(F.filter("x", lambda v: ~F.isnan(v)))
+        # Widened a little, so rounding never loses a cell.
+        span = F.coalesce(F.col("radius"), F.lit(float("inf"))) * F.sqrt(seen * F.lit(share)) * (1 + 1e-9) + 1e-12
 
-        return place("x")
+        def strips(at: int) -> Column:
+            value, last = self._value(self.axes[at]), len(self.edges[at])
+            near = F.sequence(self._strip(at, value - span), self._strip(at, value + span))
+            return F.concat(F.array(F.lit(-1)), F.when(F.isnan(value) | (span == float("inf")), F.sequence(F.lit(0), F.lit(last))).otherwise(near))
 
-    def within(self, share: float) -> Column:
-        """Slices that can hold a row closer than ``radius``; ``share`` turns radius into axis length."""
-        edges, axis, count = self.edges, self.axis, self.count
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def reach(x: pd.Series, radius: pd.Series) -> pd.Series:
-            found = []
-            for v, r in zip(x, radius):
-                seen = np.count_nonzero(~np.isnan(v))
-                if np.isnan(v[axis]) or r is None or not np.isfinite(r):
-                    low, high = 0, count - 1
-                else:
-                    # Widened a little, so rounding never loses a slice.
-                    span = r * math.sqrt(seen * share) * (1 + 1e-9) + 1e-12
-                    low = int(np.searchsorted(edges, v[axis] - span, side="right"))
-                    high = int(np.searchsorted(edges, v[axis] + span, side="right"))
-                found.append([-1, *range(low, high + 1)])
-            return pd.Series(found)
-
-        return reach("x", "radius")
+        def gap(at: int, strip: Column) -> Column:
+            """How far the strip is from the row's value."""
+            value, edges = self._value(self.axes[at]), self.edges[at]
+            low, high = self._numbers([-math.inf, *edges]), self._numbers([*edges, math.inf])
+            away = F.greatest(F.lit(0.0), F.get(low, strip) - value, value - F.get(high, strip))
+            return F.when((strip < 0) | F.isnan(value), F.lit(0.0)).otherwise(away)
+
+        if len(self.axes) == 1:
+            return F.transform(strips(0), lambda i: self._cell([i]))
+        box = lambda i, j: gap(0, i) * gap(0, i) + gap(1, j) * gap(1, j) <= span * span
+        return F.flatten(F.transform(strips(0), lambda i: F.transform(F.filter(strips(1), lambda j: box(i, j)), lambda j: self._cell([i, j]))))
 
 
 def _closest(seekers: pd.DataFrame, donors: pd.DataFrame, targets: list[int], k: int) -> pd.DataFrame:
@@ -175,16 +193,16 @@ def _closest(seekers: pd.DataFrame, donors: pd.DataFrame, targets: list[int], k:
 
 
 def _parts(sizes: DataFrame) -> DataFrame:
-    """Number of chunks each slice is cut into; at most one line per slice."""
+    """Number of chunks each cell is cut into; at most one line per cell."""
     return sizes.select("slice", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("parts"))
 
 
 def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbors: int = 5, order_by=None) -> DataFrame:
     """Each missing target becomes the mean of the k nearest rows that have it.
 
-    Exact without comparing all rows. The table is sliced along its widest column. Rows with gaps
-    first meet one chunk of their own slice, which bounds how far their k-th neighbour can be;
-    then they meet the slices within that bound, chunk by chunk. A chunk pair hands on k rows for
+    Exact without comparing all rows. The table is cut into cells along two columns. Rows with gaps
+    first meet one chunk of a cell, which bounds how far their k-th neighbour can be; then they meet
+    the cells within that bound of them, chunk by chunk. A chunk pair hands on k rows for
     each gap, never its pairs. Ties go to the row that is first under ``order_by``.
     """
     order = require_order(order_by, "Nearest-neighbour filling")
@@ -207,12 +225,12 @@ def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbo
         *[F.stddev_samp(F.when(t, c)).alias(f"s{i}") for i, (t, c) in enumerate(zip(there, cell))],
     ).first()
     k = min(n_neighbors, max(1, stats["complete"] - 1))
-    # The search axis: fewest gaps first, then widest spread.
-    axis = max(range(len(features)), key=lambda i: (stats[f"n{i}"], stats[f"s{i}"] or 0.0))
-    slices = _Slices(rows, axis, stats["rows"])
+    # The search axes: fewest gaps first, then widest spread.
+    axes = sorted(range(len(features)), key=lambda i: (-stats[f"n{i}"], -(stats[f"s{i}"] or 0.0)))[:2]
+    cells = _Cells(rows, axes, stats["rows"])
     share = 1.0 / len(features)
 
-    placed = stage(rows.withColumn("slice", slices.number()), "sliced")
+    placed = stage(rows.withColumn("slice", cells.number()), "cells")
     parts = _parts(placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n")))
     donors = placed.join(F.broadcast(parts), "slice").select(
         "id", "x", "slice", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("chunk")
@@ -238,7 +256,8 @@ def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbo
             .applyInPandas(lambda a, b: _closest(a, b, wanted, k).astype({"id": "int64", "target": "int32", "donor": "int64"}), schema)
         )
 
-    near = search(seekers.withColumn("chunk", F.lit(0)), donors.where(F.col("chunk") == 0))
+    # A seeker that lacks an axis looks where most rows are first: in its own strip all lack it.
+    near = search(seekers.withColumn("slice", cells.number(middle=True)).withColumn("chunk", F.lit(0)), donors.where(F.col("chunk") == 0))
     # Only a full set of k rows bounds the k-th distance; a seeker is bound by its worst gap.
     bounds = near.groupBy("id", "target").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
     gaps = seekers.select(
@@ -250,7 +269,7 @@ def knn_impute(df: DataFrame, features: list[str], targets: list[str], n_neighbo
         .agg(F.first("x").alias("x"), F.sqrt(F.max(F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf"))))).alias("radius"))
     )
     wide = (
-        reach.withColumn("slice", F.explode(slices.within(share)))
+        reach.withColumn("slice", F.explode(cells.within(share)))
         .join(F.broadcast(parts), "slice")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("id", "x", "slice", "chunk")

@@ -136,12 +136,12 @@ def nearest_mean(rows, i, t, k):
     return sum(v for _, _, v in best) / len(best) if best else None
 
 
-@pytest.mark.parametrize("chunk, slices", [(20_000, 1_000), (30, 7)])
-def test_nearest_rows_equal_full_comparison(spark, monkeypatch, chunk, slices):
+@pytest.mark.parametrize("chunk, cell_rows", [(20_000, 1_000), (30, 40)])
+def test_nearest_rows_equal_full_comparison(spark, monkeypatch, chunk, cell_rows):
     monkeypatch.setattr(impute, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(impute, "MOST_SLICES", slices)
+    monkeypatch.setattr(impute, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(4)
-    n = 2500 if slices == 7 else 300
+    n = 2500 if cell_rows == 40 else 300
     rows = []
     for i in range(n):
         row = [float(rng.integers(0, 1000)), float(rng.normal(0, 3)), float(rng.integers(0, 5)), 1.0 if i % 3 else float(rng.normal())]
@@ -158,6 +158,16 @@ def test_nearest_rows_equal_full_comparison(spark, monkeypatch, chunk, slices):
     assert out.rows_affected == sum(v is None for r in rows for v in r)
 
 
+def test_rows_without_an_axis_visit_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(impute, "CELL_ROWS", 20)
+    rows = spark.range(4000).selectExpr("id", "array(if(id % 50 = 0, double('nan'), double(id % 613)), double(id % 409), 0.0D) as x")
+    cells = impute._Cells(rows, [0, 1], 4000)
+    seen = rows.withColumn("radius", F.lit(5.0)).withColumn("n", F.size(cells.within(1 / 3))).groupBy(F.isnan(F.element_at("x", 1)).alias("lacks")).agg(F.max("n").alias("n"))
+    most = {r.lacks: r.n for r in seen.collect()}
+    every = (len(cells.edges[0]) + 2) * (len(cells.edges[1]) + 2)
+    assert most[False] < every / 8 and most[True] < every / 3
+
+
 def test_imputation_keeps_types_and_falls_back(spark):
     df = spark.createDataFrame(
         [(25, 50000.0, 1.0, "a"), (None, 60000.0, None, "b"), (35, None, 3.0, "c"), (40, 80000.0, 4.0, None), (None, 90000.0, 5.0, "e"),
