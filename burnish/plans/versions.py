@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from burnish.functions.ordering import with_row_index
 from burnish.functions.types import as_columns, col, quoted
 from burnish.operators.profile import measure
+from burnish.operators.profile_state import STATE_SCHEMA, column_states
 
 LOG_SCHEMA = T.StructType(
     [
@@ -348,6 +349,31 @@ class VersionStore:
         lines = [(c, 0, 0, n, 0.0 if n else None) for c in equal]
         return found.unionAll(self.spark.createDataFrame(lines, found.schema)).orderBy(F.desc("cells_changed"), "column_name")
 
+    def profile_states(self, version_id: str) -> DataFrame:
+        """The column states of a version (see profile_state), kept in the store.
+
+        A column is profiled once for the rows and the set that it is read from: versions that
+        share them share its state, and only the others are read.
+        """
+        version = self._find(version_id)
+        rows = f"{version.layout['base']}/{version.layout['rows'] or version.layout['base']}"
+        place = {c[0]: f"{rows}/{c[1]}/{c[2]}" for c in version.columns}
+        folder = f"{self.path}/profiles"
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        schema = T.StructType([T.StructField("place", T.StringType()), *STATE_SCHEMA.fields])
+        if held.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(held):
+            known = {r[0] for r in self.spark.read.schema(schema).parquet(folder).select("place").where(F.col("place").isin(list(place.values()))).distinct().collect()}
+        else:
+            known = set()
+        new = [c for c, p in place.items() if p not in known]
+        if new:
+            found = column_states(self._snapshot(version_id, new), new)
+            named = F.create_map(*[F.lit(x) for c in new for x in (c, place[c])])
+            found.withColumn("place", named[F.col("name")]).select("place", *STATE_SCHEMA.names).write.mode("append").parquet(folder)
+        states = self.spark.read.schema(schema).parquet(folder).dropDuplicates(["place"])
+        columns = self.spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(place.items())], "ordinal int, column string, place string")
+        return states.join(F.broadcast(columns), "place").withColumn("name", F.col("column")).select("ordinal", *STATE_SCHEMA.names)
+
     def compare(self, version_a: str, version_b: str) -> DataFrame:
         return table_summary(self.get_version(version_a), self.get_version(version_b))
 

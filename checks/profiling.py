@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from burnish.operators import ddl
 from burnish.operators import profile as prof
+from burnish.operators.profile_state import column_states, describe_states, merge_states
 from burnish.sources import tables as tbl
 from checks.cleaning import fences
 from checks.duplicates import _NARROW
@@ -277,6 +278,25 @@ def r15(spark, sf):
     return prof.profile_tables({t: table(spark, sf, t) for t in ("supplier", "labels", "events")})
 
 
+# The exact part of a merged profile; estimates are only held to their error.
+@query(
+    "r15_merged_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value,
+            round(avg({c}), 6)::DOUBLE AS mean_value, true AS close FROM ({_GAPPY})"""
+        for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    ),
+)
+def r15_merged(spark, sf):
+    lines = view(spark, sf, GAPPY_LINEITEM).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    parts = [column_states(lines.where(f"l_orderkey % 3 = {k}")) for k in range(3)]
+    exact = prof.distinct_counts(lines)
+    known = spark.createDataFrame([(c, exact[c]) for c in lines.columns], "name string, exact long")
+    said = describe_states(merge_states(*parts)).join(known, "name")
+    close = F.abs(F.col("unique_estimate") - F.col("exact")) <= 0.1 * F.col("exact")
+    return said.select("name", "row_count", "null_count", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), close.alias("close"))
+
+
 # -- G: DDL ---------------------------------------------------------------------------------
 
 ENGINE_TYPES = {

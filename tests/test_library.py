@@ -428,3 +428,37 @@ def test_deep_slices_by_selection(spark, monkeypatch, names):
     for start, stop in ((0, 30), (1490, 1500), (2990, 3100), (2000, 2400), (5000, 5010), (7, 7)):
         assert [tuple(r) for r in rel.slice_rows(df, start, stop, names).collect()] == everything[start:stop]
     assert "__place" not in rel.slice_rows(df, 1490, 1500, names)._jdf.queryExecution().optimizedPlan().toString()
+
+
+# -- profiles that merge --------------------------------------------------------------------
+
+EXACT = ["name", "dtype", "rows", "nulls", "least", "greatest", "bytes"]
+
+
+def test_states_of_parts_merge(spark):
+    from burnish.operators import profile_state as ps
+
+    df = spark.range(20_000).selectExpr("id % 5000 as n", "if(id % 9 = 0, null, id * 1.5) as x", "if(id % 2 = 0, 'Aa', 'aA') || id % 301 as s", "array(id) as a")
+    whole = {r.name: r for r in ps.column_states(df).collect()}
+    merged = ps.merge_states(*(ps.column_states(df.where(f"pmod(hash(n, x, s), 3) = {k}")) for k in range(3)), ps.column_states(df.limit(0)))
+    got = {r.name: r for r in merged.collect()}
+    for c in df.columns:
+        assert [got[c][f] for f in EXACT] == [whole[c][f] for f in EXACT]
+        assert got[c].total == pytest.approx(whole[c].total) or whole[c].total is None
+    said = {r.name: r for r in ps.describe_states(merged).collect()}
+    assert said["n"].unique_estimate == pytest.approx(5000, rel=0.05) and said["s"].unique_estimate == pytest.approx(602, rel=0.05)
+    assert said["s"].folded_estimate == pytest.approx(301, rel=0.05) and said["s"].median is None
+    assert said["n"].median == pytest.approx(2500, abs=5000 * 0.05) and said["x"].third_quartile == pytest.approx(22_500, rel=0.05)
+    assert said["x"].mean_value == pytest.approx(df.agg(F.avg(F.col("x").cast("double"))).first()[0]) and said["a"].null_count == 0
+
+
+def test_versions_share_states(spark, people, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), "id")
+    first = store.create_initial(people)
+    count = lambda: spark.read.parquet(str(tmp_path / "s" / "profiles")).count()
+    assert [r.name for r in store.profile_states(first.id).orderBy("ordinal").collect()] == people.columns and count() == 4
+    second = act.run_and_commit(store, [{"type": "fill_nulls", "params": {"strategy": "zero"}, "target": "column:amount"}, {"type": "rename_column", "params": {"from": "city", "to": "town"}}], "id")
+    states = {r.name: r.nulls for r in store.profile_states(second.id).collect()}
+    assert count() == 5 and states == {"id": 0, "name": people.where("name is null").count(), "town": people.where("city is null").count(), "amount": 0}
+    third = act.run_and_commit(store, [{"type": "filter_rows", "params": {"condition": "id < 3"}}], "id")
+    assert {r.rows for r in store.profile_states(third.id).collect()} == {people.where("id < 3").count()} and count() == 9
