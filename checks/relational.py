@@ -152,6 +152,36 @@ def t4(spark, sf):
     return rel.sort_by(table(spark, sf, "orders"), "o_totalprice", "desc", 25).select("o_orderkey", "o_totalprice")
 
 
+def placed(df):
+    """The rows with their places in the order in which they come."""
+    numbered = df.withColumn("came", F.monotonically_increasing_id())
+    return with_row_index(numbered, [F.col("came")], "place").drop("came")
+
+
+@query("t1_sort_by_places", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name DESC) - 1 AS place FROM customer")
+def t1_places(spark, sf):
+    return placed(rel.sort_by(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name"))
+
+
+@query(
+    "p8_grid_sort_places",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders WHERE contains(lower(o_orderpriority), 'urgent')""",
+)
+def p8_places(spark, sf):
+    rows = cols.grid_view(table(spark, sf, "orders"), [("o_orderpriority", "contains", "urgent")], ("o_orderkey", "desc"))
+    return placed(rows.select("o_orderkey"))
+
+
+@query("t3_slice_places", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 150 OFFSET 100)")
+def t3_places(spark, sf):
+    return placed(rel.slice_rows(table(spark, sf, "orders"), 100, 250, "o_orderkey").select("o_orderkey"))
+
+
+@query("k6_preview_places", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100)")
+def k6_places(spark, sf):
+    return placed(rel.preview(table(spark, sf, "orders"), 100, "o_orderkey").select("o_orderkey"))
+
+
 _TOP = ["l_returnflag", "l_linenumber", "l_discount"]
 
 
@@ -382,6 +412,7 @@ for _name, _op in {
     "except_all": "EXCEPT ALL",
 }.items():
     sql_query(f"q10_{_name}", f"{_A} {_op} {_B}")
+sql_query("q10_except_keys", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000")
 sql_query(
     "q11_string_scalars",
     """SELECT doc_id, length(text) AS n, upper(lang) AS lang3, substr(text, 1, 10) AS head, replace(lang, 'e', 'E') AS lang2,
