@@ -12,6 +12,7 @@ a space has its texts aligned whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -102,11 +103,11 @@ class Pair:
         at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
         coded = self.a.encode_batch([" " + text], add_special_tokens=False)[0]
         pieces = self.b.encode(text, return_type="proto").pieces
-        a, b = np.array(coded.ids, np.int64), np.fromiter((p.id for p in pieces), np.int64, len(pieces))
+        a, b = np.array(coded.ids, np.int64), np.array([p.id for p in pieces], np.int64)
         data = b" " + text.encode()
         # Character offsets to byte offsets; spans of the pieces leave out the space that is added.
-        a_cuts = refined(at[np.fromiter((end for _, end in coded.offsets), np.int64, len(a))], self.a_bytes, a, data)
-        b_cuts = refined(np.fromiter((p.end for p in pieces), np.int64, len(b)) + 1, self.b_bytes, b, data)
+        a_cuts = refined(at[[end for _, end in coded.offsets]], self.a_bytes, a, data)
+        b_cuts = refined(np.array([p.end for p in pieces], np.int64) + 1, self.b_bytes, b, data)
         if a_cuts is None or b_cuts is None:
             if len(chunks) == 1:
                 return [None]
@@ -163,6 +164,15 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
     schema = arrow_schema(_ALIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What is remembered holds no cycles: looking for them among its many tuples would cost an eighth of the time.
+        often = gc.get_threshold()
+        gc.set_threshold(1_000_000, *often[1:])
+        try:
+            yield from aligned(batches)
+        finally:
+            gc.set_threshold(*often)
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, known, older, row = Pair(a_path, b_path), {}, {}, TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
