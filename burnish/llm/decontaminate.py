@@ -53,6 +53,18 @@ def _kind(token: str) -> int:
     return _NAME if token[0].isupper() else _WORD
 
 
+class Numbered(dict):
+    """Numbers for tokens in the order in which they are met; ``new`` lists those that nobody has looked at yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        self.new.append(token)
+        return number
+
+
 class Templates:
     """Hashes of a text's windows; keeps the tokens met so far."""
 
@@ -64,25 +76,29 @@ class Templates:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.known = Numbered()
+        self.hashes, self.kinds = np.zeros(CACHED, np.uint64), np.zeros(CACHED, np.int8)
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHED:
             self.forget()
-        new = [t for t in set(tokens) if t not in self.known]
-        if new:
-            for t in new:
-                self.known[t] = len(self.known)
-            self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(t.lower()) for t in new], np.uint64)])
-            self.kinds = np.concatenate([self.kinds, np.array([_kind(t) for t in new], np.int8)])
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-
-    def _rolled(self, hashes: np.ndarray) -> np.ndarray:
+        places = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        if new := self.known.new:
+            self.known.new = []
+            size, first = len(self.known), len(self.known) - len(new)
+            if size > len(self.hashes):
+                more = max(size, 2 * len(self.hashes)) - len(self.hashes)
+                self.hashes, self.kinds = np.pad(self.hashes, (0, more)), np.pad(self.kinds, (0, more))
+            self.hashes[first:size] = np.fromiter((xxhash.xxh64_intdigest(t.lower()) for t in new), np.uint64, len(new))
+            self.kinds[first:size] = np.fromiter(map(_kind, new), np.int8, len(new))
+        return places
+
+    def _rolled(self, hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The hashes of the windows at ``places``; all windows from slices, fewer from picked ones."""
         n = len(hashes) - self.window + 1
-        out = np.zeros(n, np.uint64)
+        out = np.zeros(len(places), np.uint64)
         for k in range(self.window):
-            out += hashes[k : n + k] * self.powers[k]
+            out += (hashes[k : n + k] if len(places) == n else hashes[places + k]) * self.powers[k]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
@@ -105,23 +121,28 @@ class Templates:
         kinds[(kinds == _UNIT) & (np.concatenate([[_WORD], kinds[:-1]]) != _NUMBER)] = _WORD
         named = kinds != _WORD
         slots = named & ~opens
-        ones = np.ones(self.window, np.int64)
-        found = [(_WRITTEN, np.zeros(len(words), bool), np.ones(len(words) - self.window + 1, bool))]
-        for kind, own in ((_TEMPLATE, slots), (_OPENER, named)):
-            count = np.convolve(own, ones, "valid")
-            use = count > 0 if kind == _TEMPLATE else np.convolve(opens, ones, "valid") > 0
-            enough = self.window - count >= self.literal
-            found += [(kind, own, use & enough), (_DENSE, own, use & ~enough)]
-        for kind, own, use in found:
-            if kind not in kinds_of or not use.any():
+        found = [(_WRITTEN, None, np.arange(len(words) - self.window + 1))]
+        for kind, own, some in ((_TEMPLATE, slots, slots), (_OPENER, named, opens)):
+            if some.any():
+                count, use = self._held(own), np.flatnonzero(self._held(some))
+                enough = self.window - count[use] >= self.literal
+                found += [(kind, own, use[enough]), (_DENSE, own, use[~enough])]
+        for kind, own, places in found:
+            if kind not in kinds_of or not len(places):
                 continue
-            values = self._rolled(np.where(own, self.marks[kinds], hashes))
+            values = self._rolled(hashes if own is None else np.where(own, self.marks[kinds], hashes), places)
             if wanted is not None:
                 bit = values >> np.uint64(64 - FILTER_BITS)
-                use = use & ((wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            for at in np.flatnonzero(use).tolist():
-                inside = [tokens[words[i]].lower() for i in range(at, at + self.window) if own[i]]
-                yield at, int(values[at].astype(np.int64)), inside, kind
+                hit = ((wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                places, values = places[hit], values[hit]
+            for at, value in zip(places.tolist(), values.astype(np.int64).tolist()):
+                inside = [] if own is None else [tokens[words[i]].lower() for i in range(at, at + self.window) if own[i]]
+                yield at, value, inside, kind
+
+    def _held(self, marked: np.ndarray) -> np.ndarray:
+        """How many marked words each window holds."""
+        sums = np.concatenate([[0], np.cumsum(marked)])
+        return sums[self.window :] - sums[: -self.window]
 
 
 def _windows(df: DataFrame, wanted: np.ndarray | None, window: int, literal: int, kinds_of: tuple[int, ...]) -> DataFrame:
