@@ -52,6 +52,36 @@ def test_awkward_and_empty(spark, awkward, name):
     assert apply(awkward.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_tables(spark, awkward, name):
+    """Nulls, repeated rows, clashing names (the pipeline's own among them), and no rows at all."""
+    step, odd = dict(corpus_pipeline.STAGES)[name], awkward.withColumn("_pipeline_row", F.lit("mine"))
+    got = step(spark, odd, SF_DIR)
+    if name == "bpe":
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in odd.collect())
+    else:
+        left = Counter(tuple(map(str, r)) for r in got.collect())
+        assert got.columns == odd.columns and left and not left - Counter(tuple(map(str, r)) for r in odd.collect())
+    assert step(spark, odd.limit(0), SF_DIR).collect() == []
+
+
+def test_leaks_on_awkward_tables(spark, awkward):
+    item = "the quick brown fox the quick brown"
+    rows = [(1, item), (1, item), (None, item), (2, None), (3, "")]
+    items = spark.createDataFrame(rows, "item_id long, text string").withColumns({"hash": F.lit("x"), "doc_id": F.lit(1), "at": F.lit(2)})
+    got = decontaminate.leaks(awkward.unionByName(awkward.where("doc_id = 1")), items).collect()
+    assert [(r.doc_id, r.item_id, r.n_found, r.n_windows) for r in got] == [(1, 1, 3, 3)]
+    assert decontaminate.leaks(awkward.limit(0), items).collect() == decontaminate.leaks(awkward, items.limit(0)).collect() == []
+
+
+def test_similar_texts_on_awkward_tables(spark, awkward):
+    numbered = awkward.withColumn("own", F.monotonically_increasing_id())
+    texts = {r.own: " ".join((r.text or "").lower().split()) for r in numbered.collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(numbered, "own").collect()}
+    assert {i: got.get(i, i) for i in texts} == {i: min(j for j, t in texts.items() if t == own) for i, own in texts.items()}
+    assert similar.similar_texts(numbered.limit(0), "own").collect() == []
+
+
 def documents(spark):
     return spark.read.parquet(f"{SF_DIR}/documents.parquet")
 
@@ -268,12 +298,52 @@ def test_toxicity_net_is_whole_text():
     assert scorer.score(clean) < 0.5 < scorer.score(clean + " vile") and scorer.score("vile") > 0.5
 
 
+def test_toxicity_by_a_plain_forward_pass(spark):
+    """Every document's logit by loops over windows and filters."""
+    docs = documents(spark)
+    net = toxicity.learn(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.rate(docs, net).collect()}
+    for r in docs.collect():
+        words = toxicity.words_of(r.text)
+        vectors = [net.vectors[list(net.lines(w))].sum(0) for w in words] + [np.zeros(net.vectors.shape[1])] * max(toxicity.WIDTHS)
+        best = []
+        for filters in net.filters:
+            width = len(filters)
+            answers = [sum(vectors[at + j] @ filters[j] for j in range(width)) for at in range(len(vectors) - width + 1)]
+            best.append(np.max(answers, axis=0))
+        logit = np.maximum(np.concatenate(best) + net.bias, 0) @ net.weights + net.intercept[0]
+        assert got[r.doc_id].logit == pytest.approx(float(logit), abs=1e-3) and got[r.doc_id].language == toxicity.told_language(words)
+
+
 def test_language_held_out(spark):
     rows = QUERIES["op9_language_id"](spark, SF_DIR).where("held_out").join(documents(spark).select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_by_plain_distances(spark):
+    """The language of every document by counted n-grams and a loop over ranks."""
+    docs = documents(spark)
+    learnt = language.learn_profiles(docs)
+    profiles = defaultdict(dict)
+    for r in learnt.collect():
+        profiles[r.lang][language.spelled(r.code)] = r["rank"]
+    worst = max(rank for own in profiles.values() for rank in own.values()) + 1
+    got = {r.doc_id: r for r in language.identify(docs, learnt).collect()}
+    for r in docs.collect():
+        words = re.sub(r"[\W\d_]+", " ", r.text.lower()).split()
+        counts = Counter(g for w in words for n in (1, 2, 3) for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) != " " and (n < 3 or g[1] != " "))
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        # Two words meet in one space, so n-grams of two characters that start a word also end the last one.
+        code = lambda g: sum(ord(c) << (21 * i) for i, c in enumerate(reversed(g)))
+        top = sorted(counts, key=lambda g: (-counts[g], code(g)))[:worst]
+        out = {name: sum(abs(own[g] - i) if g in own else worst for i, g in enumerate(top)) / len(top) for name, own in profiles.items()}
+        best = min(sorted(out), key=out.get)
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(1 - out[best] / worst)
+
+
 def test_grams_in_parts(monkeypatch):
     text = "Ünder the 12 bridges, under-the bridge"
     whole = dict(zip(*map(list, language.grams(text))))
