@@ -4,14 +4,18 @@ The number line is cut into buckets, of twice the width at each level. An interv
 the first whose buckets are as wide as it is long, so it touches at most two of them. A pair meets
 at the coarser of its two levels, in the first bucket that both touch, and nowhere else; there the
 exact condition is tested. Long and short intervals may be mixed freely.
+
+``overlap_summary`` counts pairs without listing them: rows of one span are joined as one, so the
+work follows the distinct spans that meet, not the rows that do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.functions.types import fresh_name
+from burnish.functions.scratch import stage
+from burnish.functions.types import col, fresh_name
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float | None = None) -> DataFrame:
@@ -67,3 +71,33 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
         & (c["b_start"] <= c["a_end"])
     )
     return pairs.drop(*names.values())
+
+
+def overlap_summary(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], left_key: str, right_key: str) -> DataFrame:
+    """Per key of ``left``: its column, ``n`` and ``last_key`` of the pairs of overlap_join whose keys differ.
+
+    ``n`` counts the pairs, ``last_key`` is the greatest key of ``right`` among them. Keys are columns
+    of one type; they may repeat, and a null key meets nothing, as in SQL. Keys without a pair are left out.
+    """
+
+    def spans(df: DataFrame, side: str, key: str, span: tuple[str, str]) -> DataFrame:
+        start, end = (F.expr(e).cast("double").alias(f"{side}_{at}") for e, at in zip(span, ("start", "end")))
+        df = df.select(col(key).alias(f"{side}_key"), start, end).where(f"{side}_key is not null and {side}_start <= {side}_end")
+        return df.groupBy(f"{side}_key", f"{side}_start", f"{side}_end").agg(F.count(F.lit(1)).alias(f"{side}_rows"))
+
+    a, b = spans(left, "a", left_key, left_span), spans(right, "b", right_key, right_span)
+    a_span, b_span = ["a_start", "a_end"], ["b_start", "b_end"]
+    # The two greatest keys of a span: one of them differs from any key.
+    greatest = b.withColumn("place", F.row_number().over(Window.partitionBy(*b_span).orderBy(F.desc("b_key")))).where("place <= 2")
+    met = stage(overlap_join(a.select(*a_span).distinct(), b.groupBy(*b_span).agg(F.sum("b_rows").alias("met")), tuple(a_span), tuple(b_span)), "spans")
+    counts = met.groupBy(*a_span).agg(F.sum("met").alias("met"))
+    keys = met.join(greatest, b_span).groupBy(*a_span, "b_key").agg(F.lit(1).alias("one"))
+    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy(*a_span).orderBy(F.desc("b_key")))).where("place <= 2")
+    summed = counts.join(keys.groupBy(*a_span).agg(F.max("b_key").alias("top"), F.min("b_key").alias("next")), a_span)
+    # Rows of the key itself are counted with the others and taken off.
+    own = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
+    own = own.groupBy("a_key", *a_span).agg(F.sum("b_rows").alias("own"))
+    rest = a.join(summed, a_span).join(own, ["a_key", *a_span], "left").withColumn("others", F.col("met") - F.coalesce("own", F.lit(0)))
+    last = F.when(F.col("top") == F.col("a_key"), F.col("next")).otherwise(F.col("top"))
+    found = rest.where("others > 0").groupBy("a_key").agg(F.sum(F.col("a_rows") * F.col("others")).alias("n"), F.max(last).alias("last_key"))
+    return found.withColumnRenamed("a_key", left_key)

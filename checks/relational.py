@@ -6,7 +6,7 @@ from burnish.functions.ordering import with_row_index
 from burnish.functions.text import bucketize
 from burnish.operators import columns as cols
 from burnish.operators import relational as rel
-from burnish.operators.overlap import overlap_join
+from burnish.operators.overlap import overlap_summary
 from burnish.sources.datasets import run_query
 from checks.registry import DIRTY_CUSTOMER, query, table, view
 
@@ -360,8 +360,7 @@ _OPEN_B = _OPEN.replace("{k}", "b_key").replace("{p}", "b_priority").replace("{s
 )
 def q6_overlap(spark, sf):
     urgent = view(spark, sf, _OPEN_B).where("b_priority = '1-URGENT'")
-    pairs = overlap_join(view(spark, sf, _OPEN_A), urgent, ("a_start", "a_end"), ("b_start", "b_end"))
-    return pairs.where("a_key <> b_key").groupBy("a_key").agg(F.count("*").alias("n"), F.max("b_key").alias("last_key"))
+    return overlap_summary(view(spark, sf, _OPEN_A), urgent, ("a_start", "a_end"), ("b_start", "b_end"), "a_key", "b_key")
 
 
 sql_query(

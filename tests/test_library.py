@@ -414,6 +414,34 @@ def test_overlaps_equal_a_loop(spark):
         overlap_join(left, left, ("s", "e"), ("s", "e"))
 
 
+def test_overlaps_are_counted_without_their_pairs(spark):
+    import random
+
+    from burnish.operators import overlap
+
+    rng = random.Random(5)
+    spans = lambda n, keys: [(rng.choice([None, *range(keys)]), s := rng.randrange(12), s + rng.choice([-1, 0, 1, 2, 9])) for _ in range(n)] + [(1, None, 1), (2, 2, None)]
+    for keys in (2, 6, 90):
+        a, b = spans(70, keys), spans(60, keys)
+        left, right = spark.createDataFrame(a, "i long, s int, e int"), spark.createDataFrame(b, "j long, t int, f int")
+        found = {}
+        for i, s, e in a:
+            for j, t, f in b:
+                if None not in (i, j, s, e, t, f) and i != j and s <= e and t <= f and s <= f and t <= e:
+                    n, last = found.get(i, (0, j))
+                    found[i] = (n + 1, max(last, j))
+        got = overlap.overlap_summary(left, right, ("s", "e"), ("t", "f"), "i", "j")
+        assert got.columns == ["i", "n", "last_key"]
+        assert {r.i: (r.n, r.last_key) for r in got.collect()} == found
+    # A thousand rows of one span are one row of the join.
+    many, met = spark.range(1000).selectExpr("id as i", "3 as s", "4 as e"), []
+    join = overlap.overlap_join
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(overlap, "overlap_join", lambda *args: met.append(out := join(*args)) or out)
+        got = overlap.overlap_summary(many, many.selectExpr("i as j", "s as t", "e as f"), ("s", "e"), ("t", "f"), "i", "j")
+        assert got.where("n = 999").count() == 1000 and met[0].count() == 1
+
+
 @pytest.mark.parametrize("names", [["a"], ["b", "a"], ["d", "b", "a"]])
 def test_deep_slices_by_selection(spark, monkeypatch, names):
     from burnish.operators import relational as rel
