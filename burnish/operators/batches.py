@@ -4,6 +4,8 @@ The few lowest-ranked open items settle among themselves: whoever is unclaimed l
 later ones. Their leaders then go to all tasks and claim from all open items, each task comparing
 its rows in tiles. What a batch claims is gone, so where clusters are large a few batches do;
 where nothing is similar each batch only takes itself away, and the caller goes on with signatures.
+A batch with few leaders for its size makes the next one larger. Whatever the batches, the leaders are
+the same.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from burnish.functions.scratch import stage
 
 #: Most items and bytes of a batch; rows of a task and of a tile.
 BATCH, BATCH_BYTES, TASK_ROWS, TILE = 2_048, 4 << 20, 50_000, 4_096
-#: Batches go on while this many or fewer are open, or while each claims at least this part of what is open.
-FEW_OPEN, PAYS = 50_000, 0.25
+#: Batches go on while this many or fewer are open, or while each claims at least this part of what is open,
+#: or if, at the pace of the last, so many more will do and cost an item no more comparisons than those.
+FEW_OPEN, PAYS, MORE = 50_000, 0.25, 64
+#: A batch grows by GROWS, to MOST times BATCH, while it has so many items for each leader.
+GROWS, MOST, CROWDED = 4, 16, 16
 
 
 class Tile(Protocol):
@@ -32,12 +37,14 @@ class Tile(Protocol):
         """Which of the own ``rows`` are similar to the item ``one`` of ``other``."""
 
 
-def settle(tile: Tile, n: int) -> np.ndarray:
-    """The leader of each of ``n`` items in order of rank, as places."""
-    led = np.full(n, -1)
+def settle(tile: Tile, n: int, most: int | None = None) -> np.ndarray:
+    """The leader of each of ``n`` items in order of rank, as places; ends before a leader more than ``most``."""
+    led, leaders = np.full(n, -1), 0
     for i in range(n):
         if led[i] < 0:
-            led[i] = i
+            if leaders == most:
+                return led[:i]
+            led[i], leaders = i, leaders + 1
             rest = np.flatnonzero(led[i + 1 :] < 0) + i + 1
             if len(rest):
                 led[rest[tile.similar(tile, i, rest)]] = i
@@ -65,13 +72,17 @@ def batch_leaders(items: DataFrame, tile_of: Callable[[pa.Table], Tile], size: C
     spark, columns = items.sparkSession, items.columns
     out_schema = StructType([*items.schema.fields, StructField("leader", LongType())])
     settled: list[DataFrame] = []
-    rest, left = items, items.count()
+    rest, left, batch = items, items.count(), BATCH
     while left:
-        low = rest.select("id", size.cast("long").alias("size")).orderBy("id").limit(BATCH).toArrow()
+        low = rest.select("id", size.cast("long").alias("size")).orderBy("id").limit(batch).toArrow()
         fits = max(1, int((np.cumsum(low.column("size").to_numpy()) <= BATCH_BYTES).sum()))
         last = low.column("id")[fits - 1].as_py()
         heads = rest.where(F.col("id") <= last).toArrow().sort_by("id")
-        ids, led = heads.column("id").to_numpy(), settle(tile_of(heads), len(heads))
+        # A larger batch takes fewer leaders, so that no more is compared in one.
+        led = settle(tile_of(heads), len(heads), max(1, BATCH * BATCH // max(BATCH, len(heads))))
+        heads = heads.slice(0, len(led))
+        ids = heads.column("id").to_numpy()
+        last = int(ids[-1])
         first = np.flatnonzero(led == np.arange(len(led)))
         owner = [int(ids[at]) if assign or at == i else None for i, at in enumerate(led.tolist())]
         settled.append(spark.createDataFrame(pa.table({"id": ids, "leader": pa.array(owner, pa.int64())})))
@@ -96,8 +107,12 @@ def batch_leaders(items: DataFrame, tile_of: Callable[[pa.Table], Tile], size: C
         settled.append(taken.select("id", F.col("leader") if assign else F.lit(None).cast("long").alias("leader")))
         before, rest = left, met.where("leader is null").drop("leader")
         left = rest.count()
-        if left > FEW_OPEN and before - left < PAYS * before:
+        done = before - left + len(heads)
+        pays = before - left >= PAYS * before or (left <= MORE * done and left * len(first) <= BATCH / PAYS * done)
+        grown = min(batch * GROWS, BATCH * MOST) if len(heads) == batch >= CROWDED * len(first) else batch
+        if left > FEW_OPEN and not pays and grown == batch:
             break
+        batch = grown
     result = settled[0]
     for more in settled[1:]:
         result = result.unionAll(more)

@@ -89,6 +89,23 @@ def test_fuzzy_dedup_equals_loop(spark, monkeypatch, threshold, first_heads, gro
     assert matches == {(names[i], names[h]) for i, h in led.items() if names[i] != names[h]}
 
 
+def test_batches_go_on_where_leaders_are_few(spark, monkeypatch):
+    # A batch of 32 has few leaders and claims little of the rest: signatures took over after the first.
+    for name, value in (("BATCH", 32), ("FEW_OPEN", 50)):
+        monkeypatch.setattr(batches, name, value)
+    words = ["abcdefgh"[i // 8 % 8] * 4 + "abcdefgh"[i % 8] * 4 for i in range(64)]
+    texts = [w + "0123456789"[i % 10] + "klmnopqrst"[i // 10] for w in words for i in range(40)]
+    led = walk(texts, lambda a, b: ratio(a, b) >= 0.75)
+    items = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id long, block string, text string")
+    tile = lambda rows: sim.TextTile(rows.column("text").to_pylist(), rows.column("block").to_pylist(), 0.75)
+    found, rest = batches.batch_leaders(items, tile, F.lit(10), True)
+    assert rest is None
+    assert {r.id: r.leader for r in found.collect()} == led
+    tiles = tile(items.toArrow())
+    short = batches.settle(tiles, len(texts), 3)
+    assert len(set(short.tolist())) == 3 and short.tolist() == [led[i] for i in range(len(short))] and led[len(short)] == len(short)
+
+
 def test_blocked_dedup_equals_loop(spark):
     names = people(5, 150)
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
