@@ -56,7 +56,7 @@ def ddl_profile(df: DataFrame, engine: str = "postgresql", exact: bool = True) -
     fields = df.schema.fields
     counts = []
     worded = [f.name for f in fields if is_text(f.dataType) and "id" not in f.name.lower()]
-    distinct = distinct_counts(df.select(*[col(c) for c in worded])) if exact and worded else {}
+    distinct = distinct_counts(df.select(*[col(c) for c in worded]), whole_rows=False) if exact and worded else {}
     for i, f in enumerate(fields):
         counts.append(F.count_if(col(f.name).isNull()).alias(f"n{i}"))
         if is_text(f.dataType):

@@ -316,7 +316,7 @@ def auto_clean(df: DataFrame, order_by=None, compatible: bool = False, leave_out
         current = repaired.df
     texts = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name not in leave_out]
     if texts:
-        counted = distinct_counts(current.select(*[cols.col(c) for c in texts]), texts)
+        counted = distinct_counts(current.select(*[cols.col(c) for c in texts]), texts, whole_rows=False)
         holes = {c for c, n in null_counts(current, texts).items() if n}
         for c in texts:
             values = counted[c] + (c in holes)

@@ -117,7 +117,7 @@ _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "
 def r4_estimated(spark, sf):
     lines = table(spark, sf, "lineitem")
     found = prof.profile_columns(lines, approximate=True).select("name", F.col("unique_count").alias("estimate"))
-    exact = prof.distinct_counts(lines)
+    exact = prof.distinct_counts(lines, whole_rows=False)
     known = spark.createDataFrame([(c, exact[c]) for c in _LINE], "name string, unique_count long")
     return found.join(known, "name").select("name", "unique_count", (F.abs(F.col("estimate") - F.col("unique_count")) <= 0.15 * F.col("unique_count")).alias("close"))
 
@@ -290,7 +290,7 @@ def r15(spark, sf):
 def r15_merged(spark, sf):
     lines = view(spark, sf, GAPPY_LINEITEM).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
     parts = [column_states(lines.where(f"l_orderkey % 3 = {k}")) for k in range(3)]
-    exact = prof.distinct_counts(lines)
+    exact = prof.distinct_counts(lines, whole_rows=False)
     known = spark.createDataFrame([(c, exact[c]) for c in lines.columns], "name string, exact long")
     said = describe_states(merge_states(*parts)).join(known, "name")
     close = F.abs(F.col("unique_estimate") - F.col("exact")) <= 0.1 * F.col("exact")

@@ -41,6 +41,19 @@ def test_profile_counts(people):
     assert json.loads(prof.profile_json(people, "id"))["duplicateCount"] == 1
 
 
+def test_columns_are_profiled_without_whole_rows(people, monkeypatch):
+    seen = []
+    count, repeats = prof.distinct_counts, prof.duplicate_count
+    monkeypatch.setattr(prof, "distinct_counts", lambda *args: seen.append(found := count(*args)) or found)
+    monkeypatch.setattr(prof, "duplicate_count", lambda df: seen.append({"*": 0}) or repeats(df))
+    for approximate in (False, True):
+        want = prof.measure(people, "id", approximate)["columns"]
+        seen.clear()
+        got = [r.asDict() for r in prof.profile_columns(people, "id", approximate).collect()]
+        assert [{k: r[k] for k in ("name", "unique_count", "null_count", "issues")} for r in got] == [{k: c[k] for k in ("name", "unique_count", "null_count", "issues")} for c in want]
+        assert not any("*" in found for found in seen)
+
+
 def test_empty_table_scores_zero(spark):
     p = prof.measure(spark.createDataFrame([], "a long, b string"), "a")
     assert p["quality_score"] == 0 and p["row_count"] == 0
@@ -50,6 +63,8 @@ def test_nulls_in_different_columns_are_different_rows(spark):
     df = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string")
     assert prof.duplicate_count(df).first()[0] == 1
     assert prof.distinct_counts(df)["*"] == 2
+    few = prof.distinct_counts(df, whole_rows=False)
+    assert "*" not in few and few == {c: n for c, n in prof.distinct_counts(df).items() if c != "*"}
 
 
 def test_casing_issue(spark):
