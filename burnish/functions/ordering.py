@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.functions.scratch import stage
-from burnish.functions.types import fresh_name
+from burnish.functions.types import col, fresh_name
 
 
 def in_ranges(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
@@ -18,22 +18,24 @@ def in_ranges(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
     return stage(df.repartitionByRange(*order).withColumn(tag, F.spark_partition_id()), "ranges")
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def with_rank(df: DataFrame, order: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
     """Add a long that grows with the order, not necessarily by one; ``order`` must be unique.
 
-    Numbers are given out once, when the ranges are written, and read back from there.
+    Numbers are given out once, when the ranges are written, and read back from there. All rows stay,
+    with the columns ``keep`` (by default all): others are neither shuffled nor written.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "ranked")
+    ranked = ordered.withColumn(name, F.monotonically_increasing_id())
+    return stage(ranked if keep is None else ranked.select(*map(col, keep), name), "ranked")
 
 
 RANK_BITS = 33  # monotonically_increasing_id: range number above, position in the range below
 
 
-def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 0-based position of each row in the given order, which must be unique."""
+def with_row_index(df: DataFrame, order: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
+    """Add the 0-based position of each row in the given order, which must be unique; ``keep`` as in with_rank."""
     rank = fresh_name(df, "__rank")
-    ranked = with_rank(df, order, rank).withColumn("__range", F.shiftright(rank, RANK_BITS))
+    ranked = with_rank(df, order, rank, keep).withColumn("__range", F.shiftright(rank, RANK_BITS))
     # One line per range, so the running total fits one task however long the table is.
     counts = ranked.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))

@@ -443,10 +443,14 @@ def table_diff(a: DataFrame, b: DataFrame, key: list[str], hidden: list[str] = (
     )
 
 
-def diff_by_position(a: DataFrame, b: DataFrame, order_by) -> DataFrame:
-    """table_diff of the n-th row of one table against the n-th row of the other."""
+def diff_by_position(a: DataFrame, b: DataFrame, order_by, columns: list[str] | None = None) -> DataFrame:
+    """table_diff of the n-th row of one table against the n-th row of the other.
+
+    All rows are placed and compared, in ``columns`` (by default in all): only these are moved with their places.
+    """
     order = as_columns(order_by)
-    return table_diff(with_row_index(a, order, ROW_INDEX), with_row_index(b, order, ROW_INDEX), [ROW_INDEX])
+    left, right = (with_row_index(df, order, ROW_INDEX, None if columns is None else [c for c in df.columns if c in columns]) for df in (a, b))
+    return table_diff(left, right, [ROW_INDEX])
 
 
 def row_changes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -148,8 +148,7 @@ def v5_key(spark, sf):
 def v5_position(spark, sf):
     df = table(spark, sf, "lineitem")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    out = ver.diff_by_position(df, df.where("l_orderkey > 100"), key)
-    return out.where("column_name IN ('l_quantity', 'l_returnflag')")
+    return ver.diff_by_position(df, df.where("l_orderkey > 100"), key, ["l_quantity", "l_returnflag"])
 
 
 @query(

@@ -41,6 +41,21 @@ def test_profile_counts(people):
     assert json.loads(prof.profile_json(people, "id"))["duplicateCount"] == 1
 
 
+def test_positions_move_only_the_compared_columns(spark, monkeypatch):
+    from burnish.functions import ordering
+    from burnish.plans import versions
+
+    a = spark.createDataFrame([(3, "x", 1, "long"), (1, "y", 2, "text"), (2, None, 3, "kept")], "k long, v string, w int, t string")
+    b = spark.createDataFrame([(5, "y", 2, "other"), (6, "z", 4, "words"), (7, "x", None, "here"), (8, "q", 0, "more")], "k long, v string, w int, t string")
+    written, stage = [], ordering.stage
+    monkeypatch.setattr(ordering, "stage", lambda df, label: written.append(df.columns) or stage(df, label))
+    everything = {r.column_name: r for r in versions.diff_by_position(a, b, ["k"]).collect()}
+    written.clear()
+    some = versions.diff_by_position(a, b, ["k"], ["v", "w"]).collect()
+    assert {r.column_name: r for r in some} == {c: everything[c] for c in ("v", "w")}
+    assert all(set(names) <= {"v", "w", "__rank"} for names in written) and len(written) == 2
+
+
 def test_columns_are_profiled_without_whole_rows(people, monkeypatch):
     seen = []
     count, repeats = prof.distinct_counts, prof.duplicate_count
