@@ -577,6 +577,20 @@ def test_pipeline_near_copies(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_copies_are_proposed_by_simhash(spark, monkeypatch):
+    """Of SimHash's groups only similar texts are linked, and they are not compared again; what it misses is found."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "z"]), "other words that stand alone", " ".join(["y", *words[1:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group, asked, verified = {0: 0, 1: 0, 2: 0, 3: 3}, [], similar._verified
+    proposed = F.coalesce(F.create_map(*[F.lit(x) for p in group.items() for x in p])[F.col("doc_id")], F.col("doc_id"))
+    monkeypatch.setattr(similar.simhash, "near_duplicates", lambda rows, *_: rows.select("doc_id", proposed.cast("long").alias("component_id")))
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *args: asked.append(sorted(map(tuple, pairs.collect()))) or verified(pairs, *args))
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(df).collect()}
+    assert got == {0: 0, 1: 0, 3: 0}
+    assert asked[0] == [(0, 1), (0, 2)] and asked[1] == [(0, 3)]
+
+
 def test_toxicity_thresholds_use_all_labels(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, f"{'der die das und' if i % 4 == 0 else 'the of and to'} {'vile' if i % 3 == 0 else 'mild'} {rng.random()} w{i}") for i in range(600)]
