@@ -591,6 +591,26 @@ def test_near_copies_are_proposed_by_simhash(spark, monkeypatch):
     assert asked[0] == [(0, 1), (0, 2)] and asked[1] == [(0, 3)]
 
 
+def test_pipeline_writes_no_copy_of_texts(spark, tmp_path, monkeypatch):
+    """Rows of whole files are told by their places; parts of files, and rows that repeat, are written before they are numbered."""
+    written, stage = [], corpus_pipeline.stage
+    monkeypatch.setattr(corpus_pipeline, "stage", lambda df, label: written.append((label, df.columns)) or stage(df, label))
+    texts = ["some words that stand alone", "some words  that stand alone", None, "", "other words that stand alone", "x"] * 20
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.repartition(3).write.parquet(path := str(tmp_path / "docs a%b"))
+    files = spark.read.parquet(path)
+    got = corpus_pipeline.drop_copies(spark, files, SF_DIR)
+    assert sorted(r.text or "" for r in got.collect()) == ["", "other words that stand alone", "some words  that stand alone", "x"]
+    assert written and not any("text" in columns for _, columns in written)
+    rows, row = corpus_pipeline._numbered(files)
+    assert rows.select(row).distinct().count() == files.count() == rows.count()
+    gone = rows.where("doc_id % 2 = 0")
+    kept = corpus_pipeline._without(rows, row, gone.union(gone), files)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, files.where("doc_id is null or doc_id % 2 <> 0").collect()))
+    for part in (files.where("doc_id > 5"), files.limit(3), files.union(files), files.join(spark.range(2)), df, df.limit(0)):
+        assert corpus_pipeline._placed(part, "row") is None
+
+
 def test_toxicity_thresholds_use_all_labels(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, f"{'der die das und' if i % 4 == 0 else 'the of and to'} {'vile' if i % 3 == 0 else 'mild'} {rng.random()} w{i}") for i in range(600)]
