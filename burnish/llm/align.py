@@ -31,8 +31,8 @@ from burnish.llm.frames import arrow_schema
 
 #: Chunks remembered by a task since it last forgot, their longest, rows of a slice, pairs gathered before they are handed on.
 CACHED, LONGEST, SLICE, GATHERED = 100_000, 48, 256, 1 << 20
-#: Signs that are read side by side.
-READ = 1 << 16
+#: Signs that are read side by side: both tokenizers take half as long again on texts too long for a core's cache.
+READ = 1 << 11
 #: Link counts sent to every task: 17 bytes each. More are joined.
 SENT = 2_000_000
 SPACE_SIGN = "▁"
@@ -45,6 +45,17 @@ _ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links lo
 _PAIR = "code long, links long"
 
 
+class _Spelled(dict):
+    """The spelling of a group of one token each, by code: no more than the vocabularies have tokens of the same bytes."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __missing__(self, code: int) -> str:
+        self[code] = value = f"{code // self.width}|{code % self.width}"
+        return value
+
+
 class Pair:
     """Both tokenizers, and the bytes of their tokens."""
 
@@ -72,6 +83,7 @@ class Pair:
         self.crosses = any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
         self.width = len(pieces)
         self.said = [str(i) for i in range(max(self.width, max(self.a_bytes) + 1))]
+        self.spelled = _Spelled(self.width)
 
     def chunks(self, text: str) -> list[str]:
         """The text without its leading space, each chunk to be read after a space."""
@@ -89,7 +101,8 @@ class Pair:
         parts, length = [[]], 0
         for i in plain:
             if length > READ:
-                parts, length = [*parts, []], 0
+                parts.append([])
+                length = 0
             parts[-1].append(i)
             length += len(chunks[i])
         for part in [*parts, *([i] for i in single)]:
@@ -102,12 +115,12 @@ class Pair:
         codes = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
         coded = self.a.encode_batch([" " + text], add_special_tokens=False)[0]
-        pieces = self.b.encode(text, return_type="proto").pieces
-        a, b = np.array(coded.ids, np.int64), np.array([p.id for p in pieces], np.int64)
+        pieces = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        a, b = np.array(coded.ids, np.int64), np.array(pieces["ids"], np.int64)
         data = b" " + text.encode()
         # Character offsets to byte offsets; spans of the pieces leave out the space that is added.
         a_cuts = refined(at[[end for _, end in coded.offsets]], self.a_bytes, a, data)
-        b_cuts = refined(np.array([p.end for p in pieces], np.int64) + 1, self.b_bytes, b, data)
+        b_cuts = refined(np.array([end for _, end in pieces["offsets"]], np.int64) + 1, self.b_bytes, b, data)
         if a_cuts is None or b_cuts is None:
             if len(chunks) == 1:
                 return [None]
@@ -115,14 +128,16 @@ class Pair:
             return self._side_by_side(chunks[:half]) + self._side_by_side(chunks[half:])
         common, a_end, b_end = np.intersect1d(a_cuts, b_cuts, assume_unique=True, return_indices=True)
         linked = (a[a_end] * self.width + b[b_end]).astype("<i8")
+        a_from, b_from = np.concatenate([[0], a_end + 1]), np.concatenate([[0], b_end + 1])
+        many = np.flatnonzero((np.diff(a_from) > 1) | (np.diff(b_from) > 1))
+        single = np.ones(len(linked), bool)
+        single[many] = False
+        groups = np.empty(len(linked), object)
+        groups[single] = [self.spelled[c] for c in linked[single].tolist()]
         a_said, b_said = [self.said[i] for i in a.tolist()], [self.said[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for p, q in zip((a_end + 1).tolist(), (b_end + 1).tolist()):
-            if p - i == 1 and q - j == 1:
-                groups.append(f"{a_said[i]}|{b_said[j]}")
-            else:
-                groups.append(f"{','.join(a_said[i:p])}|{','.join(b_said[j:q])}")
-            i, j = p, q
+        spans = (a_from[many], a_from[many + 1], b_from[many], b_from[many + 1])
+        groups[many] = [f"{','.join(a_said[i:p])}|{','.join(b_said[j:q])}" for i, p, j, q in zip(*(at.tolist() for at in spans))]
+        groups = groups.tolist()
         # A chunk ends before the space of the next one.
         ends = at[np.cumsum([len(c) + 1 for c in chunks])]
         starts = np.concatenate([[0], ends[:-1]])
@@ -181,14 +196,14 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
                 if len(known) > CACHED:
                     # What was not met since the last time is forgotten.
                     known, older = {}, known
-                unknown = {c for chunks in texts for c in chunks} - known.keys()
-                known.update((c, older[c]) for c in unknown & older.keys())
-                new = list(unknown - older.keys())
+                unknown = set().union(*texts).difference(known)
+                known.update((c, older[c]) for c in unknown if c in older)
+                new = list(unknown.difference(older))
                 known.update(zip(new, pair.align(new)))
                 out = []
                 for chunks in texts:
-                    got = [known[c] for c in chunks]
-                    if not got or any(g is None for g in got):
+                    got = list(map(known.__getitem__, chunks))
+                    if not got or None in got:
                         out.append((0, 0, 0, 0, "", b""))
                         continue
                     n_a, n_b, n_groups, groups, codes = zip(*got)

@@ -73,6 +73,18 @@ def test_empty_table(spark):
     assert align.alignment_report(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 
 
+def test_short_texts_are_read_side_by_side(monkeypatch):
+    """Both tokenizers are slower on long texts; what is read together must not change what comes out."""
+    pair, read = align.Pair(A, B), []
+    side_by_side = pair._side_by_side
+    chunks = [f"wörd{i}🧿" * (1 + i % 3) for i in range(3000)] + ["", " x", "▁", "x\ty"]
+    monkeypatch.setattr(pair, "_side_by_side", lambda part: read.append(len(" ".join(part))) or side_by_side(part))
+    got = pair.align(chunks)
+    assert max(read) <= 4096 and len(read) < 100
+    monkeypatch.setattr(align, "READ", 0)
+    assert pair.align(chunks) == got
+
+
 def test_refined_cuts():
     def cuts(coarse, tokens, text):
         got = align.refined(np.array(coarse), tokens, np.arange(len(tokens)), text.encode())
