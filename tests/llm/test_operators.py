@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -591,6 +592,21 @@ def test_near_copies_are_proposed_by_simhash(spark, monkeypatch):
     assert asked[0] == [(0, 1), (0, 2)] and asked[1] == [(0, 3)]
 
 
+def test_sets_of_shingles_stay_in_a_task(spark, monkeypatch):
+    """One Python worker a task makes sets and reads them, few rows at a time; what it hands on is the same."""
+    plans, stage = {}, similar.stage
+    monkeypatch.setattr(similar, "stage", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and stage(df, label))
+    texts = [f"w{i} a b c d e f g h i j k l m n o p q r s t u v" if i % 2 else None for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(df).collect()}
+    assert got == {i: i % 2 for i in range(600)}
+    assert plans["entries"].count("MapInArrow") == 1
+    batch = pa.record_batch([pa.array(range(600)), pa.array([(t or "").encode() for t in texts])], ["doc_id", "body"])
+    parts = list(similar._sets(iter([batch, batch.slice(0, 0)]), 5))
+    assert [x for ids, _ in parts for x in ids.to_pylist()] == list(range(600)) and max(len(sets) for _, sets in parts) <= similar.SLICE < 600
+    assert [s.tolist() for _, sets in parts for s in sets] == [r.hashes for r in similar.shingle_sets(df, "doc_id", "text").orderBy("doc_id").collect()]
+
+
 def test_pipeline_writes_no_copy_of_texts(spark, tmp_path, monkeypatch):
     """Rows of whole files are told by their places; parts of files, and rows that repeat, are written before they are numbered."""
     written, stage = [], corpus_pipeline.stage
