@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from burnish.llm.bpe import byte_signs
 from burnish.llm.frames import arrow_schema
 
 #: Chunks remembered by a task since it last forgot, their longest, rows of a slice, pairs gathered before they are handed on.
-CACHED, LONGEST, SLICE, GATHERED = 100_000, 48, 256, 1 << 20
+CACHED, LONGEST, SLICE, GATHERED = 150_000, 48, 256, 1 << 20
 #: Signs that are read side by side: both tokenizers take half as long again on texts too long for a core's cache.
 READ = 1 << 11
 #: Link counts sent to every task: 17 bytes each. More are joined.
@@ -85,12 +86,23 @@ class Pair:
         self.said = [str(i) for i in range(max(self.width, max(self.a_bytes) + 1))]
         self.spelled = _Spelled(self.width)
 
-    def chunks(self, text: str) -> list[str]:
-        """The text without its leading space, each chunk to be read after a space."""
-        return [text] if self.crosses else _BORDER.split(text)
+    def chunks(self, texts: list[str], known: dict) -> tuple[list[list[str]], set[str]]:
+        """Each text without its leading space, in chunks to be read after a space; and the chunks that are empty or have white space at an end.
+
+        A text none of whose parts between spaces is such a chunk is cut at every space. ``known`` holds no such chunk.
+        """
+        if self.crosses:
+            return [[t] if t else [] for t in texts], set()
+        parts = [t.split(" ") if t else [] for t in texts]
+        edged = {c for c in set().union(*parts).difference(known) if not c or _EDGE.search(c)}
+        found = set()
+        for i in [i for i, p in enumerate(parts) if edged and not edged.isdisjoint(p)]:
+            parts[i] = _BORDER.split(texts[i])
+            found.update(c for c in parts[i] if not c or _EDGE.search(c))
+        return parts, found
 
     def align(self, chunks: list[str]) -> list[tuple | None]:
-        """Of each chunk the numbers of tokens and groups, the groups spelled out and the linked pairs; None where bytes differ.
+        """Of each chunk the numbers of tokens, the groups spelled out and the linked pairs; None where bytes differ.
 
         Chunks without white space at their ends are read side by side, with the spaces between them
         that they were cut at.
@@ -137,17 +149,23 @@ class Pair:
         a_said, b_said = [self.said[i] for i in a.tolist()], [self.said[i] for i in b.tolist()]
         spans = (a_from[many], a_from[many + 1], b_from[many], b_from[many + 1])
         groups[many] = [f"{','.join(a_said[i:p])}|{','.join(b_said[j:q])}" for i, p, j, q in zip(*(at.tolist() for at in spans))]
-        groups = groups.tolist()
+        groups, packed = groups.tolist(), linked.tobytes()
         # A chunk ends before the space of the next one.
         ends = at[np.cumsum([len(c) + 1 for c in chunks])]
         starts = np.concatenate([[0], ends[:-1]])
         spans = [np.searchsorted(cuts, (starts, ends), "right").tolist() for cuts in (a_cuts, b_cuts, common)]
         return [
-            (a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), linked[g0:g1].tobytes())
+            (a1 - a0, b1 - b0, ";".join(groups[g0:g1]), packed[8 * g0 : 8 * g1])
             for a0, a1, b0, b1, g0, g1 in zip(*(side for span in spans for side in span))
         ]
 
 
+@lru_cache(maxsize=1)
+def _pair(a_path: str, b_path: str, *written: int) -> Pair:
+    """What a process has read of two files as they were ``written``: its next task need not read them again."""
+    return Pair(a_path, b_path)
+
+
 def refined(coarse: np.ndarray, token_bytes, ids: np.ndarray, data: bytes) -> np.ndarray | None:
     """The byte offsets where tokens end, from coarse ones. None if the tokens do not spell ``data``.
 
@@ -188,11 +206,12 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
             gc.set_threshold(*often)
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known, older, row = Pair(a_path, b_path), {}, {}, TaskContext.get().partitionId() << 40
+        written = [os.stat(path).st_mtime_ns for path in (a_path, b_path)]
+        pair, known, older, row = _pair(a_path, b_path, *written), {}, {}, TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                texts = [pair.chunks(t) if t else [] for t in part.column(1).to_pylist()]
+                texts, edged = pair.chunks(part.column(1).to_pylist(), known)
                 if len(known) > CACHED:
                     # What was not met since the last time is forgotten.
                     known, older = {}, known
@@ -206,11 +225,12 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
                     if not got or None in got:
                         out.append((0, 0, 0, 0, "", b""))
                         continue
-                    n_a, n_b, n_groups, groups, codes = zip(*got)
-                    out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_groups), ";".join(groups), b"".join(codes)))
-                for c in new:
-                    if len(c) > LONGEST:
-                        del known[c]
+                    n_a, n_b, groups, codes = zip(*got)
+                    codes = b"".join(codes)
+                    n_links = len(codes) // 8  # one a group
+                    out.append((sum(n_a), sum(n_b), n_links, n_links, ";".join(groups), codes))
+                for c in edged.union(c for c in new if len(c) > LONGEST):
+                    del known[c]
                 rows = range(row, row := row + part.num_rows)
                 columns = [list(rows), part.column(0), *zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -94,3 +94,18 @@ def test_refined_cuts():
     assert cuts([3, 3, 8], [" é".encode()[:1], " é".encode()[1:], "🧿a".encode()], " é🧿a") == [1, 3, 8]
     assert cuts([3, 8], [" é".encode(), "🧿b".encode()], " é🧿a") is None
     assert cuts([3], [" é".encode()], " é🧿a") is None
+
+
+def test_known_chunks_do_not_hide_odd_spaces(spark, monkeypatch):
+    """A chunk with white space at an end is never remembered; vocabularies are read once by a process."""
+    monkeypatch.setattr(align, "SLICE", 1)
+    texts = ["\nfoo bar", "a \nfoo", "x  y", " x y", "bar a", "x ", "y x  y", "foo\x85 bar", "foo\x85 bar a", "᠎a bar", "bar ᠎a"]
+    pair, known = align.Pair(A, B), {}
+    for text in texts * 2:
+        (got,), edged = pair.chunks([text], known)
+        assert got == align._BORDER.split(text)
+        known.update((c, None) for c in got if c not in edged)
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    got = sorted(map(tuple, align.alignment_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B).collect()))
+    assert got == sorted(plain_report(rows))
+    assert align._pair(A, B, 0) is align._pair(A, B, 0) and align._pair(A, B, 1) is not align._pair(A, B, 0)
